@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pinlattice.functions.binding import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -17,13 +19,16 @@ def norm(v: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """struct(vector, violation): unit vector, or why there is none."""
     v = v.cast("array<double>")
-    length = norm(v)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    problem = F.when(~finite, "vector is not finite").when(length == 0, "vector is zero")
-    return F.struct(
-        F.when(problem.isNull(), F.transform(v, lambda x: x / length)).alias("vector"),
-        problem.alias("violation"),
-    )
+
+    def scaled(length: Column) -> Column:
+        finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+        problem = F.when(~finite, "vector is not finite").when(length == 0, "vector is zero")
+        return F.struct(
+            F.when(problem.isNull(), F.transform(v, lambda x: x / length)).alias("vector"),
+            problem.alias("violation"),
+        )
+
+    return let(norm(v), scaled)
 
 
 def pair_interactions(a: Column, b: Column) -> Column:

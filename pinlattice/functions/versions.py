@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pinlattice.functions.binding import let
+
 STABLE = r"^[0-9]+(?:\.[0-9]+){1,3}(?:\.post[0-9]+)?$"
 # Public version grammar of PEP 440, appendix B, in lower case.
 PEP440 = (
@@ -68,50 +70,57 @@ def strip_trailing_zeros(parts: Column) -> Column:
 
 def pep440_key(version: Column) -> Column:
     """Total order of PEP 440 as one orderable struct, null for invalid text."""
-    v = F.lower(version)
-    pre_word, dev_word = _group(v, 3), _group(v, 8)
-    post_number = F.coalesce(
-        _long(_group(v, 5)),
-        F.when(_group(v, 6).isNotNull(), F.coalesce(_long(_group(v, 7)), F.lit(0))),
-    )
+    return let(F.lower(version), lambda v: F.when(v.rlike(PEP440), let(_groups(v), _key_of)))
+
+
+def _groups(v: Column) -> Column:
+    names = ("epoch", "release", "pre", "pre_n", "dash", "post", "post_n", "dev", "dev_n", "local")
+    return F.struct(*[_group(v, i).alias(n) for i, n in enumerate(names, 1)])
+
+
+def _key_of(g: Column) -> Column:
+    zero = F.lit(0).cast("bigint")
+
+    def number(text: Column) -> Column:
+        return F.coalesce(_long(text), zero)
+
+    post = F.coalesce(_long(g["dash"]), F.when(g["post"].isNotNull(), number(g["post_n"])))
     phase = (
-        F.when(pre_word.isin("a", "alpha"), 0)
-        .when(pre_word.isin("b", "beta"), 1)
-        .when(pre_word.isNotNull(), 2)
-        .when(post_number.isNull() & dev_word.isNotNull(), -1)
+        F.when(g["pre"].isin("a", "alpha"), 0)
+        .when(g["pre"].isin("b", "beta"), 1)
+        .when(g["pre"].isNotNull(), 2)
+        .when(post.isNull() & g["dev"].isNotNull(), -1)
         .otherwise(3)
     )
     local = F.transform(
-        F.split(F.coalesce(_group(v, 10), F.lit("")), r"[-_.]"),
+        F.split(F.coalesce(g["local"], F.lit("")), r"[-_.]"),
         lambda s: F.struct(
             F.when(s == "", -1).when(s.rlike(r"^\d+$"), 1).otherwise(0).alias("kind"),
-            F.coalesce(_long(s), F.lit(0)).alias("number"),
+            number(s).alias("number"),
             F.when(s.rlike(r"^\d+$"), F.lit("")).otherwise(s).alias("text"),
         ),
     )
-    return F.when(
-        v.rlike(PEP440),
-        F.struct(
-            F.coalesce(_long(_group(v, 1)), F.lit(0)).alias("epoch"),
-            strip_trailing_zeros(release_parts(version)).alias("release"),
-            phase.alias("phase"),
-            F.coalesce(_long(_group(v, 4)), F.lit(0)).alias("pre"),
-            F.coalesce(post_number, F.lit(-1)).alias("post"),
-            F.when(dev_word.isNotNull(), F.coalesce(_long(_group(v, 9)), F.lit(0)))
-            .otherwise(F.lit(_FAR))
-            .alias("dev"),
-            local.alias("local"),
-        ),
+    release = let(F.transform(F.split(g["release"], r"\."), _long), strip_trailing_zeros)
+    return F.struct(
+        number(g["epoch"]).alias("epoch"),
+        release.alias("release"),
+        phase.alias("phase"),
+        number(g["pre_n"]).alias("pre"),
+        F.coalesce(post, F.lit(-1)).alias("post"),
+        F.when(g["dev"].isNotNull(), number(g["dev_n"])).otherwise(F.lit(_FAR)).alias("dev"),
+        local.alias("local"),
     )
 
 
 def history_key(version: Column) -> Column:
     """Valid versions first in PEP 440 order, then the remaining texts alphabetically."""
-    key = pep440_key(version)
-    return F.struct(
-        F.when(key.isNull(), 1).otherwise(0).alias("kind"),
-        key.alias("key"),
-        F.when(key.isNull(), version).alias("text"),
+    return let(
+        pep440_key(version),
+        lambda key: F.struct(
+            F.when(key.isNull(), 1).otherwise(0).alias("kind"),
+            key.alias("key"),
+            F.when(key.isNull(), version).alias("text"),
+        ),
     )
 
 
@@ -127,22 +136,30 @@ def version_parts(version: Column) -> Column:
 
 def padded_release(version: Column, width: int) -> Column:
     """First ``width`` integers found in the text, zero padded."""
-    numbers = F.regexp_extract_all(version, F.lit(r"(\d+)"), F.lit(1))
-    return F.array(
-        *[F.coalesce(_long(F.get(numbers, F.lit(i))), F.lit(0)) for i in range(width)]
+    zero = F.lit(0).cast("bigint")
+    return let(
+        F.regexp_extract_all(version, F.lit(r"(\d+)"), F.lit(1)),
+        lambda numbers: F.array(
+            *[F.coalesce(_long(F.get(numbers, F.lit(i))), zero) for i in range(width)]
+        ),
     )
 
 
 def release_triple(version: Column) -> Column:
     """First three release numbers of a valid version, zeros otherwise."""
-    parts = release_parts(version)
-    return F.array(*[F.coalesce(F.get(parts, F.lit(i)), F.lit(0)) for i in range(3)])
+    zero = F.lit(0).cast("bigint")
+    return let(
+        release_parts(version),
+        lambda parts: F.array(*[F.coalesce(F.get(parts, F.lit(i)), zero) for i in range(3)]),
+    )
 
 
 def version_distance(left: Column, right: Column) -> Column:
-    a, b = release_triple(left), release_triple(right)
-    gap = [F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(3)]
-    return gap[0] * 1_000_000 + gap[1] * 1_000 + gap[2]
+    gaps = F.zip_with(release_triple(left), release_triple(right), lambda a, b: F.abs(a - b))
+    weighted = F.zip_with(
+        gaps, F.array(*[F.lit(w).cast("bigint") for w in (1_000_000, 1_000, 1)]), lambda g, w: g * w
+    )
+    return F.aggregate(weighted, F.lit(0).cast("bigint"), lambda s, x: s + x)
 
 
 def note_version(version: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pinlattice.functions.binding import let
 from pinlattice.functions.names import canonical_name
 from pinlattice.functions.scalars import parse_time
 from pinlattice.functions.versions import history_key, is_stable, pep440_stable, version_key
@@ -34,15 +35,20 @@ def normalize_release(
     """Release payload (info, urls) x Python targets -> (python_version, release)."""
     info, python = F.col("info"), F.col("python_version")
     no = F.lit(False)
-    allowed = requires_python_allows(info["requires_python"], python)
+    allowed = F.col("__allowed")
     files = F.filter(
         F.col("urls"),
         lambda f: (f["packagetype"] == "bdist_wheel") & f["filename"].endswith(".whl"),
     )
 
     def wheel(f: Column) -> Column:
-        tags = wheel_tags(f["filename"])
-        fit = wheel_compatible(f["filename"], python, os, architecture)
+        parsed = F.struct(
+            wheel_tags(f["filename"]).alias("tags"),
+            wheel_compatible(f["filename"], python, os, architecture).alias("fit"),
+        )
+        return let(parsed, lambda x: described(f, x["tags"], x["fit"]))
+
+    def described(f: Column, tags: Column, fit: Column) -> Column:
         return F.struct(
             f["filename"].alias("filename"),
             F.coalesce(f["url"], F.lit("")).alias("url"),
@@ -81,7 +87,10 @@ def normalize_release(
     targets = raw.withColumn(
         "python_version", F.explode(F.array(*[F.lit(p) for p in pythons]))
     )
-    return targets.select("python_version", release.alias("release"))
+    allows = requires_python_allows(info["requires_python"], python)
+    return targets.withColumn("__allowed", allows).select(
+        "python_version", release.alias("release")
+    )
 
 
 def explode_project_files(raw: DataFrame) -> DataFrame:

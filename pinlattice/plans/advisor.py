@@ -24,7 +24,13 @@ from pinlattice.constants import (
 from pinlattice.functions.names import canonical_name, environment_key, unordered_pair
 from pinlattice.functions.requirements import blocking_clauses, constraints_allow, exact_pin, requirement_name
 from pinlattice.functions.text import split_lines
-from pinlattice.functions.versions import history_key, is_pep440, pep440_key, version_distance
+from pinlattice.functions.versions import (
+    history_key,
+    is_pep440,
+    padded_release,
+    pep440_key,
+    version_distance,
+)
 from pinlattice.operators.ordered import attach
 from pinlattice.operators.scoring import pair_risk
 from pinlattice.operators.violations import explode_rules, union_all, violation
@@ -267,14 +273,13 @@ def best_safe_option(related: DataFrame, oriented: DataFrame) -> DataFrame:
     ``oriented`` also has predicted_failure; predicted failures are no options.
     """
     grains = related.select(*GRAIN).distinct()
-    zero = pep440_key(F.lit("0"))
-    option = F.coalesce(pep440_key(F.col("related_version")), zero)
-    current = F.coalesce(pep440_key(F.col("current_version")), zero)
-    # Nearest upgrade first; among downgrades the newest one first.
+    option, current = (padded_release(F.col(c), 3) for c in ("related_version", "current_version"))
+    downgrade = option < current
+    # Lowest upgrade first; among downgrades the newest one first.
     rank = F.struct(
         (F.col("related_version") != F.col("current_version")).alias("changed"),
-        (option < current).alias("downgrade"),
-        version_distance(F.col("related_version"), F.col("current_version")).alias("distance"),
+        downgrade.alias("downgrade"),
+        F.when(downgrade, F.transform(option, lambda x: -x)).otherwise(option).alias("order"),
         F.col("structured_probability").alias("risk"),
         F.col("related_version").alias("version"),
     )

@@ -159,7 +159,7 @@ def ttl_cache(df: DataFrame, ttl: int = VERDICT_TTL_SECONDS, key: str = "key", t
         last_key, start = None, None
         for batch in batches:
             computed: list[bool] = []
-            for k, part in batch.groupby(key, sort=False):
+            for k, part in batch.groupby(key, sort=False, dropna=False):
                 begin = start if k == last_key else None
                 misses, start = _chain(part["__s"].to_numpy(), begin, ttl)
                 last_key = k
