@@ -145,14 +145,19 @@ def exact_quantiles(
     smallest value whose cumulative share reaches the probability. Equal values
     are counted before anything is ordered.
     """
-    counts = value_counts(df.filter(F.col(value).isNotNull()), value, by)
-    running = ordered(counts, [F.col(value)], by, position=None, totals={"__upto": "n"})
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("__total"))
+    counts = (
+        df.select(*by, F.col(value).alias("__value"))
+        .filter(F.col("__value").isNotNull())
+        .groupBy(*by, "__value")
+        .agg(F.count(F.lit(1)).alias("__n"))
+    )
+    running = ordered(counts, [F.col("__value")], by, position=None, totals={"__upto": "__n"})
+    totals = running.groupBy(*by).agg(F.sum("__n").alias("__total"))
     running = attach_by(running, totals, by)
-    start = F.col("__upto") - F.col("n")
+    start = F.col("__upto") - F.col("__n")
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((start <= rank) & (F.col("__upto") > rank), F.col(value)))
+        return F.max(F.when((start <= rank) & (F.col("__upto") > rank), F.col("__value")))
 
     picks, finals = [], []
     for name, p in probabilities.items():

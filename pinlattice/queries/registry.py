@@ -36,8 +36,12 @@ def query(name: str, sql: str | None = None, needs: str = ""):
             views = ", ".join(f"{v} as ({duck(v)})" for v in needs.split())
             text = sql.strip()
             if views:
-                head = f"with {views}"
-                text = f"{head}, {text[5:]}" if text[:5].lower() == "with " else f"{head} {text}"
+                if text.startswith("with recursive "):
+                    text = f"with recursive {views}, {text[15:]}"
+                elif text.startswith("with "):
+                    text = f"with {views}, {text[5:]}"
+                else:
+                    text = f"with {views} {text}"
             ORACLES[name] = text
         return f
 

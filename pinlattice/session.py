@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def _base_folder(spark: SparkSession) -> str:
+    """The shared folder named by the session; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="pinlattice-checkpoint-")
-    context.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="pinlattice-")
+    return folder.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path every executor can reach, for tables written between steps of a plan."""
+    return f"{_base_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_base_folder(spark))
 
 
 def materialize(df: DataFrame) -> DataFrame:

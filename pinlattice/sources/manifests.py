@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,33 +9,20 @@ from pinlattice.operators.violations import explode_rules
 
 
 def file_checksums(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(file, bytes, sha256) of every file below ``path``; files are hashed in parallel."""
+    """(file, bytes, sha256) of every file below the folder ``path``; ``file`` is relative to it.
+
+    Files are hashed in parallel, one row per file.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
+        F.substring_index("path", path.rstrip("/") + "/", -1).alias("file"),
         F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"),
     )
 
 
-def row_checksum(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Order-independent checksum of a table: rows and the sum of 60-bit row digests.
-
-    Unlike a digest of files it does not depend on how the rows are laid out,
-    and it is a plain aggregation.
-    """
-    columns = list(columns or df.columns)
-    digest = F.sha2(
-        F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256
-    )
-    part = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)")
-    return df.select(part.alias("d")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("d").cast("string").alias("checksum")
-    )
-
-
 def fileset_digest(checksums: DataFrame) -> DataFrame:
     """One digest for a set of files: digest of the name-sorted (name, digest) lines.
 

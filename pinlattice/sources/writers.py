@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -88,8 +87,3 @@ def resume_write(
         missing = missing.join(existing.select(*key), list(key), "left_anti")
     append_rows(compute(missing), path)
     return spark.read.parquet(path)
-
-
-def content_key(*columns: str):
-    """Digest that identifies the content of a row."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)

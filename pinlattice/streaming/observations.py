@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,16 +16,6 @@ from pinlattice.operators.violations import broken_rules
 from pinlattice.sources.writers import append_rows, read_existing
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder every executor can reach, below ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="pinlattice-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_file_stream(spark: SparkSession, schema: str | StructType, path: str, fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
     return (
         spark.readStream.schema(schema)
