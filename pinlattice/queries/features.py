@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinlattice.constants import LABEL_COLUMNS
+from pinlattice.constants import LABEL_COLUMNS, SIGNAL_PATTERNS
 from pinlattice.operators.catalog import normalize_release
+from pinlattice.operators.observations import first_wins
 from pinlattice.operators.texts import package_mentions, text_signals
 from pinlattice.plans import features as ft
 from pinlattice.plans.observation_flow import audited as audited_log
 from pinlattice.plans.observation_flow import retry_list
 from pinlattice.queries.adapters import Tables
-from pinlattice.queries.aggregates import evidence_rows
+from pinlattice.queries.aggregates import WORDS, duck_count, evidence_rows
 from pinlattice.queries.projections import PYTHON_ROWS, payloads
 from pinlattice.queries.registry import query
 from pinlattice.session import materialize
@@ -41,8 +42,8 @@ def catalog_of(t: Tables) -> DataFrame:
 def experiments_of(t: Tables) -> DataFrame:
     """One experiment per order line whose part has a successor brand.
 
-    The second release is the one of the part's supplier-side twin, so every row
-    has exactly one partner and no product is built.
+    The second release is the one whose number is the supplier's, so every row has
+    exactly one partner and no product is built.
     """
     releases = t.releases.select("release_id", "package", "version")
     a = releases.select(
@@ -55,7 +56,7 @@ def experiments_of(t: Tables) -> DataFrame:
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("experiment_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("matrix_order"),
         F.col("l_partkey").alias("a_id"),
-        F.pmod(F.col("l_orderkey") * 7 + F.col("l_suppkey"), F.lit(200)).alias("b_id"),
+        F.col("l_suppkey").alias("b_id"),
         F.element_at(F.array(*[F.lit(p) for p in PYTHONS]), (F.col("l_partkey") % 3 + 1).cast("int")).alias("python_version"),
         F.when(F.col("l_returnflag") == "R", "resolution_failure")
         .when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), "import_failure")
@@ -85,7 +86,7 @@ e as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_ex
   case l_partkey % 3 when 0 then '3.10' when 1 then '3.11' else '3.12' end as python_version,
   case when l_returnflag = 'R' then 'resolution_failure' when l_returnflag = 'N' and l_linestatus = 'O' then 'import_failure'
     when l_returnflag = 'N' and l_quantity < 25 then 'smoke_test_failure' else 'pass' end as outcome
-  from lineitem join releases a on a.release_id = l_partkey join releases b on b.release_id = (l_orderkey * 7 + l_suppkey) % 200),
+  from lineitem join releases a on a.release_id = l_partkey join releases b on b.release_id = l_suppkey),
 p as (select e.*, a.n as an, b.n as bn, a.v1 as a1, a.v2 as a2, a.v3 as a3, b.v1 as b1, b.v2 as b2, b.v3 as b3, a.rp as arp, b.rp as brp, a.released as ar, b.released as br,
   a.wheel as aw, b.wheel as bw, a.wheels as ac, b.wheels as bc from e
   join f a on a.package = package_a and a.version = version_a and a.python_version = e.python_version
@@ -209,7 +210,22 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("evidence_feature_row")
+@query(
+    "evidence_feature_row",
+    """
+with x as (select *, substr(sha256(concat_ws('|', concat('pkg-', cast(l_partkey as varchar)), concat(cast(l_linenumber as varchar), '.0'), concat('dep-', cast(l_suppkey as varchar)), '1.0',
+    concat('3.', cast(8 + l_partkey % 7 as varchar)), 'linux', 'x86_64')), 1, 20) as experiment_id, l_returnflag = 'R' and l_linenumber <> 7 as res,
+  case when l_linenumber = 7 then 'timeout' when l_returnflag = 'R' then 'resolution_failure' when l_returnflag = 'A' then 'pass' when l_linenumber % 2 = 0 then 'import_failure' else 'smoke_test_failure' end as outcome
+  from lineitem),
+r as (select *, row_number() over (partition by experiment_id order by l_orderkey, l_quantity, outcome) as rn from x)
+select experiment_id, concat('pkg-', cast(l_partkey as varchar)) as package_a_name, outcome, case outcome when 'pass' then null when 'resolution_failure' then 'declared_dependency_resolution_conflict'
+  when 'smoke_test_failure' then 'interoperability_behavior_failure' else 'other_failure' end as failure_category, outcome <> 'resolution_failure' as resolution_succeeded,
+  case when res then 0 else 3 end as installed_wheel_artifact_count, case when res then 0 else 1 end as transitive_distribution_count, case when res then 0 else 1 end as installed_native_wheel_count,
+  case when res then 0 else case when l_suppkey % 7 = 0 then 0 else l_partkey + 1 end + l_suppkey + 6 end as installed_wheel_bytes, l_quantity as duration_seconds,
+  l_orderkey as cache_size_after_bytes, concat('6.', cast(l_suppkey % 4 as varchar)) as runtime_kernel
+from r where rn = 1
+""",
+)
 def _(t: Tables) -> DataFrame:
     """Packaged rows with post-run evidence: the catalog is made from the same lines."""
     results = evidence_rows(t)
@@ -240,33 +256,90 @@ def _(t: Tables) -> DataFrame:
             "machine_before",
             F.struct(F.lit(4).alias("cpu_count"), F.lit(8).cast("bigint").alias("memory_total_bytes")),
         ),
+    ).withColumn("order", F.col("resources.cache_after.size_bytes"))
+    unique = first_wins(full, ["experiment_id"], ["order", "duration_seconds", "outcome"])
+    matrix = evidence_ids(t).select(
+        "experiment_id", F.lit("all").alias("family"), F.lit(1).alias("matrix_order")
     )
-    unique = full.dropDuplicates(["experiment_id"])
-    matrix = unique.select("experiment_id", F.lit("all").alias("family"), F.lit(1).alias("matrix_order"))
-    return ft.evidence_feature_row(unique, matrix, catalog)
+    rows = ft.evidence_feature_row(unique, matrix, catalog)
+    return rows.select(
+        "experiment_id", "package_a_name", "outcome", "failure_category", "resolution_succeeded",
+        "installed_wheel_artifact_count", "transitive_distribution_count",
+        "installed_native_wheel_count", "installed_wheel_bytes", "duration_seconds",
+        "cache_size_after_bytes", "runtime_kernel",
+    )
+
+
+def evidence_ids(t: Tables) -> DataFrame:
+    return evidence_rows(t).select("experiment_id").distinct()
+
+
+CHANGELOG_SQL = f"""
+c as (select r.package, r.version, {WORDS} as w, length(trim(regexp_replace(text, '[\\s\\x0b\\x{{85}}\\p{{Z}}]+', ' ', 'g'))) as chars
+  from (select package, version, min(release_id) as id from releases group by 1, 2) r join documents on doc_id = r.id),
+d as (select package, version, chars, {duck_count(SIGNAL_PATTERNS["dependency"])} as dependency, {duck_count(SIGNAL_PATTERNS["breaking"])} > 0 as breaking,
+  {duck_count(SIGNAL_PATTERNS["removal"])} > 0 as removal, {duck_count(SIGNAL_PATTERNS["abi"])} > 0 as abi from c)
+"""
 
 
 def changelog_of(t: Tables) -> DataFrame:
-    """Signals of one note per brand release: notes are matched to releases by key."""
-    releases = t.releases.select("package", "version", "release_id")
-    notes = t.documents.select(F.col("doc_id").alias("release_id"), "text")
-    texts = releases.join(notes, "release_id").dropDuplicates(["package", "version"])
-    words = texts.select(F.explode(F.array(F.lit("license"), F.lit("brand-3"), F.lit("the"))).alias("name")).distinct()
+    """Signals of one note per release: the note whose number is the release's smallest id."""
+    releases = t.releases.groupBy("package", "version").agg(F.min("release_id").alias("doc_id"))
+    texts = releases.join(t.documents.select("doc_id", "text"), "doc_id")
+    words = texts.select(
+        F.explode(F.array(F.lit("license"), F.lit("brand-3"), F.lit("the"))).alias("name")
+    ).distinct()
     mentions = package_mentions(texts, words, ["package", "version"])
     signals = text_signals(texts).withColumn("version_section_found", F.lit(True))
-    return materialize(signals.drop("text", "evidence_lines", "release_id").join(mentions, ["package", "version"]))
+    return materialize(
+        signals.drop("text", "evidence_lines", "doc_id").join(mentions, ["package", "version"])
+    )
 
 
-@query("changelog_features")
+@query(
+    "changelog_features",
+    f"""
+with {FACTS_SQL}, {CHANGELOG_SQL}
+select experiment_id, cast(a.chars as int) as package_a_changelog_selected_characters, cast(b.dependency as int) as package_b_changelog_dependency_count,
+  a.breaking or b.breaking as changelog_either_breaking_flag, (ar > br and (a.breaking or a.removal)) or (br > ar and (b.breaking or b.removal)) as changelog_newer_provider_break_risk,
+  (a.abi and coalesce(not bw like '%none-any.whl', false)) or (b.abi and coalesce(not aw like '%none-any.whl', false)) as changelog_native_abi_risk, cast(0 as bigint) as changelog_pair_mentions
+from q join d a on a.package = package_a and a.version = version_a join d b on b.package = package_b and b.version = version_b
+""",
+    "releases",
+)
 def _(t: Tables) -> DataFrame:
     frame = ft.feature_row(experiments_of(t), ft.release_facts(catalog_of(t)))
     rows, _ = ft.join_changelog(frame, changelog_of(t), strict=True)
-    return ft.changelog_pair_features(rows)
+    return ft.changelog_pair_features(rows).select(
+        "experiment_id",
+        "package_a_changelog_selected_characters",
+        "package_b_changelog_dependency_count",
+        "changelog_either_breaking_flag",
+        "changelog_newer_provider_break_risk",
+        "changelog_native_abi_risk",
+        "changelog_pair_mentions",
+    )
 
 
-@query("large_features_with_changelog")
+@query(
+    "large_features_with_changelog",
+    f"""
+with {FACTS_SQL}, {CHANGELOG_SQL}
+select experiment_id, a.package is not null as package_a_changelog_available, b.package is not null as package_b_changelog_available,
+  cast(coalesce(a.chars, 0) as int) as package_a_changelog_selected_characters, coalesce(a.breaking, false) or coalesce(b.breaking, false) as changelog_either_breaking_flag
+from q left join d a on a.package = package_a and a.version = version_a left join d b on b.package = package_b and b.version = version_b
+""",
+    "releases",
+)
 def _(t: Tables) -> DataFrame:
-    return ft.large_features(experiments_of(t), catalog_of(t), changelog_of(t))
+    frame = ft.large_features(experiments_of(t), catalog_of(t), changelog_of(t))
+    return frame.select(
+        "experiment_id",
+        "package_a_changelog_available",
+        "package_b_changelog_available",
+        "package_a_changelog_selected_characters",
+        "changelog_either_breaking_flag",
+    )
 
 
 @query("column_roles")
