@@ -69,89 +69,84 @@ def _chosen_features(options: BoostingOptions, tree: int, node: int, width: int)
     return sorted(int(i) for i in rng.choice(width, count, replace=False))
 
 
-def _best_splits(
-    rows: DataFrame, totals: Mapping[int, tuple[float, float, int]], allowed: Mapping[int, list[int]], options: BoostingOptions
-) -> dict[int, dict]:
-    """Best split per open node from one histogram job."""
+def _best_splits(rows: DataFrame, allowed: Mapping[int, list[int]], options: BoostingOptions) -> dict[int, dict]:
+    """Best split and totals per open node from one histogram job."""
+    usable = F.lit(False)
+    for node, features in allowed.items():
+        usable = usable | ((F.col("node") == node) & F.col("feature").isin(*features))
     cells = (
-        rows.filter(F.col("node").isin(*allowed))
-        .select("node", "g", "h", F.posexplode("bins").alias("feature", "bin"))
+        rows.select("node", "g", "h", F.posexplode("bins").alias("feature", "bin"))
+        .filter(usable)
         .groupBy("node", "feature", "bin")
         .agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
     )
-    usable = F.lit(False)
-    for node, features in allowed.items():
-        usable = usable | ((F.col("node") == node) & F.col("feature").isin(*features))
-    # At most one row per bin, so this window is small whatever the table size.
-    upto = W.partitionBy("node", "feature").orderBy("bin")
-    upto = upto.rowsBetween(W.unboundedPreceding, W.currentRow)
-    left = cells.filter(usable).select(
+    # At most one row per bin, so these windows are small whatever the table size.
+    every = W.partitionBy("node", "feature")
+    upto = every.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = cells.select(
         "node",
         "feature",
         "bin",
-        F.sum("g").over(upto).alias("lg"),
-        F.sum("h").over(upto).alias("lh"),
-        F.sum("n").over(upto).alias("ln"),
+        *[F.sum(c).over(upto).alias(f"l{c}") for c in ("g", "h", "n")],
+        *[F.sum(c).over(every).alias(f"t{c}") for c in ("g", "h", "n")],
     )
-
-    def total(i: int) -> Column:
-        column = F.lit(None)
-        for node in allowed:
-            column = F.when(F.col("node") == node, F.lit(totals[node][i])).otherwise(column)
-        return column
-
     l2 = options.l2
-    rg, rh = total(0) - F.col("lg"), total(1) - F.col("lh")
+    rg, rh = F.col("tg") - F.col("lg"), F.col("th") - F.col("lh")
     gain = (
         F.col("lg") ** 2 / (F.col("lh") + l2)
         + rg**2 / (rh + l2)
-        - total(0) ** 2 / (total(1) + l2)
+        - F.col("tg") ** 2 / (F.col("th") + l2)
+    )
+    valid = (
+        (F.col("ln") >= options.minimum_leaf)
+        & (F.col("tn") - F.col("ln") >= options.minimum_leaf)
+        & (F.col("gain") > MINIMUM_GAIN)
     )
-    valid = (F.col("ln") >= options.minimum_leaf) & (total(2) - F.col("ln") >= options.minimum_leaf)
     best = (
-        left.filter(valid)
-        .withColumn("gain", gain)
-        .filter(F.col("gain") > MINIMUM_GAIN)
+        sums.withColumn("gain", gain)
         .groupBy("node")
         .agg(
             F.max_by(
-                F.struct("feature", "bin", "lg", "lh", "ln"),
-                F.struct("gain", -F.col("feature"), -F.col("bin")),
-            ).alias("s")
+                F.when(valid, F.struct("feature", "bin", "lg", "lh", "ln")),
+                F.when(valid, F.struct("gain", -F.col("feature"), -F.col("bin"))),
+            ).alias("s"),
+            *[F.max_by(c, F.struct(-F.col("feature"), "bin")).alias(c) for c in ("tg", "th", "tn")],
         )
-        .select("node", "s.*")
+        .select("node", "s.*", "tg", "th", "tn")
     )
     return {r["node"]: r.asDict() for r in best.collect()}
 
 
 def _grow(rows: DataFrame, width: int, tree: int, options: BoostingOptions) -> list[Node]:
-    """One tree over rows (bins, g, h); nodes are numbered level by level."""
-    first = rows.agg(F.sum("g"), F.sum("h"), F.count(F.lit(1))).first()
-    totals = {0: (float(first[0]), float(first[1]), int(first[2]))}
-    nodes = [Node(_leaf(totals[0], options))]
+    """One tree over rows (bins, g, h), one job per level; nodes are numbered level by level."""
+    nodes = [Node(0.0)]
+    sizes = {0: None}
     open_nodes = [0]
-    for depth in range(options.depth):
+    for _ in range(options.depth):
         allowed = {
             i: _chosen_features(options, tree, i, width)
             for i in open_nodes
-            if totals[i][2] >= 2 * options.minimum_leaf
+            if sizes[i] is None or sizes[i] >= 2 * options.minimum_leaf
         }
         if not allowed:
             break
         located = rows.withColumn("node", _locate(nodes))
-        splits = _best_splits(located, totals, allowed, options)
+        found = _best_splits(located, allowed, options)
         open_nodes = []
-        for i, s in sorted(splits.items()):
+        for i, s in sorted(found.items()):
+            total = (float(s["tg"]), float(s["th"]), int(s["tn"]))
+            if i == 0:
+                nodes[0].value = _leaf(total, options)
+            if s["feature"] is None or total[2] < 2 * options.minimum_leaf:
+                continue
             left = (float(s["lg"]), float(s["lh"]), int(s["ln"]))
-            right = tuple(t - part for t, part in zip(totals[i], left))
+            right = tuple(t - part for t, part in zip(total, left))
             for side, values in (("left", left), ("right", right)):
                 setattr(nodes[i], side, len(nodes))
-                totals[len(nodes)] = values
+                sizes[len(nodes)] = values[2]
                 open_nodes.append(len(nodes))
                 nodes.append(Node(_leaf(values, options)))
             nodes[i].feature, nodes[i].split_bin = int(s["feature"]), int(s["bin"])
-        if not open_nodes:
-            break
     return nodes
 
 
@@ -213,41 +208,58 @@ def fit_boosting(
     return head
 
 
-def score_head(head: BoostedHead, bins: Column) -> Column:
-    """Probability of a fitted head: trees are descended for a whole Arrow batch at a time."""
+def _packed(head: BoostedHead) -> dict[str, np.ndarray]:
     size = max((len(t) for t in head.trees), default=1)
-    depth = (size - 1) // 2  # every split adds two nodes
-
-    def packed(name: str, kind) -> np.ndarray:
-        table = np.zeros((len(head.trees), size), dtype=kind)
-        for i, tree in enumerate(head.trees):
-            for j, node in enumerate(tree):
-                table[i, j] = getattr(node, name)
-        return table
-
-    feature, split = packed("feature", np.int32), packed("split_bin", np.int32)
-    left, right, value = packed("left", np.int32), packed("right", np.int32), packed("value", float)
-    base, rate = head.base_logit, head.learning_rate
-
-    @F.pandas_udf("double")
-    def probability(batch: pd.Series) -> pd.Series:
+    kinds = {"feature": np.int32, "split_bin": np.int32, "left": np.int32, "right": np.int32, "value": float}
+    packed = {n: np.zeros((len(head.trees), size), dtype=k) for n, k in kinds.items()}
+    packed["feature"] -= 1
+    for i, tree in enumerate(head.trees):
+        for j, node in enumerate(tree):
+            for name in kinds:
+                packed[name][i, j] = getattr(node, name)
+    return packed
+
+
+def _probabilities(head: BoostedHead, trees: dict[str, np.ndarray], matrix: np.ndarray) -> np.ndarray:
+    rows = np.arange(len(matrix))
+    logit = np.full(len(matrix), head.base_logit)
+    for t in range(len(trees["feature"])):
+        at = np.zeros(len(matrix), dtype=np.int32)
+        while True:
+            feature = trees["feature"][t, at]
+            inner = feature >= 0
+            if not inner.any():
+                break
+            goes_left = matrix[rows, np.maximum(feature, 0)] <= trees["split_bin"][t, at]
+            below = np.where(goes_left, trees["left"][t, at], trees["right"][t, at])
+            at = np.where(inner, below, at)
+        logit += head.learning_rate * trees["value"][t, at]
+    return 1.0 / (1.0 + np.exp(-np.clip(logit, -35.0, 35.0)))
+
+
+def tree_probabilities(
+    heads: Mapping[str, BoostedHead], features: Column, cuts: list[list[float]]
+) -> Column:
+    """struct with one probability per head, for an array of raw feature values.
+
+    Binning and tree descent run on a whole Arrow batch at a time, and the bins
+    are shared by all heads.
+    """
+    heads = dict(heads)
+    packed = {name: _packed(head) for name, head in heads.items()}
+    edges = [np.asarray(c, dtype=float) for c in cuts]
+
+    @F.pandas_udf(", ".join(f"`{name}` double" for name in heads))
+    def score(batch: pd.Series) -> pd.DataFrame:
         if not len(batch):
-            return pd.Series([], dtype=float)
-        matrix = np.stack(batch.to_numpy())
-        rows = np.arange(len(matrix))
-        logit = np.full(len(matrix), base)
-        for t in range(len(feature)):
-            at = np.zeros(len(matrix), dtype=np.int32)
-            for _ in range(depth):
-                inner = feature[t, at] >= 0
-                if not inner.any():
-                    break
-                goes_left = matrix[rows, np.maximum(feature[t, at], 0)] <= split[t, at]
-                at = np.where(inner, np.where(goes_left, left[t, at], right[t, at]), at)
-            logit += rate * value[t, at]
-        return pd.Series(1.0 / (1.0 + np.exp(-np.clip(logit, -35.0, 35.0))))
-
-    return probability(bins)
+            return pd.DataFrame({name: np.empty(0) for name in heads})
+        values = np.stack(batch.to_numpy())
+        bins = np.column_stack(
+            [np.searchsorted(e, values[:, i], side="right") for i, e in enumerate(edges)]
+        )
+        return pd.DataFrame({n: _probabilities(h, packed[n], bins) for n, h in heads.items()})
+
+    return score(features)
 
 
 def head_population(head: str) -> tuple[Column, Column]:
@@ -291,9 +303,13 @@ def fit_heads(
     return fitted
 
 
-def score_heads(df: DataFrame, heads: Mapping[str, BoostedHead]) -> DataFrame:
+def score_heads(
+    df: DataFrame, heads: Mapping[str, BoostedHead], cuts: list[list[float]], features: str = "features"
+) -> DataFrame:
     """Probability per head plus their noisy-or as ``probability``."""
-    scored = df.select("*", *[score_head(h, F.col("bins")).alias(f"{n}_probability") for n, h in heads.items()])
-    return scored.withColumn(
-        "probability", noisy_or(*[F.col(f"{n}_probability") for n in heads])
+    scored = df.withColumn("__p", tree_probabilities(heads, F.col(features), cuts))
+    return scored.select(
+        *df.columns,
+        *[F.col(f"__p.{n}").alias(f"{n}_probability") for n in heads],
+        noisy_or(*[F.col(f"__p.{n}") for n in heads]).alias("probability"),
     )

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinlattice.constants import POST_INSTALL_THRESHOLD
 from pinlattice.functions.vectors import noisy_or
-from pinlattice.operators.boosting import BoostedHead, score_head
+from pinlattice.operators.boosting import BoostedHead, tree_probabilities
 from pinlattice.operators.models import HybridFeatures, LinearModel
-from pinlattice.operators.preprocess import Preprocessor, bin_values
 
 
 def score_linear(df: DataFrame, model: LinearModel, features: str = "features") -> DataFrame:
@@ -32,21 +31,22 @@ def score_post_install(
 
     Rows without both vectors skip the tree scoring.
     """
-    ready = features.transform(df, embeddings, how="left").withColumn(
-        "bins", bin_values(F.col("features"), cuts)
-    )
-    covered = ready.filter(F.col("bins").isNotNull() & F.forall("features", lambda x: x.isNotNull()))
-    uncovered = ready.filter(
-        ~F.coalesce(F.col("bins").isNotNull() & F.forall("features", lambda x: x.isNotNull()), F.lit(False))
-    )
+    ready = features.transform(df, embeddings, how="left")
+    complete = F.coalesce(F.forall("features", lambda x: x.isNotNull()), F.lit(False))
+    heads = {"import": import_head, "smoke": smoke_head}
     none = F.lit(None).cast("double")
-    scored = covered.select(
-        *df.columns,
-        score_head(import_head, F.col("bins")).alias("import_probability"),
-        score_head(smoke_head, F.col("bins")).alias("smoke_probability"),
-    ).unionByName(
-        uncovered.select(
-            *df.columns, none.alias("import_probability"), none.alias("smoke_probability")
+    scored = (
+        ready.filter(complete)
+        .withColumn("__p", tree_probabilities(heads, F.col("features"), cuts))
+        .select(
+            *df.columns,
+            F.col("__p.import").alias("import_probability"),
+            F.col("__p.smoke").alias("smoke_probability"),
+        )
+        .unionByName(
+            ready.filter(~complete).select(
+                *df.columns, none.alias("import_probability"), none.alias("smoke_probability")
+            )
         )
     )
     return post_install_decision(scored, threshold)
@@ -84,10 +84,6 @@ def score_hybrid(
     )
 
 
-def frozen_bins(preprocessor: Preprocessor, cuts: list[list[float]]) -> Column:
-    return bin_values(preprocessor.features(), cuts)
-
-
 def pair_risk(df: DataFrame) -> DataFrame:
     """Evidence type, risk and stage of scored pairs.
 
