@@ -154,12 +154,20 @@ def release_triple(version: Column) -> Column:
     )
 
 
+def triple_distance(a: Column, b: Column) -> Column:
+    """Weighted distance of two release triples."""
+    return (
+        F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))) * 1_000_000
+        + F.abs(F.get(a, F.lit(1)) - F.get(b, F.lit(1))) * 1_000
+        + F.abs(F.get(a, F.lit(2)) - F.get(b, F.lit(2)))
+    )
+
+
 def version_distance(left: Column, right: Column) -> Column:
-    gaps = F.zip_with(release_triple(left), release_triple(right), lambda a, b: F.abs(a - b))
-    weighted = F.zip_with(
-        gaps, F.array(*[F.lit(w).cast("bigint") for w in (1_000_000, 1_000, 1)]), lambda g, w: g * w
+    return let(
+        F.struct(release_triple(left).alias("a"), release_triple(right).alias("b")),
+        lambda x: triple_distance(x["a"], x["b"]),
     )
-    return F.aggregate(weighted, F.lit(0).cast("bigint"), lambda s, x: s + x)
 
 
 def note_version(version: Column) -> Column:

@@ -212,7 +212,7 @@ class HybridFeatures:
         joined = join_embeddings(frame, self.release_vectors(embeddings), "projected", how)
         text = self.scaler.scaled(pair_interactions(F.col("vector_a"), F.col("vector_b")))
         return joined.withColumn(
-            "features", F.concat(self.preprocessor.features(), text)
+            "features", F.concat(self.preprocessor.features(joined), text)
         ).drop("vector_a", "vector_b")
 
 
@@ -271,7 +271,7 @@ def logistic_fit(numeric: Sequence[str], categorical: Sequence[str], label: str
         rows = preprocessor.transform(train)
         trainer = fit_weighted_logistic if weighted else fit_logistic
         model = trainer(rows, label=label)
-        return lambda df: df.withColumn("probability", model.probability(preprocessor.features()))
+        return lambda df: df.withColumn("probability", model.probability(preprocessor.features(df)))
 
     return fit
 

@@ -20,15 +20,19 @@ from pinlattice.operators.ordered import exact_quantiles
 MISSING = "<missing>"
 
 
-def _numeric(name: str) -> Column:
+def _numeric(df: DataFrame, name: str) -> Column:
     """Booleans become 1/0 and text a number; NaN counts as missing."""
-    value = F.col(name).cast("string")
-    number = (
-        F.when(F.lower(value) == "true", 1.0)
-        .when(F.lower(value) == "false", 0.0)
-        .otherwise(value.try_cast("double"))
-    )
-    return F.when(~F.isnan(number), number)
+    value = F.col(name)
+    kind = df.schema[name].dataType.typeName()
+    if kind == "string":
+        number = (
+            F.when(F.lower(value) == "true", 1.0)
+            .when(F.lower(value) == "false", 0.0)
+            .otherwise(value.try_cast("double"))
+        )
+    else:
+        number = value.cast("double")
+    return F.nanvl(number, F.lit(None).cast("double"))
 
 
 def _category(name: str) -> Column:
@@ -54,10 +58,10 @@ class Preprocessor:
             f"category::{c}=={level}" for c in self.categorical for level in self.levels[c]
         ]
 
-    def features(self) -> Column:
+    def features(self, df: DataFrame) -> Column:
         """array<double>: filled and standardized numbers, then one-hot levels (unknown: zeros)."""
         parts = [
-            (F.coalesce(_numeric(c), F.lit(self.medians[c])) - self.means[c]) / self.scales[c]
+            (F.coalesce(_numeric(df, c), F.lit(self.medians[c])) - self.means[c]) / self.scales[c]
             for c in self.numeric
         ]
         for c in self.categorical:
@@ -65,7 +69,7 @@ class Preprocessor:
         return F.array(*parts)
 
     def transform(self, df: DataFrame, output: str = "features") -> DataFrame:
-        return df.withColumn(output, self.features())
+        return df.withColumn(output, self.features(df))
 
 
 def fit_preprocessor(
@@ -80,7 +84,7 @@ def fit_preprocessor(
     medians = column_medians(df, numeric)
     aggregates = []
     for c in numeric:
-        filled = F.coalesce(_numeric(c), F.lit(medians[c]))
+        filled = F.coalesce(_numeric(df, c), F.lit(medians[c]))
         aggregates += [F.avg(filled).alias(f"mean::{c}"), F.stddev_pop(filled).alias(f"std::{c}")]
     row = df.agg(*aggregates).first().asDict() if aggregates else {}
     scales = {c: float(row[f"std::{c}"] or 0.0) for c in numeric}
@@ -121,7 +125,7 @@ def long_numeric(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(c).alias("column"), _numeric(c).alias("value"))
+                    F.struct(F.lit(c).alias("column"), _numeric(df, c).alias("value"))
                     for c in numeric
                 ]
             )

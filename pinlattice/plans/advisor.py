@@ -29,11 +29,14 @@ from pinlattice.functions.versions import (
     is_pep440,
     padded_release,
     pep440_key,
+    release_triple,
+    triple_distance,
     version_distance,
 )
 from pinlattice.operators.ordered import attach
 from pinlattice.operators.scoring import pair_risk
 from pinlattice.operators.violations import explode_rules, union_all, violation
+from pinlattice.session import materialize
 
 CATEGORIES = (
     "achieves_requested_change",
@@ -73,14 +76,14 @@ def validate_requests(requests: DataFrame, requirements: DataFrame) -> DataFrame
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > 1)
     )
-    present = requirements.select("request_id", F.col("package").alias("__t"), F.lit(True).alias("__p")).distinct()
-    target = canonical_name(F.col("target_package"))
-    checked = requests.join(per_request, "request_id", "left").withColumn("__target", target)
-    checked = checked.join(
-        present,
-        (checked["request_id"] == present["request_id"]) & (checked["__target"] == present["__t"]),
-        "left",
-    ).drop(present["request_id"])
+    present = requirements.select(
+        "request_id", F.col("package").alias("__target"), F.lit(True).alias("__p")
+    ).distinct()
+    checked = (
+        requests.withColumn("__target", canonical_name(F.col("target_package")))
+        .join(per_request, "request_id", "left")
+        .join(present, ["request_id", "__target"], "left")
+    )
     requested = F.trim(F.coalesce("requested_version", F.lit("")))
     return union_all(
         [
@@ -250,15 +253,19 @@ def top_options(related: DataFrame, oriented: DataFrame, n: int = OPTIONS_PER_PA
     share a current version share the options. The row-number limit is applied
     per task before the shuffle.
     """
-    grains = related.select(*GRAIN).distinct()
-    options = grains.join(
-        oriented.filter("constraints_allow"), ["python_version", "target", "related"]
-    ).select(
+    # Versions are parsed on each side before the join multiplies the rows.
+    grains = related.select(*GRAIN).distinct().withColumn(
+        "__current", release_triple(F.col("current_version"))
+    )
+    allowed = oriented.filter("constraints_allow").withColumn(
+        "__related", release_triple(F.col("related_version"))
+    )
+    options = grains.join(allowed, ["python_version", "target", "related"]).select(
         *GRAIN,
         "target_version",
         "related_version",
         (F.col("related_version") != F.col("current_version")).alias("changed"),
-        version_distance(F.col("related_version"), F.col("current_version")).alias("distance"),
+        triple_distance(F.col("__related"), F.col("__current")).alias("distance"),
         F.col("structured_probability").alias("risk"),
     )
     window = W.partitionBy(*GRAIN, "target_version").orderBy(
@@ -272,8 +279,13 @@ def best_safe_option(related: DataFrame, oriented: DataFrame) -> DataFrame:
 
     ``oriented`` also has predicted_failure; predicted failures are no options.
     """
-    grains = related.select(*GRAIN).distinct()
-    option, current = (padded_release(F.col(c), 3) for c in ("related_version", "current_version"))
+    grains = related.select(*GRAIN).distinct().withColumn(
+        "__current", padded_release(F.col("current_version"), 3)
+    )
+    safe = oriented.filter(F.col("constraints_allow") & ~F.col("predicted_failure")).withColumn(
+        "__option", padded_release(F.col("related_version"), 3)
+    )
+    option, current = F.col("__option"), F.col("__current")
     downgrade = option < current
     # Lowest upgrade first; among downgrades the newest one first.
     rank = F.struct(
@@ -284,10 +296,7 @@ def best_safe_option(related: DataFrame, oriented: DataFrame) -> DataFrame:
         F.col("related_version").alias("version"),
     )
     return (
-        grains.join(
-            oriented.filter(F.col("constraints_allow") & ~F.col("predicted_failure")),
-            ["python_version", "target", "related"],
-        )
+        grains.join(safe, ["python_version", "target", "related"])
         .groupBy(*GRAIN, "target_version")
         .agg(
             F.min_by(
@@ -374,23 +383,24 @@ def rank_candidates(
     )
     wanted = wanted.join(current, ["request_id", "target"], "left")
     rows = unique.join(wanted, "request_id")
-    category = change_category(
-        F.col("target_version"), F.col("requested_version"), F.col("current_target")
-    )
-    rows = rows.withColumns(
+    # Many requests ask for the same change: versions are compared once per distinct triple.
+    names = ["target_version", "requested_version", "current_target"]
+    target, requested, current = (F.col(n) for n in names)
+    changes = rows.select(*names).distinct().withColumns(
         {
-            "category": category,
-            "changes": F.col("related_changes")
-            + (~F.col("target_version").eqNullSafe(F.col("current_target"))).cast("int"),
-            "distance": version_distance(F.col("target_version"), F.col("requested_version")),
+            "category": change_category(target, requested, current),
+            "distance": version_distance(target, requested),
+            "__order": history_key(target),
         }
     ).withColumn("priority", category_priority(F.col("category")))
-    window = W.partitionBy("request_id").orderBy(
-        "priority", "changes", "risk", "distance", history_key(F.col("target_version")), "versions"
+    rows = attach(rows, changes, names).withColumn(
+        "changes", F.col("related_changes") + (~target.eqNullSafe(current)).cast("int")
     )
-    return rows.withColumn("position", F.row_number().over(window)).filter(
-        F.col("position") <= limit
+    window = W.partitionBy("request_id").orderBy(
+        "priority", "changes", "risk", "distance", "__order", "versions"
     )
+    ranked = rows.withColumn("position", F.row_number().over(window))
+    return ranked.filter(F.col("position") <= limit).drop("__order")
 
 
 def candidate_environments(ranked: DataFrame, environments: DataFrame, checks: int = MAXIMUM_CHECKS) -> DataFrame:
@@ -644,13 +654,15 @@ def advise(
     related = related_packages(requests, environments, families)
     oriented = pair_rows(scored, ["constraints_allow", "structured_probability"])
     candidates = expand_candidates(related, top_options(related, oriented))
-    ranked = rank_candidates(candidates, requests, environments)
+    # At most 50 rows per request, read by four later steps.
+    ranked = materialize(rank_candidates(candidates, requests, environments))
     tried = candidate_environments(ranked, environments)
     tried_resolution = join_resolution(tried, verdicts)
     tried_risk = environment_risk(assess_pairs(tried, scored, tried_resolution))
     parts = F.split("env_id", "#")
     request_type = dict(requests.dtypes)["request_id"]
-    assessments = tried_resolution.join(tried_risk, "env_id").select(
+    assessments = materialize(
+        tried_resolution.join(tried_risk, "env_id").select(
         F.get(parts, F.lit(0)).cast(request_type).alias("request_id"),
         F.get(parts, F.lit(1)).cast("int").alias("position"),
         "resolvable",
@@ -659,6 +671,7 @@ def advise(
         "post_install_risk_detected",
         "warnings",
         "maximum_post_install_risk",
+        )
     )
     accepted = recommend(ranked, assessments)
     return status, accepted, recommendation_warning(requests, ranked, assessments, accepted)

@@ -36,7 +36,7 @@ class FrozenStructuredModel:
     model: LinearModel
 
     def predict(self, df: DataFrame) -> DataFrame:
-        probability = self.model.probability(self.preprocessor.features())
+        probability = self.model.probability(self.preprocessor.features(df))
         return df.withColumn("probability", probability).withColumn(
             "predicted", (F.col("probability") >= self.model.threshold).cast("int")
         )

@@ -212,8 +212,8 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-def _oriented(t: Tables):
-    scored = scored_pairs(t).withColumn(
+def _oriented(t: Tables, pairs: DataFrame | None = None):
+    scored = (scored_pairs(t) if pairs is None else pairs).withColumn(
         "predicted_failure", F.coalesce("risk_detected", F.lit(False))
     )
     oriented = adv.pair_rows(
@@ -291,8 +291,8 @@ def _flat(rows: DataFrame) -> DataFrame:
     )
 
 
-def ranked_of(t: Tables) -> DataFrame:
-    related, oriented = _oriented(t)
+def ranked_of(t: Tables, pairs: DataFrame | None = None) -> DataFrame:
+    related, oriented = _oriented(t, pairs)
     rows = adv.expand_candidates(related, adv.top_options(related, oriented))
     return adv.rank_candidates(rows, requests_of(t), environments_of(t))
 
@@ -431,10 +431,14 @@ def _(t: Tables) -> DataFrame:
     return adv.join_resolution(environments, verdicts)
 
 
-def verdict_table(t: Tables) -> DataFrame:
-    """Verdicts of the candidate environments: a function of the key, some unknown."""
-    tried = adv.candidate_environments(ranked_of(t), environments_of(t))
-    keys = adv.environment_keys(tried).select("environment_key").distinct()
+def verdict_table(t: Tables, pairs: DataFrame) -> DataFrame:
+    """Verdicts of current and candidate environments: a function of the key, some unknown."""
+    environments = environments_of(t)
+    tried = adv.candidate_environments(ranked_of(t, pairs), environments)
+    keys = adv.environment_keys(tried).unionByName(
+        adv.environment_keys(environments.withColumn("env_id", F.col("env_id").cast("string")))
+    )
+    keys = keys.select("environment_key").distinct()
     first = F.substring("environment_key", 1, 1)
     return keys.filter(first >= "2").withColumn("resolvable", first < "d")
 
@@ -443,7 +447,8 @@ def verdict_table(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """The whole batch: status, recommendations and the reason when there is none."""
     requests, environments, scored = requests_of(t), environments_of(t), scored_pairs(t)
-    status, accepted, warnings = adv.advise(requests, environments, scored, verdict_table(t))
+    verdicts = materialize(verdict_table(t, scored))
+    status, accepted, warnings = adv.advise(requests, environments, scored, verdicts)
     counts = accepted.groupBy("request_id").agg(F.count(F.lit(1)).alias("recommendations"))
     return (
         status.select(F.col("env_id").alias("request_id"), "status")
