@@ -13,6 +13,7 @@ from pinlattice.constants import (
     OBSERVATION_SCHEMA_VERSION,
     PYTHON_VERSIONS,
 )
+from pinlattice.functions.binding import let
 from pinlattice.functions.names import canonical_name, experiment_id, parse_pin
 from pinlattice.functions.outcomes import import_pattern
 from pinlattice.operators.ordered import attach_by, exact_quantiles, with_scalars
@@ -300,7 +301,7 @@ def structural_audit(matrix: DataFrame, results: DataFrame) -> DataFrame:
 def stage_exit(stages: Column, name: str) -> Column:
     """Exit code of the last stage with this name, null when it did not run."""
     found = F.filter(stages, lambda s: s["stage"] == name)
-    return F.get(found, F.size(found) - 1)["exit_code"]
+    return let(found, lambda f: F.get(f, F.size(f) - 1))["exit_code"]
 
 
 def pins_of_artifacts(artifacts: Column) -> Column:
@@ -316,18 +317,16 @@ def pins_of_artifacts(artifacts: Column) -> Column:
 
 def pins_of_environment(environment: Column) -> Column:
     pinned = F.filter(environment, lambda e: F.contains(e, F.lit("==")))
-    return F.array_sort(
-        F.array_distinct(
-            F.transform(
-                pinned,
-                lambda e: F.concat(
-                    canonical_name(F.get(F.split(e, "==", 2), F.lit(0))),
-                    F.lit("=="),
-                    F.get(F.split(e, "==", 2), F.lit(1)),
-                ),
-            )
-        )
+    pins = F.transform(
+        pinned,
+        lambda e: let(
+            F.split(e, "==", 2),
+            lambda p: F.concat(
+                canonical_name(F.get(p, F.lit(0))), F.lit("=="), F.get(p, F.lit(1))
+            ),
+        ),
     )
+    return F.array_sort(F.array_distinct(pins))
 
 
 def environment_equals(artifacts: Column, environment: Column) -> Column:

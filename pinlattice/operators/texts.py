@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinlattice.constants import SIGNAL_NAMES
+from pinlattice.constants import HIGH_SIGNAL_PATTERNS, SIGNAL_PATTERNS
 from pinlattice.functions.text import (
     chunk_starts,
     collapse_spaces,
@@ -26,16 +26,19 @@ from pinlattice.operators.violations import explode_rules
 def text_signals(df: DataFrame, text: str = "text") -> DataFrame:
     """Signal counts and flags, normalized length and line count of every text."""
     t = F.col(text)
-    counts = {**signal_counts(t), **high_signal_counts(t)}
     counted = df.select(
         "*",
         F.length(collapse_spaces(t)).alias("selected_characters"),
         F.size(meaningful_lines(t)).alias("selected_lines"),
-        *[c.alias(f"{n}_count") for n, c in counts.items()],
+        signal_counts(t).alias("__signals"),
+        high_signal_counts(t).alias("__high"),
         evidence_lines(t).alias("evidence_lines"),
     )
+    source = {**{n: "__signals" for n in SIGNAL_PATTERNS}, **{n: "__high" for n in HIGH_SIGNAL_PATTERNS}}
     return counted.select(
-        "*", *[(F.col(f"{n}_count") > 0).alias(f"{n}_flag") for n in SIGNAL_NAMES]
+        *[c for c in counted.columns if c not in ("__signals", "__high")],
+        *[F.col(f"{s}.{n}").alias(f"{n}_count") for n, s in source.items()],
+        *[(F.col(f"{s}.{n}") > 0).alias(f"{n}_flag") for n, s in source.items()],
     )
 
 

@@ -23,6 +23,7 @@ from pinlattice.queries.projections import (
     plan_packages,
 )
 from pinlattice.queries.registry import query
+from pinlattice.session import materialize
 
 
 @query(
@@ -231,7 +232,8 @@ select rule, count(*) as row_count from v group by rule
 """,
 )
 def _(t: Tables) -> DataFrame:
-    broken = obs.evidence_audit(evidence_matrix(t), evidence_rows(t))
+    # The log is a stored table: its nested columns are read, not rebuilt for every rule.
+    broken = obs.evidence_audit(evidence_matrix(t), materialize(evidence_rows(t)))
     return broken.groupBy("rule").agg(F.count(F.lit(1)).alias("row_count"))
 
 
@@ -489,11 +491,15 @@ select doc_id, cast(length(flat) as bigint) as selected_characters, {counts} fro
 def _(t: Tables) -> DataFrame:
     from pinlattice.functions.text import collapse_spaces, signal_counts
 
-    counts = signal_counts(F.col("text"), DOC_PATTERNS)
-    return t.documents.select(
+    counted = t.documents.select(
         "doc_id",
         F.length(collapse_spaces(F.col("text"))).cast("bigint").alias("selected_characters"),
-        *[c.cast("bigint").alias(f"{n}_count") for n, c in counts.items()],
+        signal_counts(F.col("text"), DOC_PATTERNS).alias("s"),
+    )
+    return counted.select(
+        "doc_id",
+        "selected_characters",
+        *[F.col(f"s.{n}").cast("bigint").alias(f"{n}_count") for n in DOC_PATTERNS],
     )
 
 
@@ -523,9 +529,9 @@ select d.doc_id, {sums.replace("count(*)", "count(w.w)")} from documents d left
 def _(t: Tables) -> DataFrame:
     from pinlattice.functions.text import high_signal_counts
 
-    counts = high_signal_counts(F.col("text"), DOC_HIGH)
-    return t.documents.select(
-        "doc_id", *[c.cast("bigint").alias(f"{n}_count") for n, c in counts.items()]
+    counted = t.documents.select("doc_id", high_signal_counts(F.col("text"), DOC_HIGH).alias("s"))
+    return counted.select(
+        "doc_id", *[F.col(f"s.{n}").cast("bigint").alias(f"{n}_count") for n in DOC_HIGH]
     )
 
 
