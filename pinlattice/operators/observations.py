@@ -436,9 +436,8 @@ def duration_stats(df: DataFrame, by: Sequence[str] = (), value: str = "duration
         F.sum(value).alias("total_seconds"),
         F.max(value).alias("max_seconds"),
     )
-    median = exact_quantiles(df, value, {"median_seconds": 0.5}, by)
-    p90 = exact_quantiles(df, value, {"p90_seconds": 0.9}, by, method="nearest")
-    return attach_by(attach_by(totals, median, by), p90, by)
+    wanted = {"median_seconds": 0.5, "p90_seconds": (0.9, "nearest")}
+    return attach_by(totals, exact_quantiles(df, value, wanted, by), by)
 
 
 def resource_stats(df: DataFrame) -> DataFrame:

@@ -135,14 +135,15 @@ def value_counts(
 def exact_quantiles(
     df: DataFrame,
     value: str,
-    probabilities: Mapping[str, float],
+    probabilities: Mapping[str, float | tuple[float, str]],
     by: Sequence[str] = (),
     method: str = "linear",
 ) -> DataFrame:
     """Exact quantiles of a numeric column, one output column per probability.
 
     ``linear`` interpolates between the two middle values, ``nearest`` takes the
-    smallest value whose cumulative share reaches the probability. Equal values
+    smallest value whose cumulative share reaches the probability; a
+    (probability, method) pair overrides the method of one column. Equal values
     are counted before anything is ordered.
     """
     counts = (
@@ -160,8 +161,9 @@ def exact_quantiles(
         return F.max(F.when((start <= rank) & (F.col("__upto") > rank), F.col("__value")))
 
     picks, finals = [], []
-    for name, p in probabilities.items():
-        if method == "nearest":
+    for name, wanted in probabilities.items():
+        p, kind = wanted if isinstance(wanted, tuple) else (wanted, method)
+        if kind == "nearest":
             rank = F.greatest(F.ceil(F.col("__total") * F.lit(p)) - 1, F.lit(0))
             picks.append(at(rank).alias(name))
             finals.append(F.col(name))
@@ -173,7 +175,5 @@ def exact_quantiles(
             F.max(h - F.floor(h)).alias(f"__w_{name}"),
         ]
         lo = F.col(f"__lo_{name}").cast("double")
-        finals.append(
-            (lo + F.col(f"__w_{name}") * (F.col(f"__hi_{name}") - lo)).alias(name)
-        )
+        finals.append((lo + F.col(f"__w_{name}") * (F.col(f"__hi_{name}") - lo)).alias(name))
     return running.groupBy(*by).agg(*picks).select(*by, *finals)

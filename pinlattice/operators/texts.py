@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from pinlattice.functions.text import (
 )
 from pinlattice.functions.vectors import l2_normalize
 from pinlattice.operators.violations import explode_rules
+from pinlattice.session import is_at_most
+
+VOCABULARY_BROADCAST_ROWS = 100_000
 
 
 def text_signals(df: DataFrame, text: str = "text") -> DataFrame:
@@ -47,22 +52,23 @@ def mention_counts(
 ) -> DataFrame:
     """(key, name, mentions) of every known package mentioned in a text, except its own.
 
-    Grams are counted per text before the join, so a token repeated a million
-    times is one row, and a token that is no package never leaves its task.
-    ``vocabulary`` has a column ``name``.
+    A small vocabulary is broadcast after a check of its size, so a token that is
+    no package never leaves its task; a larger one is joined by shuffle after the
+    grams of a text were counted. ``vocabulary`` has a column ``name``.
     """
     pieces = vocabulary.agg(F.max(F.size(F.split(F.lower("name"), r"\.")))).first()[0] or 1
-    grams = (
-        texts.select(*key, F.col(current).alias("__own"), F.explode(mention_grams(F.col(text), pieces)).alias("gram"))
-        .groupBy(*key, "__own", "gram")
-        .agg(F.count(F.lit(1)).alias("mentions"))
+    grams = texts.select(
+        *key, F.col(current).alias("__own"), F.explode(mention_grams(F.col(text), pieces)).alias("gram")
     )
     names = vocabulary.select("name", F.lower("name").alias("gram")).distinct()
-    return (
-        grams.join(names, "gram")
-        .filter(F.col("name") != F.col("__own"))
-        .select(*key, "name", "mentions")
-    )
+    keys = [*key, "__own", "gram"]
+    if is_at_most(names, VOCABULARY_BROADCAST_ROWS):
+        counted = grams.join(F.broadcast(names), "gram").groupBy(*keys, "name").agg(
+            F.count(F.lit(1)).alias("mentions")
+        )
+    else:
+        counted = grams.groupBy(*keys).agg(F.count(F.lit(1)).alias("mentions")).join(names, "gram")
+    return counted.filter(F.col("name") != F.col("__own")).select(*key, "name", "mentions")
 
 
 def package_mentions(
@@ -212,12 +218,8 @@ def embed_texts(
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*[f"{k} {types[k]}" for k in key], "vector array<double>"])
     encoded = chunks.mapInPandas(run, schema)
-    mean = (
-        encoded.select(*key, F.posexplode("vector").alias("i", "x"))
-        .groupBy(*key, "i")
-        .agg(F.avg("x").alias("x"))
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    mean = encoded.groupBy(*key).agg(
+        Summarizer.mean(array_to_vector(F.col("vector"))).alias("v")
     )
-    unit = l2_normalize(F.transform("v", lambda e: e["x"]))
+    unit = l2_normalize(vector_to_array("v"))
     return mean.select(*key, unit["vector"].alias("embedding"))

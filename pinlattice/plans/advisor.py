@@ -386,7 +386,8 @@ def rank_candidates(
     # Many requests ask for the same change: versions are compared once per distinct triple.
     names = ["target_version", "requested_version", "current_target"]
     target, requested, current = (F.col(n) for n in names)
-    changes = rows.select(*names).distinct().withColumns(
+    asked = candidates.select("request_id", "target_version").distinct().join(wanted, "request_id")
+    changes = asked.select(*names).distinct().withColumns(
         {
             "category": change_category(target, requested, current),
             "distance": version_distance(target, requested),
@@ -651,7 +652,7 @@ def advise(
     status = advice_status(resolution.join(risk, "env_id", "left"))
 
     families = supported_families(scored)
-    related = related_packages(requests, environments, families)
+    related = materialize(related_packages(requests, environments, families))
     oriented = pair_rows(scored, ["constraints_allow", "structured_probability"])
     candidates = expand_candidates(related, top_options(related, oriented))
     # At most 50 rows per request, read by four later steps.

@@ -222,7 +222,7 @@ def _oriented(t: Tables, pairs: DataFrame | None = None):
     related = adv.related_packages(
         requests_of(t), environments_of(t), adv.supported_families(scored)
     )
-    return related, oriented
+    return materialize(related), oriented
 
 
 @query(

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _base_folder(spark: SparkSession) -> str:
@@ -35,11 +34,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint only when ``df`` is proven to hold at most ``rows`` rows.
-
-    Beyond the bound the frame is returned unhinted and Spark shuffles the join.
-    """
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df
+def is_at_most(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` holds at most ``rows`` rows; reads no more than it has to."""
+    return df.limit(rows + 1).count() <= rows
