@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pinlattice.llm import quality
+from pyspark.sql import functions as F
+
+from pinlattice.llm import decontaminate, quality, sharding
 from pinlattice.llm.registry import query, table
 
 
@@ -11,3 +13,68 @@ def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+OP4_SQL = r"""
+with dw as (
+  select doc_id, text, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from documents
+), iw as (
+  select distinct item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from benchmark
+), item_windows as (
+  select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as win
+  from iw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as t(i) where len(w) > 0
+), sizes as (select distinct n from item_windows),
+numbered as (select row_number() over () as row_id, doc_id, w from dw),
+doc_windows as (
+  select row_id, i, n, array_to_string(w[i:i + n - 1], ' ') as win
+  from numbered, sizes, unnest(range(1, len(w) - n + 2)) as t(i) where len(w) >= n
+), hits as (
+  select d.row_id, d.i, d.n, b.item_id from doc_windows d join item_windows b on d.win = b.win and d.n = b.n
+), words as (
+  select row_id, count(distinct p) as n_hit from (select row_id, unnest(range(i, i + n)) as p from hits) group by row_id
+), items as (
+  select row_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids
+  from hits group by row_id
+)
+select n.doc_id, cast(len(n.w) as bigint) as n_words, cast(coalesce(h.n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(i.n_items, 0) as bigint) as n_items, sha256(coalesce(i.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
+from numbered n left join words h using (row_id) left join items i using (row_id)
+"""
+
+
+@query("op4_decontaminate", OP4_SQL)
+def op4(spark, sf_dir):
+    marked = decontaminate.mark_documents(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    )
+    return marked.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@query("op3_sharding")
+def op3(spark, sf_dir):
+    text = F.col("text")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
+        F.coalesce(F.crc32(text.cast("binary")), F.crc32(F.lit("").cast("binary"))).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
+    )
+    dealt = sharding.shard_rows(rows, 24, ["doc_id", "size", "text_crc32", "text_hash"])
+    return dealt.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
