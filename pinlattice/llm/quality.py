@@ -156,12 +156,12 @@ def judge(
 def trusted_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Texts with a ``trusted`` flag: some label of the document has quality 1.
 
-    A left join without a hint: the labels are broadcast only when their measured
-    size allows it, otherwise the texts are shuffled and a hot id is split.
+    One plan at every size: both sides are shuffled by id, labels are never
+    broadcast, and adaptive execution splits a hot id of the left side.
     """
     good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("__id")).distinct()
     left = docs.select(docs[doc_id].alias("__doc"), docs[text].alias("text"))
-    return left.join(good, left["__doc"] == good["__id"], "left").select("text", F.col("__id").isNotNull().alias("trusted"))
+    return left.join(good.hint("shuffle_merge"), left["__doc"] == good["__id"], "left").select("text", F.col("__id").isNotNull().alias("trusted"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
