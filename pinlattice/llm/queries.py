@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pinlattice.llm import decontaminate, quality, sharding
+from pinlattice.llm import decontaminate, personal, quality, secrets, sharding
 from pinlattice.llm.registry import query, table
+from pinlattice.llm.spans import count_of, joined, of_kinds
 
 
 @query("op6_quality_rules")
@@ -78,3 +79,27 @@ def op3(spark, sf_dir):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op1_secret_scan")
+def op1(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    spans = F.col("secret_spans")
+    return found.select(
+        "doc_id",
+        *[count_of(spans, kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(joined(of_kinds(spans, secrets.KINDS)), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
+@query("op5_personal_data")
+def op5(spark, sf_dir):
+    found = personal.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("personal_spans")
+    return found.select(
+        "doc_id",
+        *[count_of(spans, kind).alias(f"n_{kind}") for kind in personal.KINDS],
+        F.sha2(joined(of_kinds(spans, personal.KINDS)), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
