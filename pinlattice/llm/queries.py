@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from pinlattice.llm import decontaminate, personal, quality, secrets, sharding
+from pinlattice.llm import bpe, decontaminate, personal, quality, secrets, sharding
 from pinlattice.llm.registry import query, table
 from pinlattice.llm.spans import count_of, joined, of_kinds
 
@@ -103,3 +104,15 @@ def op5(spark, sf_dir):
         F.sha2(joined(of_kinds(spans, personal.KINDS)), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
     )
+
+
+@query("op10_bpe_encode_decode")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
