@@ -2,9 +2,9 @@
 
 Texts are split into the words of the tokenizer's own pre-tokenization inside
 Spark tasks; each distinct word of the corpus is encoded once and its ids are
-joined back by position. Decoding is a join too: the ids of each distinct word
-are exploded and joined with the id-to-piece table (its size is the
-vocabulary's), and the pieces of a text follow from its words by position.
+joined back by position. Decoding is a join too: the ids of the distinct words
+are joined with the id-to-piece table (its size is the vocabulary's, so it travels
+with the tasks), and the pieces of a text follow from its words by position.
 The tokenizer file is a parameter and is read on the driver.
 
 Texts whose characters are all in Latin-1 are split by one regular expression
@@ -19,15 +19,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 from tokenizers import Tokenizer, pre_tokenizers
 
+from pinlattice.llm.batches import add_columns
 from pinlattice.llm.distinct_words import join_words
 
 # FIXED VALUES: the word pattern of the tokenizer, spelled out for lower-cased Latin-1.
@@ -81,42 +82,48 @@ class Splitter:
         return out
 
 
-def encode_words(words: DataFrame, definition: str) -> DataFrame:
-    """(word, ids): the merges of each distinct word, made once."""
-    specials = {t["content"]: t["id"] for t in json.loads(definition)["added_tokens"]}
+class Encoder:
+    """The ids of one word as little-endian unsigned 32-bit integers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Tokenizer.from_str(definition).model
-        mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        for batch in batches:
-            ids = []
-            for word in batch.column(0).to_pylist():
-                if word in specials:
-                    ids.append([specials[word]])
-                else:
-                    ids.append([t.id for piece, _ in mapped.pre_tokenize_str(word) for t in model.tokenize(piece)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+    def __init__(self, definition: str):
+        self.model = Tokenizer.from_str(definition).model
+        self.mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.specials = {t["content"]: t["id"] for t in json.loads(definition)["added_tokens"]}
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+    def __call__(self, word: str) -> bytes:
+        if word in self.specials:
+            return np.array([self.specials[word]], "<u4").tobytes()
+        ids = [t.id for piece, _ in self.mapped.pre_tokenize_str(word) for t in self.model.tokenize(piece)]
+        return np.array(ids, "<u4").tobytes()
 
 
-def pieces(spark: SparkSession, definition: str) -> DataFrame:
-    """The id-to-piece table."""
+def piece_table(definition: str) -> pa.Array:
+    """The id-to-piece table: the piece of id i at position i. One entry per vocabulary entry."""
     vocabulary = Tokenizer.from_str(definition).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(sorted((i, p) for p, i in vocabulary.items()), "id int, piece string")
+    table: list[str | None] = [None] * (max(vocabulary.values(), default=-1) + 1)
+    for piece, i in vocabulary.items():
+        table[i] = piece
+    return pa.array(table, pa.string())
+
+
+def join_pieces(ids: Sequence[bytes], table: pa.Array) -> list[str]:
+    """Each id sequence joined with the id-to-piece table, pieces in order and separated by a space."""
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), table.take(pa.array(flat)))
+    return pc.binary_join(lists, " ").to_pylist()
 
 
-def decode_ids(rows: DataFrame, key: Sequence[str], ids: str, table: DataFrame) -> DataFrame:
-    """(key, decoded): pieces of ``ids`` in order, separated by a space, by a join on the id.
+def decode_documents(rows: DataFrame, tokenizer_path: str, ids: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:
+    """Add ``decoded`` to rows with packed ``ids`` (null: empty) of any origin."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        table = piece_table(file.read())
+
+    def compute(columns):
+        for column in columns:
+            yield [pa.array(join_pieces([x or b"" for x in column.to_pylist()], table), pa.string())]
 
-    ``key`` has to be unique. The ids of a row are one task's work before and after
-    the join, so only whole rows are shuffled.
-    """
-    exploded = rows.select(*key, F.posexplode(ids).alias("at", "id"))
-    # The table has one row per vocabulary entry, whatever the texts are.
-    joined = exploded.join(F.broadcast(table), "id")
-    listed = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("parts"))
-    return listed.select(*key, F.array_join(F.transform("parts", lambda p: p["piece"]), " ").alias("decoded"))
+    return add_columns(rows, ids, compute, [StructField("decoded", StringType())], keep)
 
 
 def encode_documents(
@@ -130,7 +137,7 @@ def encode_documents(
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = file.read()
     split = splitter or Splitter(definition)
-    table = pieces(docs.sparkSession, definition)
+    pieces = piece_table(definition)
 
     def words_of(texts: pa.ChunkedArray) -> Iterable[str]:
         found: set[str] = set()
@@ -138,26 +145,20 @@ def encode_documents(
             found.update(split(value.as_py() or ""))
         return found
 
-    def lookup(words: DataFrame) -> DataFrame:
-        encoded = encode_words(words, definition)
-        # The ids travel with the key of the decoding, so nothing is encoded twice.
-        return decode_ids(encoded, ["word", "ids"], "ids", table)
-
-    def combine(texts: pa.ChunkedArray, known: pa.Table) -> Sequence:
-        flat = known.column("ids").combine_chunks()
-        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-        offsets = flat.offsets.to_numpy() - flat.offsets[0].as_py()
-        raw = flat.flatten().to_numpy().astype("<u4").tobytes()
-        names = known.column("word").to_pylist()
-        ids = {w: raw[4 * a : 4 * b] for w, a, b in zip(names, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)}
-        shown = dict(zip(names, known.column("decoded").to_pylist(), strict=True))
+    def values_of(words: list[str], _: dict) -> list[bytes]:
+        encode = Encoder(definition)
+        return [encode(word) for word in words]
+
+    def combine(texts: pa.ChunkedArray, words: list[str], values: list[bytes]) -> Sequence:
+        ids = dict(zip(words, values, strict=True))
+        shown = dict(zip(words, join_pieces(values, pieces), strict=True))
         packed, decoded = [], []
         for value in texts:
-            words = split(value.as_py() or "")
-            packed.append(b"".join(map(ids.__getitem__, words)))
-            decoded.append(" ".join(map(shown.__getitem__, words)))
+            found = split(value.as_py() or "")
+            packed.append(b"".join(map(ids.__getitem__, found)))
+            decoded.append(" ".join(map(shown.__getitem__, found)))
         counts = np.array([len(p) // 4 for p in packed], np.int64)
         return [counts, pa.array(packed, pa.binary()), pa.array(decoded, pa.string())]
 
     fields = [StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("decoded", StringType())]
-    return join_words(docs, text, words_of, lookup, combine, fields, keep)
+    return join_words(docs, text, words_of, values_of, combine, fields, keep)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pinlattice.llm import bpe, decontaminate, personal, quality, secrets, sharding
+from pinlattice.llm import bpe, decontaminate, personal, ppm, quality, secrets, sharding
 from pinlattice.llm.registry import query, table
 from pinlattice.llm.spans import count_of, joined, of_kinds
 
@@ -116,3 +116,11 @@ def op10(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op9_ppm_scoring")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folded = docs.withColumn("held_out", ppm.fold(F.col("doc_id"), 10) == 0)
+    scored = ppm.score_texts(folded, folded.filter(~F.col("held_out")), keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
