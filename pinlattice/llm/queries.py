@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pinlattice.llm import bpe, decontaminate, personal, ppm, quality, secrets, sharding
+from pinlattice.llm import bpe, decontaminate, jaccard, personal, ppm, quality, secrets, sharding
 from pinlattice.llm.registry import query, table
 from pinlattice.llm.spans import count_of, joined, of_kinds
 
@@ -124,3 +124,9 @@ def op9(spark, sf_dir):
     folded = docs.withColumn("held_out", ppm.fold(F.col("doc_id"), 10) == 0)
     scored = ppm.score_texts(folded, folded.filter(~F.col("held_out")), keep=["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op2_ngram_jaccard_join")
+def op2(spark, sf_dir):
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, numerator=9, denominator=10)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("set").alias("class_id"))
