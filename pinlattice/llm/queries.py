@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pinlattice.llm import bpe, decontaminate, jaccard, personal, ppm, quality, secrets, sharding
+from pinlattice.llm import bpe, decontaminate, jaccard, language, personal, ppm, quality, secrets, sharding, toxicity
 from pinlattice.llm.registry import query, table
 from pinlattice.llm.spans import count_of, joined, of_kinds
 
@@ -130,3 +130,20 @@ def op9(spark, sf_dir):
 def op2(spark, sf_dir):
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, numerator=9, denominator=10)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("set").alias("class_id"))
+
+
+@query("op7_language_id")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    folded = docs.withColumn("held_out", ppm.fold(F.col("doc_id"), 4) == 2)
+    judged = language.identify(folded, folded.filter(~F.col("held_out")), keep=["doc_id", "held_out"])
+    return judged.select("doc_id", "held_out", "lang_pred", "score", "gap", "rejected")
+
+
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folded = docs.withColumn("held_out", ppm.fold(F.col("doc_id"), 4) == 2)
+    labels = table(spark, sf_dir, "labels").filter(ppm.fold(F.col("doc_id"), 4) != 2)
+    scorer = toxicity.train(toxicity.labelled_sample(docs, labels, "doc_id", "text"))
+    return toxicity.score_texts(folded, scorer, keep=["doc_id", "held_out"])
