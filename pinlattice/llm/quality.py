@@ -22,7 +22,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 
 from pinlattice.llm.batches import NOT_SPACE, Piece, Words, add_columns, byte_class, group_runs, mix, pieces, span_hashes
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 SMOOTHING = 1.0
 # Nats per n-gram below which a text is unlike the trusted target.
 THRESHOLD = -0.2
@@ -68,14 +68,15 @@ def target_counts(df: DataFrame, text: str, trusted: str, buckets: int = BUCKETS
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """log(target share) - log(raw share) per bucket; zeros when there is no target."""
-    if not target.sum():
-        return np.zeros(len(raw))
+    """log(target share) - log(raw share) per bucket.
 
-    def share(x: np.ndarray) -> np.ndarray:
-        return np.log((x + smoothing) / (x.sum() + smoothing * len(x)))
-
-    return share(target) - share(raw)
+    The target gets ``smoothing`` pseudo-counts per bucket on average, spread like
+    the raw corpus, so a small target says little and none says nothing (zeros).
+    """
+    share = raw / max(raw.sum(), 1)
+    prior = smoothing * len(raw)
+    mixed = (target + prior * share) / (target.sum() + prior)
+    return np.where(raw > 0, np.log(np.where(raw > 0, mixed, 1.0)) - np.log(np.where(raw > 0, share, 1.0)), 0.0)
 
 
 def repeated_words(words: Words, n: int = 3) -> np.ndarray:
