@@ -215,7 +215,7 @@ def _base_and_candidates(docs: DataFrame, text: str, keep: list[str]) -> DataFra
                 others.append([{"start": a, "end": b, "patterns": patterns_of(body, a, b)} for a, b in candidates(body, found)])
             yield [pa.array(spans, span_type), pa.array(others, candidate_type)]
 
-    return add_columns(docs, text, compute, [StructField("base", SPANS), StructField("others", _CANDIDATES)], keep)
+    return add_columns(docs, text, compute, [StructField("__base", SPANS), StructField("__others", _CANDIDATES)], keep)
 
 
 def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", confidence: float = CONFIDENCE) -> DataFrame:
@@ -225,7 +225,7 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     narrow = docs.select(docs[doc_id].alias("id"), F.xxhash64(docs[text]).alias("key"), docs[text].alias("body"))
     # Only candidates of texts that have some are matched; the patterns join sees no other row.
     found = _base_and_candidates(narrow, "body", ["id", "key"]).select(
-        "id", "key", F.explode("others").alias("o")
+        "id", "key", F.explode("__others").alias("o")
     ).select("id", "key", F.col("o.start").alias("start"), F.col("o.end").alias("end"), F.explode("o.patterns").alias("pattern"))
     context = (
         found.join(patterns, found["pattern"] == patterns["__pattern"], "left_semi")
@@ -235,4 +235,4 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     with_base = _base_and_candidates(docs.select(*[docs[c] for c in kept], F.xxhash64(docs[text]).alias("__key")), text, [*kept, "__key"])
     joined = with_base.join(context, with_base[doc_id].eqNullSafe(context["id"]) & (with_base["__key"] == context["key"]), "left")
     empty = F.array().cast(ArrayType(SPAN))
-    return joined.select(*[with_base[c] for c in kept], F.concat("base", F.coalesce("more", empty)).alias("personal_spans"))
+    return joined.select(*[with_base[c] for c in kept], F.concat(with_base["__base"], F.coalesce(context["more"], empty)).alias("personal_spans"))
