@@ -8,7 +8,7 @@ and gives each a 64-bit hash. Null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
 PIECE_BYTES = 2 << 20
+SLICE_BYTES = 8 << 20
 _BLOCK = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -179,6 +180,14 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def sliced(batches: Iterable[pa.RecordBatch], text: int, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that none has more than ``budget`` bytes of text, or a single longer text."""
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(text))
+        for i, j in cuts(offsets, budget):
+            yield batch.slice(i, j - i)
+
+
 def add_columns(
     df: DataFrame,
     text: str,
@@ -202,7 +211,7 @@ def add_columns(
         held = []
 
         def texts():
-            for batch in batches:
+            for batch in sliced(batches, width):
                 held.append(batch)
                 yield batch.column(width)
 

@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
-from pinlattice.llm.batches import NOT_SPACE, Words, add_columns, mix, pieces
+from pinlattice.llm.batches import NOT_SPACE, Words, add_columns, mix, pieces, sliced
+from pinlattice.session import materialize
 
 ORDER = 4
 GRAMS = 1 << 17
@@ -85,7 +86,7 @@ def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, k, gram, context, suffix, n) of all rows (lang, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             langs = batch.column(0).dictionary_encode()
             codes = langs.indices.to_numpy(zero_copy_only=False)
             for code, lang in enumerate(langs.dictionary.to_pylist()):
@@ -155,7 +156,7 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def train(rows: DataFrame, order: int = ORDER, grams: int = GRAMS, discount: float = DISCOUNT) -> Models:
     """Models of all rows (lang, text); lang is not null."""
-    counts = gram_counts(rows, order)
+    counts = materialize(gram_counts(rows, order))
     totals = counts.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("total"))
     kept = counts.join(totals, "lang").filter(F.col("n") * grams >= F.col("total")).drop("total").toArrow()
     langs = sorted(set(kept.column("lang").to_pylist()))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from pinlattice.llm.batches import add_columns
+from pinlattice.llm.batches import add_columns, sliced
 from pinlattice.llm.language import indexed_words
 
 SAMPLE = 20_000
@@ -72,7 +72,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
     """(feature, toxic, clean): rows of each class that have the feature."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 0):
             words, parts = indexed_words(batch.column(0))
             toxic = batch.column(1).to_numpy() > 0
             index: dict[str, int] = {}
@@ -206,7 +206,7 @@ def train(sample: DataFrame, features: int = FEATURES, voters: int = VOTERS) ->
         index = {f: i for i, f in enumerate(names)}
 
         def hits(batches):
-            for batch in batches:
+            for batch in sliced(batches, 0):
                 words, parts = indexed_words(batch.column(0))
                 owned = [[index[f] for f in features_of(w) if f in index] for w in words]
                 sizes = np.fromiter(map(len, owned), np.int64, len(owned))
