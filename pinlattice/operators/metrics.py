@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pinlattice.constants import FAILURE_OUTCOMES
+from pinlattice.constants import FAILURE_OUTCOMES, IMPROVEMENT_METRICS
 from pinlattice.operators.ordered import attach_by, ordered, value_counts
 from pinlattice.operators.violations import explode_rules, union_all, violation
 
@@ -348,6 +348,21 @@ def wilson_interval(successes: Column, total: Column) -> tuple[Column, Column]:
     return (centre - spread) / denominator, (centre + spread) / denominator
 
 
+def improvement(model: DataFrame, baseline: DataFrame, metrics: Sequence[str] = IMPROVEMENT_METRICS, by: Sequence[str] = ()) -> DataFrame:
+    """(by, metric, model, baseline, improvement): how far a model's metrics are above a baseline's.
+
+    Both frames have one row per ``by`` group (one row without groups). A group
+    that only one of them has stays with a null improvement.
+    """
+
+    def long(df: DataFrame, name: str) -> DataFrame:
+        cells = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(name)) for m in metrics]
+        return df.select(*by, F.explode(F.array(*cells)).alias("c")).select(*by, "c.*")
+
+    joined = long(model, "model").join(long(baseline, "baseline"), [*by, "metric"], "full_outer")
+    return joined.withColumn("improvement", F.col("model") - F.col("baseline"))
+
+
 def baseline_metrics(train: DataFrame, test: DataFrame, actual: str = "actual") -> DataFrame:
     """Accuracy and balanced accuracy of three constant policies on the test rows."""
     y = F.col(actual).cast("double")

@@ -189,12 +189,14 @@ def embed_texts(
     key: Sequence[str],
     encoder: Encoder,
     payload: int = 510,
-    max_chunks: int = 8,
+    max_chunks: int | None = None,
     text: str = "text",
 ) -> DataFrame:
-    """(key, embedding): the mean of the chunk vectors, scaled to unit length.
+    """(key, embedding, violation): the mean of the chunk vectors, scaled to unit length.
 
-    Chunk offsets are planned by Spark; only the encoder runs in Python, one
+    All chunks of a text are encoded; ``max_chunks`` asks for so many evenly spread
+    ones instead. A null text or one without tokens stays, with a null vector and a
+    violation. Chunk offsets are planned by Spark; only the encoder runs in Python, one
     Arrow batch of chunks at a time. Chunks of one text may run in different
     tasks, their vectors are averaged by an aggregation.
     """
@@ -205,7 +207,9 @@ def embed_texts(
         .select(
             *key,
             "tokens",
-            F.explode(chunk_starts(F.size("tokens"), payload, max_chunks)).alias("start"),
+            F.explode(
+                chunk_starts(F.size("tokens"), payload, F.size("tokens") if max_chunks is None else max_chunks)
+            ).alias("start"),
         )
         .select(*key, F.slice("tokens", F.col("start") + 1, F.lit(payload)).alias("chunk"))
     )
@@ -222,4 +226,9 @@ def embed_texts(
         Summarizer.mean(array_to_vector(F.col("vector"))).alias("v")
     )
     unit = l2_normalize(vector_to_array("v"))
-    return mean.select(*key, unit["vector"].alias("embedding"))
+    made = mean.select(*key, unit["vector"].alias("embedding"), unit["violation"].alias("violation"))
+    none = F.coalesce(F.size(tokens), F.lit(0)) <= 0
+    empty = df.filter(none).select(
+        *key, F.lit(None).cast("array<double>").alias("embedding"), F.lit("text has no tokens").alias("violation")
+    )
+    return made.unionByName(empty)

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pinlattice.constants import (
+    COVERAGE_WARNING,
+    EMBEDDING_WARNING,
     MAXIMUM_CANDIDATES,
     MAXIMUM_CHECKS,
     MAXIMUM_PINS,
@@ -535,7 +537,10 @@ def _key_columns() -> list[str]:
 
 
 def environment_risk(pairs: DataFrame) -> DataFrame:
-    """One row per environment of its pair risks; warnings are the pairs without coverage."""
+    """One row per environment of its pair risks; warnings are the pairs without coverage.
+
+    ``distinct_warnings`` lists each warning text once (at most one per pair of pins).
+    """
     conflict = F.coalesce(~F.col("constraints_allow"), F.lit(False))
     warned = ~F.col("covered") | F.coalesce("embedding_missing", F.lit(False))
     return pairs.groupBy("env_id").agg(
@@ -545,13 +550,23 @@ def environment_risk(pairs: DataFrame) -> DataFrame:
         F.max(conflict).alias("deterministic_conflicts"),
         F.max(F.coalesce("predicted_failure", F.lit(False))).alias("post_install_risk_detected"),
         F.count_if(warned).alias("warnings"),
+        F.array_sort(F.collect_set(F.when(warned, coverage_warning()))).alias("distinct_warnings"),
+    )
+
+
+def coverage_warning() -> Column:
+    """Text of the warning of an uncovered pair or one without embeddings."""
+    pair = F.concat("left", F.lit("=="), "left_version", F.lit(" with "), "right", F.lit("=="), "right_version")
+    place = F.concat(pair, F.lit(" on Python "), "python_version")
+    return F.when(~F.col("covered"), F.concat(F.lit(COVERAGE_WARNING), place)).otherwise(
+        F.concat(F.lit(EMBEDDING_WARNING), place)
     )
 
 
 def pair_risk_order(pairs: DataFrame) -> DataFrame:
-    """Pairs of each environment by falling risk (position 1 is the riskiest)."""
+    """Covered pairs of each environment by falling risk (position 1 is the riskiest)."""
     window = W.partitionBy("env_id").orderBy(F.col("risk_score").desc(), "left", "right")
-    return pairs.withColumn("position", F.row_number().over(window))
+    return pairs.filter("covered").withColumn("position", F.row_number().over(window))
 
 
 def advice_status(environments: DataFrame) -> DataFrame:

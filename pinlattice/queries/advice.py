@@ -352,7 +352,10 @@ h as (select p.*, coalesce(x.experiment_id, y.experiment_id) is not null as cove
   left join f x on x.package_a = l and x.version_a = lv and x.package_b = r and x.version_b = rv and x.python_version = p.python_version
   left join f y on y.package_b = l and y.version_b = lv and y.package_a = r and y.version_a = rv and y.python_version = p.python_version),
 er as (select env_id, count(*) as pairs, max(case when usable then combined end) as risk, count(case when usable then combined end) as covered_pairs, bool_or(coalesce(not allow, false)) as conflicts,
-  bool_or(coalesce(usable and warned, false)) as warned, count(*) filter (where not covered or (usable and combined is null)) as warnings from h group by 1)
+  bool_or(coalesce(usable and warned, false)) as warned, count(*) filter (where not covered or (usable and combined is null)) as warnings,
+  coalesce(string_agg(distinct case when not covered then 'Post-install model coverage is unavailable for ' when usable and combined is null then 'Post-install model embeddings are unavailable for ' end
+    || l || '==' || lv || ' with ' || r || '==' || rv || ' on Python ' || python_version, '; ' order by case when not covered then 'Post-install model coverage is unavailable for ' when usable and combined is null then 'Post-install model embeddings are unavailable for ' end
+    || l || '==' || lv || ' with ' || r || '==' || rv || ' on Python ' || python_version), '') as distinct_warnings from h group by 1)
 """
 
 
@@ -368,14 +371,17 @@ def verdict_rows(t: Tables) -> DataFrame:
     "environment_risk",
     f"""
 with {PAIR_SQL}, {REQUEST_SQL}, {RISK_SQL}
-select env_id, pairs, round(risk, 6) as maximum_post_install_risk, covered_pairs, conflicts as deterministic_conflicts, warned as post_install_risk_detected, warnings from er
+select env_id, pairs, round(risk, 6) as maximum_post_install_risk, covered_pairs, conflicts as deterministic_conflicts, warned as post_install_risk_detected, warnings, distinct_warnings from er
 """,
     "releases families pins",
 )
 def _(t: Tables) -> DataFrame:
     pairs = adv.assess_pairs(environments_of(t), scored_pairs(t), verdict_rows(t))
-    return adv.environment_risk(pairs).withColumn(
-        "maximum_post_install_risk", F.round("maximum_post_install_risk", 6)
+    return adv.environment_risk(pairs).withColumns(
+        {
+            "maximum_post_install_risk": F.round("maximum_post_install_risk", 6),
+            "distinct_warnings": F.array_join("distinct_warnings", "; "),
+        }
     )
 
 
@@ -390,7 +396,7 @@ select env_id, l as "left", r as "right", round(score, 6) as risk_score, cast(ro
 )
 def _(t: Tables) -> DataFrame:
     pairs = adv.assess_pairs(environments_of(t), scored_pairs(t), verdict_rows(t))
-    ranked = adv.pair_risk_order(pairs.filter("covered"))
+    ranked = adv.pair_risk_order(pairs)
     return ranked.select(
         "env_id", "left", "right", F.round("risk_score", 6).alias("risk_score"), "position"
     )

@@ -862,6 +862,29 @@ def _(t: Tables) -> DataFrame:
     return rounded(table, [c for c in table.columns if c.endswith("accuracy")])
 
 
+@query(
+    "improvement",
+    f"""
+with {SCORED_SQL}, p as (select family, actual, cast(score >= 0.5 as int) as guess from s),
+m as (select family, count(*) as n, sum(actual) as f, avg(cast(guess = actual as int)) as acc, sum(case when guess = 1 and actual = 1 then 1 else 0 end) as tp from p group by 1)
+select family, 'accuracy' as metric, round(acc, 6) as model, round(1 - f / n, 6) as baseline, round(acc - (1 - f / n), 6) as improvement from m
+union all select family, 'recall', round(coalesce(tp / nullif(f, 0), 0.0), 6), 0.0, round(coalesce(tp / nullif(f, 0), 0.0), 6) from m
+""",
+    "observations",
+)
+def _(t: Tables) -> DataFrame:
+    """A fixed threshold against the policy that never warns, per family."""
+    guessed = scored(t).withColumn("guess", (F.col("score") >= 0.5).cast("int"))
+    hit = F.sum(F.col("guess") * F.col("actual"))
+    model = guessed.groupBy("family").agg(
+        F.avg((F.col("guess") == F.col("actual")).cast("int")).alias("accuracy"),
+        met.ratio(hit, F.sum("actual")).alias("recall"),
+    )
+    never = guessed.groupBy("family").agg((1 - F.avg("actual")).alias("accuracy"), F.lit(0.0).alias("recall"))
+    table = met.improvement(model, never, ("accuracy", "recall"), ["family"])
+    return rounded(table, ["model", "baseline", "improvement"])
+
+
 NUMERIC = ("l_quantity", "l_extendedprice", "l_discount")
 
 

@@ -529,14 +529,15 @@ def _(t: Tables) -> DataFrame:
 @query(
     "embed_texts",
     r"""
-select doc_id, 32 as width, 1.0::double as length from documents where regexp_matches(text, '[^\s\x0b\x{85}\p{Z}]')
+select doc_id, case when ok then 32 end as width, case when ok then 1.0::double end as length, case when not ok then 'text has no tokens' end as violation
+from (select doc_id, coalesce(regexp_matches(text, '[^\s\x0b\x{85}\p{Z}]'), false) as ok from documents)
 """,
 )
 def _(t: Tables) -> DataFrame:
     encoded = tx.embed_texts(t.documents, ["doc_id"], tx.hashing_encoder(32))
     v = F.col("embedding")
     return encoded.select(
-        "doc_id", F.size(v).alias("width"), F.round(norm(v), 6).alias("length")
+        "doc_id", F.when(v.isNotNull(), F.size(v)).alias("width"), F.round(norm(v), 6).alias("length"), "violation"
     )
 
 

@@ -146,6 +146,20 @@ def _(t: Tables) -> DataFrame:
     return _micros(so.run_to_table(closed, shared_folder(t.spark, "sessions")))
 
 
+@query(
+    "stream_message_limit",
+    """
+select conv_id, turn, message from (select conv_id, turn, row_number() over (partition by conv_id order by turn) as message from conversations) where message <= 4
+""",
+)
+def _(t: Tables) -> DataFrame:
+    """The cap of five messages holds two exchanges; turn numbers are the clock."""
+    source = so.read_file_stream(t.spark, t.conversations.schema, f"{t.folder}/conversations*.parquet")
+    turns = source.select("conv_id", "turn", F.timestamp_seconds(F.col("turn") + 1_000_000_000).alias("ts"))
+    fit = conv.stream_message_limit(turns, 5)
+    return so.run_to_table(fit, shared_folder(t.spark, "limits")).drop("ts")
+
+
 CHAIN_SQL = """
 with recursive c as (select user_id, min(ts) as t from events group by 1
   union all select c.user_id, (select min(e.ts) from events e where e.user_id = c.user_id and e.ts >= c.t + interval 86400 second) from c where c.t is not null)

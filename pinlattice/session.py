@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_folder: str | None = None
+
+
 def _base_folder(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only in local mode."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where the setting is unset, as in tests, one folder serves the whole process and
+    is removed at its end. A cluster has to name a folder every executor can reach.
+    """
+    global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="pinlattice-")
+        if _own_folder is None:
+            _own_folder = tempfile.mkdtemp(prefix="pinlattice-")
+            atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
+        folder = _own_folder
     return folder.rstrip("/")
 
 

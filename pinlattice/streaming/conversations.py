@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pinlattice.constants import (
     CONVERSATION_LIMIT,
@@ -51,6 +55,46 @@ def message_limit(turns: DataFrame, limit: int = MESSAGE_LIMIT, order: str = "tu
     )
 
 
+def stream_message_limit(turns: DataFrame, limit: int = MESSAGE_LIMIT, watermark: str = "1 hour", ttl: str = SESSION_TTL) -> DataFrame:
+    """Streaming form of the limit: (conv_id, turn, ts, message) of the turns that fit.
+
+    Keyed state holds how many messages a conversation has. Turns come in pairs of
+    one exchange; an exchange that would pass the limit is rejected as a whole, and
+    so is every later one. Turns of one key are ordered inside a micro-batch. The
+    state of a conversation is freed ``ttl`` after its newest turn.
+    """
+    types = dict(turns.dtypes)
+    schema = f"conv_id {types['conv_id']}, turn {types['turn']}, ts {types['ts']}, message long"
+    full = limit - limit % 2
+    lifetime = int(pd.Timedelta(ttl).total_seconds() * 1000)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        count = state.get[0] if state.exists else 0
+        newest = 0
+        # What is kept of a batch is at most what still fits.
+        kept = None
+        for batch in batches:
+            newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
+            both = batch if kept is None else pd.concat([kept, batch])
+            kept = both.nsmallest(max(full - count, 0), "turn", keep="first")
+        if kept is not None and len(kept):
+            kept = kept.sort_values("turn").assign(message=range(count + 1, count + 1 + len(kept)))
+            count += len(kept)
+            yield kept[["conv_id", "turn", "ts", "message"]]
+        state.update((count,))
+        state.setTimeoutTimestamp(max(newest + lifetime, state.getCurrentWatermarkMs() + 1))
+
+    return (
+        turns.withWatermark("ts", watermark)
+        .select("conv_id", "turn", "ts")
+        .groupBy("conv_id")
+        .applyInPandasWithState(update, schema, "n long", "append", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
 def evict_oldest(conversations: DataFrame, keep: int = CONVERSATION_LIMIT) -> DataFrame:
     """Newest ``keep`` conversations (conv_id, created)."""
     return conversations.orderBy(F.col("created").desc(), F.col("conv_id").desc()).limit(keep)

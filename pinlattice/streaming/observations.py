@@ -71,7 +71,11 @@ def stream_observations(stream: DataFrame, path: str, rules=None) -> tuple[str,
 
 
 def stream_resume(stream: DataFrame, watermark: str = "1 day", key: str = "experiment_id") -> DataFrame:
-    """Every experiment once; infrastructure failures are not results and may come again."""
+    """Every experiment once within the watermark; infrastructure failures are not results and may come again.
+
+    The state of a key is freed with the watermark. ``append_unseen`` is the form
+    that is exact against everything stored.
+    """
     finished = stream.filter(F.col("outcome") != INFRASTRUCTURE)
     return finished.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
 
@@ -148,8 +152,9 @@ def ttl_cache(df: DataFrame, ttl: int = VERDICT_TTL_SECONDS, key: str = "key", t
         for batch in batches:
             computed: list[bool] = []
             for k, part in batch.groupby(key, sort=False, dropna=False):
-                begin = start if k == last_key else None
-                misses, start = _chain(part["__s"].to_numpy(), begin, ttl)
+                # The start time tells whether there was a key before; null keys are one key.
+                same = start is not None and (k == last_key or (pd.isna(k) and pd.isna(last_key)))
+                misses, start = _chain(part["__s"].to_numpy(), start if same else None, ttl)
                 last_key = k
                 computed += misses
             yield batch.drop(columns="__s").assign(computed=computed)
@@ -175,10 +180,13 @@ def stream_ttl_cache(stream: DataFrame, ttl: int = VERDICT_TTL_SECONDS, key: str
         for batch in batches:
             times += list(batch["seconds"])
         misses, start = _chain(sorted(times), start, ttl)
-        state.update((start,))
         expiry = int((start + ttl) * 1000)
         if expiry > state.getCurrentWatermarkMs():
+            state.update((start,))
             state.setTimeoutTimestamp(expiry)
+        elif state.exists:
+            # Rows before the watermark are not seen any more, so this verdict cannot be asked for.
+            state.remove()
         yield pd.DataFrame({key: [keys[0]], "requests": [len(misses)], "computed": [sum(misses)]})
 
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6

@@ -240,6 +240,8 @@ def test_literal_stems_are_necessary():
     assert text.literal_stem(r"backwards? incompatible") == "backward"
     assert text.literal_stem(r"\bremove[ds]?\b") == "remove"
     assert text.literal_stem(r"\bpin(?:ned|ning)?\b") == "pin"
+    assert text.literal_stem("foo|bar") == "" and text.literal_stem(r"foo(?:a|b)") == "foo"
+    assert text.literal_stem(r"foo[|]x") == "foo" and text.literal_stem(r"foo\|x") == "foo"
     for group in SIGNAL_PATTERNS.values():
         assert all(text.literal_stem(p) for p in group)
     for a, b in HIGH_SIGNAL_PATTERNS.values():
@@ -283,3 +285,9 @@ def test_conversions(spark):
     out = df.select(scalars.to_number(F.col("v"), -1.0).alias("n"), scalars.to_bool(F.col("v")).alias("b"))
     assert [r["n"] for r in out.collect()] == [1.0, -1.0, 2.5, -1.0]
     assert rows(out, "b.violation")[0] == ("not a boolean",)
+
+
+def test_alternatives_are_counted(spark):
+    frame = spark.createDataFrame([("a bar and a bar",), ("foo",), ("neither",)], "t string")
+    counted = frame.select(text.signal_counts(F.col("t"), {"g": ["foo|bar"]}).alias("s"))
+    assert [r.s["g"] for r in counted.collect()] == [2, 1, 0]

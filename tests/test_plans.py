@@ -304,3 +304,53 @@ def test_entry_runs(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_warnings_are_listed_once(spark):
+    columns = "env_id long, left string, left_version string, right string, right_version string, python_version string, covered boolean, embedding_missing boolean, constraints_allow boolean, combined_probability double, predicted_failure boolean, risk_score double"
+    data = [(1, "a", "1", "b", "2", "3.11", False, None, None, None, None, None)] * 2
+    data += [(1, "a", "1", "c", "2", "3.11", True, True, True, None, None, 0.5), (2, "a", "1", "b", "2", "3.11", True, False, True, 0.2, False, 0.2)]
+    pairs = spark.createDataFrame(data, columns)
+    got = {r.env_id: r for r in adv.environment_risk(pairs).collect()}
+    assert got[1].warnings == 3 and len(got[1].distinct_warnings) == 2 and got[2].distinct_warnings == []
+    assert [(r.env_id, r.right, r.position) for r in adv.pair_risk_order(pairs).orderBy("env_id").collect()] == [(1, "c", 1), (2, "b", 1)]
+
+
+def test_leakage_of_late_stages():
+    for column in ("import_probability", "smoke_exit_code"):
+        with pytest.raises(ContractError):
+            ft.leakage_guard([column])
+
+
+def test_null_keys_are_one_key_of_the_cache(spark):
+    from pinlattice.streaming.observations import ttl_cache
+
+    data = [(None, 0), (None, 10), (None, 200), ("a", 5), ("a", 20), ("b", 20)]
+    frame = spark.createDataFrame([(k, s) for k, s in data], "key string, s long").select("key", F.timestamp_seconds("s").alias("ts"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = ttl_cache(frame, 100).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(((r.key or "", r.computed) for r in got)) == [("", False), ("", True), ("", True), ("a", False), ("a", True), ("b", True)]
+
+
+def test_texts_without_tokens_stay(spark):
+    from pinlattice.operators.texts import embed_texts, hashing_encoder
+
+    frame = spark.createDataFrame([(1, None), (2, " "), (3, "word " * 6000 + "last")], "k long, text string")
+    got = {r.k: r for r in embed_texts(frame, ["k"], hashing_encoder(16)).collect()}
+    assert got[1].embedding is None and got[2].violation == "text has no tokens"
+    spread = embed_texts(frame.filter("k = 3"), ["k"], hashing_encoder(16), max_chunks=2).first()
+    assert got[3].violation is None and got[3].embedding != spread.embedding
+
+
+def test_uncataloged_experiments_do_not_vanish(spark):
+    data = [("e1", "x", "1", "x", "1", "3.11"), ("e2", "x", "1", "y", "1", "3.11")]
+    experiments = spark.createDataFrame(data, "experiment_id string, package_a string, version_a string, package_b string, version_b string, python_version string")
+    small = spark.createDataFrame([("x", "1", "3.11")], "name string, version string, python_version string")
+    good, problems = ft.join_catalog(experiments, small)
+    assert [r.experiment_id for r in good.collect()] == ["e1"]
+    assert [(r.rule, r.key) for r in problems.collect()] == [("release_b_not_in_catalog", "e2")]
+    with pytest.raises(Exception, match="release not in catalog: e2"):
+        ft.join_catalog(experiments, small, strict=True)[0].collect()
