@@ -29,7 +29,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 from tokenizers import Tokenizer, pre_tokenizers
 
 from pinlattice.llm.batches import add_columns
-from pinlattice.llm.distinct_words import join_words
+from pinlattice.llm.distinct_words import BLOCK_BYTES, join_words
 
 # FIXED VALUES: the word pattern of the tokenizer, spelled out for lower-cased Latin-1.
 _SPACE = "\\t-\\r\\x20\\x85\\xa0"
@@ -132,8 +132,10 @@ def encode_documents(
     text: str = "text",
     keep: Sequence[str] | None = None,
     splitter: Callable[[str], list[str]] | None = None,
+    decode: bool = True,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Add ``n_tokens``, ``ids`` (little-endian unsigned 32-bit integers) and ``decoded``."""
+    """Add ``n_tokens``, ``ids`` (little-endian unsigned 32-bit integers) and, unless told otherwise, ``decoded``."""
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = file.read()
     split = splitter or Splitter(definition)
@@ -151,14 +153,16 @@ def encode_documents(
 
     def combine(texts: pa.ChunkedArray, words: list[str], values: list[bytes]) -> Sequence:
         ids = dict(zip(words, values, strict=True))
-        shown = dict(zip(words, join_pieces(values, pieces), strict=True))
+        shown = dict(zip(words, join_pieces(values, pieces), strict=True)) if decode else {}
         packed, decoded = [], []
         for value in texts:
             found = split(value.as_py() or "")
             packed.append(b"".join(map(ids.__getitem__, found)))
-            decoded.append(" ".join(map(shown.__getitem__, found)))
+            if decode:
+                decoded.append(" ".join(map(shown.__getitem__, found)))
         counts = np.array([len(p) // 4 for p in packed], np.int64)
-        return [counts, pa.array(packed, pa.binary()), pa.array(decoded, pa.string())]
+        return [counts, pa.array(packed, pa.binary()), *([pa.array(decoded, pa.string())] if decode else [])]
 
-    fields = [StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("decoded", StringType())]
-    return join_words(docs, text, words_of, values_of, combine, fields, keep)
+    fields = [StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
+    fields += [StructField("decoded", StringType())] if decode else []
+    return join_words(docs, text, words_of, values_of, combine, fields, keep, block_bytes=block_bytes)
