@@ -173,7 +173,7 @@ def _(t: Tables) -> DataFrame:
 @query("fit_projection")
 def _(t: Tables) -> DataFrame:
     vectors = vector_table(t)
-    projection = md.fit_projection(vectors, vectors, 8)
+    projection = md.fit_projection(vectors, vectors, 32)
     return vectors.select(
         "package", "version", F.posexplode(projection.project(F.col("embedding"))).alias("axis", "value")
     )
@@ -208,7 +208,7 @@ def text_pairs(t: Tables) -> DataFrame:
 @query(
     "hybrid_matrix",
     """
-select cast(a.vec_id as varchar) as experiment_id, 1 + (select count(distinct label) from embeddings) + 32 as width, true as finite
+select cast(a.vec_id as varchar) as experiment_id, 1 + (select count(distinct label) from embeddings) + 128 as width, true as finite
 from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 and b.label = (a.label + 1) % 10
 """,
 )
@@ -219,7 +219,7 @@ def _(t: Tables) -> DataFrame:
     pairs = text_pairs(t)
     known = md.join_embeddings(pairs, vectors).drop("vector_a", "vector_b")
     preprocessor = pre.fit_preprocessor(pairs, ["size_a"], ["kind"])
-    features = md.fit_hybrid_features(known, vectors, preprocessor, 8)
+    features = md.fit_hybrid_features(known, vectors, preprocessor, 32)
     rows = features.transform(known, vectors)
     return rows.select(
         "experiment_id",
@@ -230,7 +230,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("out_of_fold")
 def _(t: Tables) -> DataFrame:
-    folded = balanced_folds(training(t), 3)
+    folded = balanced_folds(training(t), 5)
     scored_rows, problems = md.out_of_fold(folded, md.logistic_fit(NUMERIC, CATEGORICAL))
     uncovered = problems.agg(F.count(F.lit(1)).alias("uncovered"))
     return _quality(scored_rows).join(F.broadcast(uncovered))
@@ -279,7 +279,7 @@ def _(t: Tables) -> DataFrame:
     rows = training(t)
     train = rows.filter("family <> 'family-5'")
     blind = rows.filter("family = 'family-5'").drop("outcome", "actual")
-    frozen, _ = fit_final(train, NUMERIC, CATEGORICAL, folds=2)
+    frozen, _ = fit_final(train, NUMERIC, CATEGORICAL, folds=5)
     return frozen.predict(blind).select("experiment_id", "probability", "predicted")
 
 
