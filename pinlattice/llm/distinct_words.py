@@ -35,7 +35,7 @@ def _pack(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(payload: bytes) -> pa.Table:
+def unpack(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
@@ -84,11 +84,12 @@ def join_words(
     text: str,
     words_of: Callable[[pa.ChunkedArray], Iterable[str]],
     values_of: Callable[[list[str], dict[str, object]], Sequence[bytes]],
-    combine: Callable[[pa.ChunkedArray, list[str], list[bytes]], Sequence[Sequence]],
+    combine: Callable[..., Sequence[Sequence]],
     fields: Sequence[StructField],
     keep: Sequence[str] | None = None,
     facts: DataFrame | None = None,
     block_bytes: int = BLOCK_BYTES,
+    beside: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``docs`` with columns computed from the looked-up words of each text.
 
@@ -96,6 +97,8 @@ def join_words(
     ``values_of`` gives a value to each of some distinct words (with what ``facts``,
     a frame of ``word`` and one more column, knows of them), and ``combine`` gets
     texts with all their distinct words and values and returns the new columns.
+    ``beside`` makes rows (block, words, vals) of its own from the blocks; ``combine``
+    then gets those of the block too, as a list of (words, vals).
     """
     new = [f.name for f in fields]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
@@ -112,7 +115,7 @@ def join_words(
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 lists: dict[int, list[str]] = defaultdict(list)
-                for word in words_of(_unpack(payload.as_buffer()).column("text")):
+                for word in words_of(unpack(payload.as_buffer()).column("text")):
                     lists[crc32(word.encode()) % parts].append(word)
                 if not lists:
                     continue
@@ -142,20 +145,29 @@ def join_words(
             return look_up(table, dict(zip(side.column("word").to_pylist(), side.column("fact").to_pylist(), strict=True)))
 
         valued = listed.groupBy("part").cogroup(placed.groupBy("part")).applyInArrow(with_facts, shape)
+    valued = valued.withColumn("own", F.lit(True))
+    with_listed = beside is not None
+    if with_listed:
+        valued = valued.union(beside(blocks).withColumn("own", F.lit(False)))
     schema = StructType([*[StructField(n, source.schema[n].dataType) for n in names], *fields])
 
     def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
         words: list[str] = []
         values: list[bytes] = []
-        for packed, payload in zip(right.column("words"), right.column("vals"), strict=True):
+        listed = []
+        for packed, payload, own in zip(right.column("words"), right.column("vals"), right.column("own").to_pylist(), strict=True):
+            if not own:
+                listed.append((packed.as_buffer(), payload.as_buffer()))
+                continue
             part = _read_words(packed.as_buffer())
             words += part
             values += _read_values(payload.as_buffer(), len(part))
+        extra = [listed] if with_listed else []
         out = []
         for payload in left.column("payload"):
-            rows = _unpack(payload.as_buffer())
+            rows = unpack(payload.as_buffer())
             columns = [rows.column(n) for n in names]
-            columns += [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for v in combine(rows.column("text"), words, values)]
+            columns += [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for v in combine(rows.column("text"), words, values, *extra)]
             out.append(pa.table(columns, names=[*names, *new]))
         return pa.concat_tables(out)
 

@@ -2,21 +2,21 @@
 
 A text is a sequence of tokens: lower-cased words, then one end. The model codes
 the bytes of each word and a terminator with the preceding bytes of the same
-token as context (up to ``ORDER``), so a word costs the same wherever it stands;
-each distinct word is scored once and joined back to the texts.
+token as context (up to ``ORDER``), so a word costs the same wherever it stands.
 
-Training counts every distinct training word with its frequency. Byte contexts
-form a trie, kept as sorted arrays of exact integer keys (order, context,
+Training counts how often each byte follows each run of ``CONTEXT`` bytes. Byte
+contexts form a trie, kept as sorted arrays of exact integer keys (order, context,
 symbol). Escape method D: a context with total T and D distinct symbols gives a
 symbol seen c times (2c - 1) / 2T and the escape D / 2T. Symbols already excluded
 in the longer context are taken out of T and D (symbol exclusion). Below order 0 all
 remaining byte values are equally likely, so every text has a finite code length.
 
-A pair of context and symbol stays in the trie when its count reaches the
-corpus' bytes / ``PAIRS`` (the same relative floor at every size); what a context
-loses by that is added to its escape. At most ``PAIRS`` pairs per order can pass,
-which bounds what is sent to the tasks. Word counts are never cut; they grow with
-the corpus.
+No pair of context and symbol is left out. The pairs are a table of parts, by the
+last ``SHARED`` + 1 bytes of the context, so a part holds every longer context of its
+keys. What is asked of it are the distinct keys of blocks of texts, which meet the
+part's pairs once each and go back to their blocks with their values. Only the
+pairs of orders up to ``SHARED`` belong to all parts and travel with the tasks; the
+alphabet bounds them, not the corpus.
 
 Defined results: null and empty texts are one end token; without training rows
 all counts are zero and bytes are uniform; null ids count as an empty id for the
@@ -25,23 +25,31 @@ fold (held out). Columns named like a new one are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
-from pinlattice.llm.batches import NOT_SPACE, Words, pieces, span_hashes, text_bytes
-from pinlattice.llm.distinct_words import join_words
+from pinlattice.llm.batches import NOT_SPACE, Piece, Words, group_runs, mix, pieces, span_hashes, text_bytes
+from pinlattice.llm.distinct_words import join_words, unpack
 from pinlattice.session import materialize
 
 ORDER = 6
-PAIRS = 1 << 20
+# Bytes of context in a key; before a token (or text) stand ends and one edge.
+CONTEXT = 6
+# Orders up to this are known to every part.
+SHARED = 2
+# Texts are listed in pieces of so many bytes; a part of the pairs is for so many bytes of training texts.
+LIST_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 _EDGE, _END = 0x20, 0x0A
 _ALPHABET = 256
+_NONE, _NO_COUNTS = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
@@ -98,22 +106,110 @@ def _context_keys(context: np.ndarray, k: int) -> np.ndarray:
     return (np.uint64(k + 1) << np.uint64(48)) | (context & mask)
 
 
-def trie_counts(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(pair, n): how often each symbol follows each context; pair = context key * 256 + symbol."""
+def coded_keys(piece: Piece, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text) of every coded byte, text by text; key = the ``CONTEXT`` bytes before it, then the byte."""
+    length = words.ends - words.starts
+    # Every word and every end begins anew.
+    lead_word, lead_end = np.full(len(length), CONTEXT), np.full(piece.n, CONTEXT)
+    word_sums = np.concatenate(([0], np.cumsum(lead_word + length + 1)))
+    end_sums = np.concatenate(([0], np.cumsum(lead_end + 1)))
+    begin = word_sums[:-1] + end_sums[words.text] + lead_word
+    end = word_sums[words.bounds[1:]] + end_sums[:-1] + lead_end
+    stream = np.full(word_sums[-1] + end_sums[-1], _END, np.uint8)
+    coded = np.zeros(len(stream), bool)
+    at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    stream[at] = words.data[words.flags]
+    stream[begin[lead_word > 0] - 1] = stream[end[lead_end > 0] - 1] = stream[begin + length] = _EDGE
+    coded[at] = coded[begin + length] = coded[end] = True
+    keys = stream.astype(np.uint64)
+    for k in range(1, CONTEXT + 1):
+        keys[k:] |= stream[:-k].astype(np.uint64) << np.uint64(8 * k)
+    per_text = np.bincount(words.text, length + 1, minlength=piece.n).astype(np.int64) + 1
+    return keys[coded], np.repeat(np.arange(piece.n), per_text)
+
+
+def _text_keys(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of texts, keys, their texts) of runs of texts."""
+    for _, _, piece in pieces(texts, LIST_BYTES):
+        yield piece.n, *coded_keys(piece, Words(piece, NOT_SPACE, True))
+
+
+def _sum_equal(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of ``n`` of each."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = group_runs(keys)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _pack_numbers(x: np.ndarray) -> bytes:
+    """Sorted keys or other 8-byte values, compressed; bytes of one place stand together."""
+    if x.dtype == np.uint64:
+        x = np.diff(x, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack_numbers(payload: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(payload), np.uint8).reshape(8, -1)
+    x = np.ascontiguousarray(raw.T).reshape(-1).view(kind)
+    return np.cumsum(x, dtype=np.uint64) if kind is np.uint64 else x
+
+
+def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, index of its keys in their order) of sorted keys."""
+    suffix = (keys >> np.uint64(8)) & np.uint64((1 << (8 * (SHARED + 1))) - 1)
+    part = (mix(suffix) % np.uint64(parts)).astype(np.min_scalar_type(parts))
+    order = np.argsort(part, kind="stable")
+    first = group_runs(part[order])
+    for i, j in zip(first.tolist(), np.append(first[1:], len(order)).tolist(), strict=True):
+        yield int(part[order[i]]), order[i:j]
+
+
+def key_counts(training: DataFrame, text: str, parts: int) -> DataFrame:
+    """(part, keys, counts): every key of the training texts with its count, one row per part."""
 
     def run(batches):
         for batch in batches:
-            symbol, context, at = _contexts(batch.column(0), order)
-            weight = batch.column(1).to_numpy()[at[0]]
-            for k in range(order + 1):
-                usable = at[1] >= k
-                keys = (_context_keys(context[usable], k) << np.uint64(8)) | symbol[usable]
-                pairs, inverse = np.unique(keys, return_inverse=True)
-                sums = np.zeros(len(pairs), np.int64)
-                np.add.at(sums, inverse, weight[usable])
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(sums)], names=["pair", "n"])
+            for _, keys, _ in _text_keys(batch.column(0)):
+                keys, n = np.unique(keys, return_counts=True)
+                rows = [(part, _pack_numbers(keys[at]), _pack_numbers(n[at])) for part, at in _by_part(keys, parts)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "keys", "counts"])
 
-    return counts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    def merge(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([_unpack_numbers(x.as_buffer(), np.uint64) for x in table.column("keys")])
+        n = np.concatenate([_unpack_numbers(x.as_buffer(), np.int64) for x in table.column("counts")])
+        keys, n = _sum_equal(keys, n)
+        columns = [table.column("part").slice(0, 1), pa.array([_pack_numbers(keys)], pa.binary()), pa.array([_pack_numbers(n)], pa.binary())]
+        return pa.table(columns, names=["part", "keys", "counts"])
+
+    shape = "part int, keys binary, counts binary"
+    listed = training.select(training[text].alias("text")).mapInArrow(run, shape)
+    return listed.groupBy("part").applyInArrow(merge, shape)
+
+
+def _pairs(keys: np.ndarray, n: np.ndarray, orders: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, count) of the given orders, longest first; pair = context key * 256 + symbol."""
+    found = [(keys[:0], n[:0])]
+    for k in orders:
+        keys, n = _sum_equal(keys & np.uint64((1 << (8 * (k + 1))) - 1), n)
+        found.append((keys | np.uint64((k + 1) << 56), n))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def shared_pairs(table: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, count) of all orders up to ``SHARED``."""
+    low = min(order, SHARED)
+
+    def run(batches):
+        for batch in batches:
+            for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
+                pairs, n = _pairs(_unpack_numbers(keys.as_buffer(), np.uint64), _unpack_numbers(counts.as_buffer(), np.int64), [low])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n)], names=["pair", "n"])
+
+    summed = table.select("keys", "counts").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs, n = summed.column("pair").to_numpy().view(np.uint64), summed.column("n").to_numpy()
+    return _pairs(pairs, n, range(low, -1, -1))
 
 
 @dataclass
@@ -131,7 +227,7 @@ class Trie:
     rest_distinct: np.ndarray
 
     @classmethod
-    def build(cls, order: int, pairs: np.ndarray, counts: np.ndarray, contexts_lost: np.ndarray, lost: np.ndarray) -> Trie:
+    def build(cls, order: int, pairs: np.ndarray, counts: np.ndarray, contexts_lost: np.ndarray = _NONE, lost: np.ndarray = _NO_COUNTS) -> Trie:
         """``lost`` has the count of each of ``contexts_lost`` (sorted) that is not among the pairs."""
         at = np.argsort(pairs)
         pairs, counts = pairs[at], counts[at]
@@ -157,15 +253,9 @@ class Trie:
         cut = np.where(contexts_lost[own] == contexts, lost[own], 0) if len(lost) else np.zeros(len(contexts), np.int64)
         return cls(order, pairs, counts, contexts, total, sizes, cut, rest_total, rest_distinct)
 
-    def log10_of(self, words: pa.Array) -> np.ndarray:
-        """log10 probability of each word with its terminator."""
-        symbol, context, at = _contexts(words, self.order)
-        out = self._log10(symbol, context, at[1])
-        return np.bincount(at[0], out, minlength=len(words))
-
-    def log10_end(self) -> float:
-        """log10 probability of the end where a token begins."""
-        return float(self._log10(np.array([_END], np.uint8), np.array([_EDGE], np.uint64), np.array([1]))[0])
+    def log10_of(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each key after the others."""
+        return self._log10((keys & np.uint64(255)).astype(np.uint8), keys >> np.uint64(8), np.full(len(keys), CONTEXT))
 
     def _log10(self, symbol: np.ndarray, context: np.ndarray, place: np.ndarray) -> np.ndarray:
         n = len(symbol)
@@ -197,32 +287,54 @@ class Trie:
         return out
 
 
-def train_trie(counts: DataFrame, texts: int, order: int = ORDER, pairs: int = PAIRS) -> Trie:
-    """The trie of all training words and ``texts`` ends."""
-    total = counts.agg(F.sum(F.col("n") * (F.octet_length("word") + 1)).alias("n")).first()["n"] or 0
-    floor = max(1, -(-(total + texts) // pairs))
-    by_context = (
-        trie_counts(counts, order)
-        .groupBy(F.shiftrightunsigned("pair", 8).alias("context"))
-        .agg(
-            F.collect_list(F.when(F.col("n") >= floor, F.struct("pair", "n"))).alias("kept"),
-            F.sum(F.when(F.col("n") < floor, F.col("n")).otherwise(0)).alias("lost"),
-        )
-        .filter(F.size("kept") > 0)
-        .toArrow()  # at most ``pairs`` rows per order, each with its symbols
-    )
-    flat = by_context.column("kept").combine_chunks().flatten()
-    keys = flat.field("pair").to_numpy().view(np.uint64)
-    n = flat.field("n").to_numpy().copy()
-    nodes = by_context.column("context").to_numpy().view(np.uint64)
-    at = np.argsort(nodes)
-    nodes, lost = nodes[at], by_context.column("lost").to_numpy()[at]
-    if texts:
-        # The end follows the edge: contexts of order 0 and 1.
-        edge = np.array([_EDGE], np.uint64)
-        ends = np.array([(int(_context_keys(edge, k)[0]) << 8) | _END for k in (0, 1)], np.uint64)
-        keys, n = np.concatenate([keys, ends]), np.concatenate([n, [texts, texts]])
-    return Trie.build(order, keys, n, nodes, lost)
+def key_scores(blocks: DataFrame, table: DataFrame, shared: tuple[np.ndarray, np.ndarray], parts: int, order: int) -> DataFrame:
+    """(block, words, vals): the distinct keys of every block of texts, by part, and their log10 probabilities."""
+
+    def list_keys(batches):
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = [np.unique(keys) for _, keys, _ in _text_keys(unpack(payload.as_buffer()).column("text"))]
+                keys = np.unique(np.concatenate(found))
+                rows = [(block, part, _pack_numbers(keys[at])) for part, at in _by_part(keys, parts)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "words"])
+
+    def look_up(asked: pa.Table, side: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary())], names=["block", "words", "vals"])
+        pairs, n = shared
+        for keys, counts in zip(side.column("keys"), side.column("counts"), strict=True):
+            own = _pairs(_unpack_numbers(keys.as_buffer(), np.uint64), _unpack_numbers(counts.as_buffer(), np.int64), range(order, SHARED, -1))
+            pairs, n = np.concatenate([pairs, own[0]]), np.concatenate([n, own[1]])
+        trie = Trie.build(order, pairs, n)
+        lists = [_unpack_numbers(x.as_buffer(), np.uint64) for x in asked.column("words")]
+        distinct = np.unique(np.concatenate(lists))
+        value = trie.log10_of(distinct)
+        packed = [_pack_numbers(value[np.searchsorted(distinct, keys)]) for keys in lists]
+        return pa.table([asked.column("block"), asked.column("words"), pa.array(packed, pa.binary())], names=["block", "words", "vals"])
+
+    listed = blocks.mapInArrow(list_keys, "block long, part int, words binary")
+    return listed.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(look_up, "block long, words binary, vals binary")
+
+
+def _coded_sums(texts: pa.ChunkedArray, listed: Sequence[tuple[bytes, bytes]]) -> np.ndarray:
+    """The sum of the looked-up values of all coded bytes of each text."""
+    keys = np.concatenate([_NONE, *[_unpack_numbers(k, np.uint64) for k, _ in listed]])
+    values = np.concatenate([np.zeros(0), *[_unpack_numbers(v, np.float64) for _, v in listed]])
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    sums = [np.zeros(0)]
+    for n, coded, text in _text_keys(texts):
+        # Sorted, since near keys are looked up much faster one after another.
+        order = np.argsort(coded)
+        coded = coded[order]
+        at = np.minimum(np.searchsorted(keys, coded), len(keys) - 1)
+        if (keys[at] != coded).any():
+            raise RuntimeError("a context of a block was not looked up")
+        back = np.empty(len(coded))
+        back[order] = values[at]
+        sums.append(np.bincount(text, back, minlength=n))
+    return np.concatenate(sums)
 
 
 _FIELDS = ("n_tokens", "n_known", "train_tokens")
@@ -235,43 +347,48 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", order:
     words, tokens = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
     tokens = (tokens or 0) + ends
     distinct = words + (ends > 0)
-    trie = train_trie(counts, ends, order)
+    size = training.agg(F.sum(F.octet_length(training[text])).alias("n")).first()["n"] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    table = materialize(key_counts(training, text, parts))
+    shared = shared_pairs(table, order)
     mass = tokens + 0.1 * (distinct + 1)
-    end_base, end_score = float(np.log10((ends + 0.1) / mass)), trie.log10_end()
+    end_base = float(np.log10((ends + 0.1) / mass))
 
     def words_of(texts: pa.ChunkedArray) -> Iterable[str]:
         return distinct_words(texts)[0]
 
     def values_of(words: list[str], known: dict[str, object]) -> list[bytes]:
         n = np.array([known.get(w, 0) for w in words], np.float64)
-        values = np.stack([np.log10((n + 0.1) / mass), trie.log10_of(pa.array(words, pa.string())), n], axis=1)
+        values = np.stack([np.log10((n + 0.1) / mass), n], axis=1)
         return [row.tobytes() for row in values]
 
-    def combine(texts: pa.ChunkedArray, words: list[str], values: list[bytes]) -> Sequence:
+    def combine(texts: pa.ChunkedArray, words: list[str], values: list[bytes], listed: Sequence[tuple[bytes, bytes]]) -> Sequence:
         data, offsets = text_bytes(pa.array(words, pa.string()))
         hashes = span_hashes(data, offsets[:-1], offsets[1:])
         order_ = np.argsort(hashes)
         hashes = hashes[order_]
-        base, coded, n = np.frombuffer(b"".join(values)).reshape(-1, 3)[order_].T
-        parts = []
+        base, n = np.frombuffer(b"".join(values)).reshape(-1, 2)[order_].T
+        found_in = []
         for _, _, piece in pieces(texts):
             found = Words(piece, NOT_SPACE, True)
             if not len(found.hashes):
-                parts.append((found.counts, found.counts, np.zeros(piece.n), np.zeros(piece.n)))
+                found_in.append((found.counts, found.counts, np.zeros(piece.n)))
                 continue
             at = np.searchsorted(hashes, found.hashes)
             if (hashes[np.minimum(at, len(hashes) - 1)] != found.hashes).any():
                 raise RuntimeError("a word of a block was not looked up")
-            sums = [np.bincount(found.text, x[at], minlength=piece.n) for x in (n > 0, base, coded)]
-            parts.append((found.counts, sums[0].astype(np.int64), sums[1], sums[2]))
-        counted, seen, base_sum, coded_sum = (np.concatenate(x) for x in zip(*parts, strict=True))
+            sums = [np.bincount(found.text, x[at], minlength=piece.n) for x in (n > 0, base)]
+            found_in.append((found.counts, sums[0].astype(np.int64), sums[1]))
+        counted, seen, base_sum = (np.concatenate(x) for x in zip(*found_in, strict=True))
         return [
             counted + 1,
             seen + int(ends > 0),
             np.full(len(counted), tokens, np.int64),
             base_sum + end_base,
-            coded_sum + end_score,
+            _coded_sums(texts, listed),
         ]
 
     fields = [*[StructField(f, LongType()) for f in _FIELDS], StructField("base_score", DoubleType()), StructField("score", DoubleType())]
-    return join_words(docs, text, words_of, values_of, combine, fields, keep, counts)
+    return join_words(
+        docs, text, words_of, values_of, combine, fields, keep, counts, beside=lambda blocks: key_scores(blocks, table, shared, parts, order)
+    )

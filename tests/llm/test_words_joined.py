@@ -137,6 +137,15 @@ def test_scoring_without_training_rows(documents):
     assert ppm.score_texts(rows.limit(0), rows).count() == 0
 
 
+def test_no_pair_is_left_out(documents):
+    # 1.1 million times one word: a floor of 2 in a million would drop each rare one.
+    common = [(i, "aa " * 11_000) for i in range(100)]
+    rare = [(1000, "qzx"), (1001, "vjk")]
+    got = {r.doc_id: r.score for r in ppm.score_texts(documents(rare), documents(common + rare)).collect()}
+    cost, end = slow_ppm(Counter({"aa": 1_100_000, "qzx": 1, "vjk": 1}), 102, 6)
+    assert math.isclose(got[1000], cost("qzx") + end, rel_tol=1e-9) and math.isclose(got[1001], cost("vjk") + end, rel_tol=1e-9)
+
+
 def test_matrix_has_exact_margins():
     rng = np.random.default_rng(4)
     blocks = rng.integers(0, 200, 30)
