@@ -1,8 +1,9 @@
 """Language-model scoring by prediction by partial matching.
 
 A text is a sequence of tokens: lower-cased words, then one end. The model codes
-the bytes of each word and a terminator with the preceding bytes of the same
-token as context (up to ``ORDER``), so a word costs the same wherever it stands.
+the bytes of each word, a terminator after it and the end with the preceding bytes
+as context (up to ``ORDER``). With ``across`` the context runs over token edges, back to the
+beginning of the text; else it begins anew with every token.
 
 Training counts how often each byte follows each run of ``CONTEXT`` bytes. Byte
 contexts form a trie, kept as sorted arrays of exact integer keys (order, context,
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
-from pinlattice.llm.batches import NOT_SPACE, Piece, Words, group_runs, mix, pieces, span_hashes, text_bytes
+from pinlattice.llm.batches import NOT_SPACE, Piece, Words, group_runs, mix, pieces, sliced, span_hashes, text_bytes
 from pinlattice.llm.distinct_words import join_words, unpack
 from pinlattice.session import materialize
 
@@ -44,9 +45,9 @@ ORDER = 6
 CONTEXT = 6
 # Orders up to this are known to every part.
 SHARED = 2
-# Texts are listed in pieces of so many bytes; a part of the pairs is for so many bytes of training texts.
-LIST_BYTES = 8 << 20
+# A part of the pairs is for so many bytes of training texts; texts travel in blocks of so many.
 PART_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 _EDGE, _END = 0x20, 0x0A
 _ALPHABET = 256
 _NONE, _NO_COUNTS = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -106,11 +107,13 @@ def _context_keys(context: np.ndarray, k: int) -> np.ndarray:
     return (np.uint64(k + 1) << np.uint64(48)) | (context & mask)
 
 
-def coded_keys(piece: Piece, words: Words) -> tuple[np.ndarray, np.ndarray]:
+def coded_keys(piece: Piece, words: Words, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """(key, text) of every coded byte, text by text; key = the ``CONTEXT`` bytes before it, then the byte."""
     length = words.ends - words.starts
-    # Every word and every end begins anew.
     lead_word, lead_end = np.full(len(length), CONTEXT), np.full(piece.n, CONTEXT)
+    if across:  # only the first token of a text has nothing before it
+        lead_word[np.flatnonzero(words.text[1:] == words.text[:-1]) + 1] = 0
+        lead_end[words.counts > 0] = 0
     word_sums = np.concatenate(([0], np.cumsum(lead_word + length + 1)))
     end_sums = np.concatenate(([0], np.cumsum(lead_end + 1)))
     begin = word_sums[:-1] + end_sums[words.text] + lead_word
@@ -128,10 +131,10 @@ def coded_keys(piece: Piece, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return keys[coded], np.repeat(np.arange(piece.n), per_text)
 
 
-def _text_keys(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _text_keys(texts: pa.Array | pa.ChunkedArray, across: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of texts, keys, their texts) of runs of texts."""
-    for _, _, piece in pieces(texts, LIST_BYTES):
-        yield piece.n, *coded_keys(piece, Words(piece, NOT_SPACE, True))
+    for _, _, piece in pieces(texts):
+        yield piece.n, *coded_keys(piece, Words(piece, NOT_SPACE, True), across)
 
 
 def _sum_equal(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,13 +168,14 @@ def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[order[i]]), order[i:j]
 
 
-def key_counts(training: DataFrame, text: str, parts: int) -> DataFrame:
+def key_counts(training: DataFrame, text: str, parts: int, across: bool) -> DataFrame:
     """(part, keys, counts): every key of the training texts with its count, one row per part."""
 
     def run(batches):
         for batch in batches:
-            for _, keys, _ in _text_keys(batch.column(0)):
-                keys, n = np.unique(keys, return_counts=True)
+            for part_of_batch in sliced([batch], 0):
+                found = [np.unique(keys, return_counts=True) for _, keys, _ in _text_keys(part_of_batch.column(0), across)]
+                keys, n = _sum_equal(*(np.concatenate(x) for x in zip(*found, strict=True)))
                 rows = [(part, _pack_numbers(keys[at]), _pack_numbers(n[at])) for part, at in _by_part(keys, parts)]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "keys", "counts"])
@@ -287,13 +291,13 @@ class Trie:
         return out
 
 
-def key_scores(blocks: DataFrame, table: DataFrame, shared: tuple[np.ndarray, np.ndarray], parts: int, order: int) -> DataFrame:
+def key_scores(blocks: DataFrame, table: DataFrame, shared: tuple[np.ndarray, np.ndarray], parts: int, order: int, across: bool) -> DataFrame:
     """(block, words, vals): the distinct keys of every block of texts, by part, and their log10 probabilities."""
 
     def list_keys(batches):
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [np.unique(keys) for _, keys, _ in _text_keys(unpack(payload.as_buffer()).column("text"))]
+                found = [np.unique(keys) for _, keys, _ in _text_keys(unpack(payload.as_buffer()).column("text"), across)]
                 keys = np.unique(np.concatenate(found))
                 rows = [(block, part, _pack_numbers(keys[at])) for part, at in _by_part(keys, parts)]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)]
@@ -317,14 +321,14 @@ def key_scores(blocks: DataFrame, table: DataFrame, shared: tuple[np.ndarray, np
     return listed.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(look_up, "block long, words binary, vals binary")
 
 
-def _coded_sums(texts: pa.ChunkedArray, listed: Sequence[tuple[bytes, bytes]]) -> np.ndarray:
+def _coded_sums(texts: pa.ChunkedArray, listed: Sequence[tuple[bytes, bytes]], across: bool) -> np.ndarray:
     """The sum of the looked-up values of all coded bytes of each text."""
     keys = np.concatenate([_NONE, *[_unpack_numbers(k, np.uint64) for k, _ in listed]])
     values = np.concatenate([np.zeros(0), *[_unpack_numbers(v, np.float64) for _, v in listed]])
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     sums = [np.zeros(0)]
-    for n, coded, text in _text_keys(texts):
+    for n, coded, text in _text_keys(texts, across):
         # Sorted, since near keys are looked up much faster one after another.
         order = np.argsort(coded)
         coded = coded[order]
@@ -340,7 +344,7 @@ def _coded_sums(texts: pa.ChunkedArray, listed: Sequence[tuple[bytes, bytes]]) -
 _FIELDS = ("n_tokens", "n_known", "train_tokens")
 
 
-def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", order: int = ORDER, keep: Sequence[str] | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", order: int = ORDER, keep: Sequence[str] | None = None, across: bool = False) -> DataFrame:
     """Add n_tokens, n_known, train_tokens, base_score (smoothed unigrams) and score (partial matching)."""
     counts = materialize(word_counts(training, text))
     ends = training.count()
@@ -349,7 +353,7 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", order:
     distinct = words + (ends > 0)
     size = training.agg(F.sum(F.octet_length(training[text])).alias("n")).first()["n"] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    table = materialize(key_counts(training, text, parts))
+    table = materialize(key_counts(training, text, parts, across))
     shared = shared_pairs(table, order)
     mass = tokens + 0.1 * (distinct + 1)
     end_base = float(np.log10((ends + 0.1) / mass))
@@ -385,10 +389,10 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", order:
             seen + int(ends > 0),
             np.full(len(counted), tokens, np.int64),
             base_sum + end_base,
-            _coded_sums(texts, listed),
+            _coded_sums(texts, listed, across),
         ]
 
     fields = [*[StructField(f, LongType()) for f in _FIELDS], StructField("base_score", DoubleType()), StructField("score", DoubleType())]
     return join_words(
-        docs, text, words_of, values_of, combine, fields, keep, counts, beside=lambda blocks: key_scores(blocks, table, shared, parts, order)
+        docs, text, words_of, values_of, combine, fields, keep, counts, BLOCK_BYTES, lambda blocks: key_scores(blocks, table, shared, parts, order, across)
     )

@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pinlattice.llm import bpe, ppm, sharding
+from pinlattice.llm import bpe, ppm, queries, sharding  # noqa: F401
+from pinlattice.llm.registry import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -146,6 +147,54 @@ def test_no_pair_is_left_out(documents):
     assert math.isclose(got[1000], cost("qzx") + end, rel_tol=1e-9) and math.isclose(got[1001], cost("vjk") + end, rel_tol=1e-9)
 
 
+def stream_scores(train, texts, order):
+    """Method D with exclusion over whole token streams, from dictionaries; six bytes stand before each text."""
+    streams = [b"\n" * 5 + b" " + b"".join(w.encode() + b" " for w in plain_tokens(t)[:-1]) + b"\n" for t in train]
+    counts = {}
+    for stream in streams:
+        for j in range(6, len(stream)):
+            for k in range(order + 1):
+                counts.setdefault(stream[j - k : j], Counter())[stream[j]] += 1
+
+    def code(context, symbol):
+        out, excluded = 0.0, set()
+        for k in range(order, -1, -1):
+            left = {s: n for s, n in counts.get(context[6 - k :], {}).items() if s not in excluded}
+            total = 2 * sum(left.values())
+            if symbol in left:
+                return out + math.log10((2 * left[symbol] - 1) / total)
+            if left:
+                out += math.log10(len(left) / total)
+            excluded |= set(left)
+        return out - math.log10(256 - len(excluded))
+
+    out = []
+    for t in texts:
+        stream = b"\n" * 5 + b" " + b"".join(w.encode() + b" " for w in plain_tokens(t)[:-1]) + b"\n"
+        out.append(sum(code(stream[j - 6 : j], stream[j]) for j in range(6, len(stream))))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 4, 6])
+def test_contexts_across_tokens_against_a_slow_model(documents, order):
+    rng = random.Random(5)
+    train = [" ".join(rng.choice(["the", "then", "Thé", "of a", "x", "zz9"]) for _ in range(rng.randrange(0, 12))) for i in range(40)]
+    texts = [*train[:5], None, "", " \n", "The unseen\tŧ of  a then", "a of the", "the of a", "zzz " * 300]
+    got = ppm.score_texts(documents(list(enumerate(texts))), documents(list(enumerate(train))), order=order, across=True).collect()
+    want = stream_scores(train, texts, order)
+    assert len(got) == len(texts)
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9)
+
+
+def test_the_order_of_words_counts(tables, spark, documents):
+    # doc ids 0.. are both trained on and scored by the query.
+    fluent = "one little fox ran over one big hill"
+    rows = [(i, fluent) for i in range(40)] + [(100, "hill big one over ran fox little one")]
+    got = {r.doc_id: r.score for r in QUERIES["op9_ppm_scoring"](spark, tables(documents=documents(rows))).collect()}
+    assert got[0] > got[100] + 5
+
+
 def test_matrix_has_exact_margins():
     rng = np.random.default_rng(4)
     blocks = rng.integers(0, 200, 30)
