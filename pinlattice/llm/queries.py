@@ -129,7 +129,7 @@ def op9(spark, sf_dir):
 @query("op2_ngram_jaccard_join")
 def op2(spark, sf_dir):
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, numerator=9, denominator=10)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("set").alias("class_id"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("set").alias("class_id"), "n_links")
 
 
 @query("op7_language_id")
