@@ -3,7 +3,8 @@
 Base kinds are fixed patterns (``assign``, ``access``, ``hex``). The method looks
 at every other unbroken string of ``MIN_LENGTH`` or more characters with a digit
 and a letter whose surroundings (``CONTEXT`` characters before it) name something
-sensitive. Its novelty is the number of bytes zstandard needs for it after a
+sensitive. A string with an inner equals sign is a name and a value: the name counts as
+surroundings of the value. Its novelty is the number of bytes zstandard needs for it after a
 dictionary of the corpus' most frequent identifiers and its own surroundings,
 divided by its length: an identifier or a repeat of nearby text costs next to
 nothing, random key material costs nearly its entropy. Strings of at least
@@ -13,7 +14,8 @@ The dictionary is counted over all texts (identifiers of four or more
 characters, by frequency) and cut to ``DICTIONARY_WORDS`` entries, so it travels with the tasks.
 
 Defined results: null and empty texts have no spans; overlaps of a novel string
-with a base span are not reported twice (the base span stays); positions are code
+with a base span are not reported twice (the base span stays, the rest of the
+string is tested and reported beside it); positions are code
 points, the end is exclusive. Columns named like a new one are replaced.
 """
 
@@ -50,6 +52,8 @@ _WORDS_OF_ASSIGN = ("password", "passwd", "secret", "token", "apikey", "api_key"
 _SENSITIVE = re.compile("pass|pwd|secret|token|key|auth|cred|bearer|private|signature|session|cookie|login|akia", re.ASCII | re.IGNORECASE)
 # Possessive: a failing string is not tried again from its middle.
 _CANDIDATE = re.compile("(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}+" % MIN_LENGTH)
+# Name and value around the first inner equals sign; signs at the end are padding.
+_ASSIGNED = re.compile("([^=]+)=+([^=].*)", re.DOTALL)
 _IDENTIFIER = re.compile("[A-Za-z_][A-Za-z0-9_]{3,}")
 
 Span = tuple[str, int, int]
@@ -83,21 +87,47 @@ class Novelty:
         return (len(whole) - len(self.compressor.compress(before))) / len(candidate)
 
 
-def novel_spans(text: str, taken: Sequence[Span], novelty: Novelty, threshold: float = NOVELTY) -> list[Span]:
-    found = []
-    for m in _CANDIDATE.finditer(text):
-        start, end = m.span()
-        value = m.group()
-        if any(a < end and start < b for _, a, b in taken):
-            continue
-        if not re.search("[0-9]", value) or not re.search("[A-Za-z]", value):
-            continue
-        context = text[max(0, start - CONTEXT) : start]
+def _uncovered(start: int, end: int, taken: Sequence[Span]) -> list[tuple[int, int]]:
+    """The parts of a range outside all spans."""
+    parts = []
+    for _, a, b in sorted((s for s in taken if s[1] < end and start < s[2]), key=lambda s: s[1:]):
+        if start < a:
+            parts.append((start, a))
+        start = max(start, b)
+    return [*parts, (start, end)] if start < end else parts
+
+
+def novel_spans(text: str, taken: Sequence[Span], novelty: Novelty, threshold: float = NOVELTY, rest: bool = False) -> list[Span]:
+    """Novel spans; with ``rest`` also what is left of a string that overlaps a ``taken`` span."""
+    found: list[Span] = []
+
+    def test(start: int, end: int, first: int) -> bool:
+        """Report what of a range no base span covers; its context begins before ``first``."""
+        parts = _uncovered(start, end, taken)
+        if not rest and parts != [(start, end)]:
+            return False
+        value = "".join(text[a:b] for a, b in parts)
+        if len(value) < MIN_LENGTH or not re.search("[0-9]", value) or not re.search("[A-Za-z]", value):
+            return False
+        context = text[max(0, first - CONTEXT) : start]
         if not _SENSITIVE.search(context):
-            continue
+            return False
         after = text[end : end + CONTEXT]
-        if novelty(context + after + " ", value) >= threshold:
-            found.append((NOVEL, start, end))
+        if novelty(context + after + " ", value) < threshold:
+            return False
+        found.extend((NOVEL, a, b) for a, b in parts)
+        return True
+
+    for m in _CANDIDATE.finditer(text):
+        start, end = m.span()
+        split = _ASSIGNED.fullmatch(m.group())
+        if split:
+            # An unspaced assignment: its name is context of its value. Either may be the secret.
+            of_value = test(start + split.start(2), end, start)
+            of_name = test(start, start + split.end(1), start)
+            if of_value or of_name:
+                continue
+        test(start, end, start)
     return found
 
 
@@ -136,7 +166,7 @@ def find_secrets(docs: DataFrame, text: str = "text", dictionary: bytes | None =
             for value in column:
                 body = value.as_py() or ""
                 spans = base_spans(body)
-                spans += novel_spans(body, spans, novelty, threshold)
+                spans += novel_spans(body, spans, novelty, threshold, rest=True)
                 spans.sort(key=lambda s: (s[1], order[s[0]]))
                 rows.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
             yield [pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))]

@@ -109,3 +109,23 @@ def test_digest_of_no_spans(documents):
 
     row = secrets.find_secrets(documents([(1, "x")])).select(F.sha2(joined(F.col("secret_spans")), 256).alias("d")).first()
     assert row.d == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("before", ["", "export ", "a line\n"])
+@pytest.mark.parametrize("name", ["DB_PWD", "AUTH", "aws_access_key"])
+def test_unspaced_assignments_are_novel(before, name):
+    value = "Xk29sLqP8vZt41Rwq8"
+    text = f"{before}{name}={value}\n"
+    at = text.index(value)
+    novelty = secrets.Novelty(b"")
+    assert secrets.novel_spans(text, secrets.base_spans(text), novelty) == [("novel", at, at + len(value))]
+    assert secrets.novel_spans(f"{before}plain={value}", [], novelty) == []
+
+
+def test_the_rest_of_a_string_around_a_base_span_is_novel():
+    head, tail = "Xk29sLqP8vZt41RwqZ_", "_Hq7TzW3mNc5YbK9uVj"
+    text = "client_key: " + head + "0123456789abcdef" + tail
+    base = secrets.base_spans(text)
+    assert base == [("hex", 12 + len(head), 28 + len(head))]
+    found = secrets.novel_spans(text, base, secrets.Novelty(b""), rest=True)
+    assert [text[a:b] for _, a, b in found] == [head, tail]
