@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pinlattice.llm import bpe, decontaminate, jaccard, language, personal, ppm, quality, secrets, sharding, toxicity
+from pinlattice.llm import bpe, decontaminate, filter_audit, jaccard, language, personal, ppm, quality, secrets, sharding, toxicity
 from pinlattice.llm.registry import query, table
 from pinlattice.llm.spans import count_of, joined, of_kinds
 
@@ -147,3 +147,49 @@ def op8(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").filter(ppm.fold(F.col("doc_id"), 4) != 2)
     scorer = toxicity.train(toxicity.labelled_sample(docs, labels, "doc_id", "text"))
     return toxicity.score_texts(folded, scorer, keep=["doc_id", "held_out"])
+
+
+OP13_SQL = r"""
+with t as (
+  select doc_id, coalesce(text, '') as text, coalesce(lang, '') as part,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), least_ids as (select coalesce(text, '') as text, min(doc_id) as least from documents group by 1),
+known as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+marked as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    case when len(w) < 200 then 1 else 0 end
+    + case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end
+    + case when 100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 3 * length(t.text) then 4 else 0 end
+    + case when regexp_matches(t.text, '[#$%&*|]') then 8 else 0 end
+    + case when coalesce(t.doc_id > least, false) then 16 else 0 end as mask
+  from t left join least_ids using (text) left join known using (doc_id)
+), cells as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from marked group by 1, 2),
+letters(f, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from letters a join letters b on b.f <> a.f join letters c on c.f not in (a.f, b.f)
+  join letters d on d.f not in (a.f, b.f, c.f) join letters e on e.f not in (a.f, b.f, c.f, d.f)
+), steps as (
+  select filter_order, cast(s as int) as step, bits[s] as bit, cast(list_sum(bits[1:s]) as int) - bits[s] as before
+  from orders, unnest(range(1, 6)) as u(s)
+), parts as (select distinct part from marked),
+counted as (
+  select p.part, filter_order, step, bit,
+    cast(coalesce(sum(n) filter ((mask & (before | bit)) = 0), 0) as bigint) as kept,
+    cast(coalesce(sum(n) filter ((mask & before) = 0 and (mask & bit) > 0), 0) as bigint) as removed,
+    cast(coalesce(sum(n) filter ((mask & before) > 0 and (mask & bit) > 0), 0) as bigint) as redundant,
+    cast(coalesce(sum(n) filter (mask = bit), 0) as bigint) as unique_fails,
+    cast(coalesce(sum(good) filter ((mask & before) = 0 and (mask & bit) > 0), 0) as bigint) as good_lost,
+    cast(coalesce(sum(toxic) filter ((mask & before) = 0 and (mask & bit) > 0), 0) as bigint) as toxic_lost
+  from steps, parts p join cells using (part) group by 1, 2, 3, 4
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from counted
+"""
+
+
+@query("op13_filter_interactions", OP13_SQL)
+def op13(spark, sf_dir):
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
