@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pinlattice.llm import bpe, decontaminate, filter_audit, jaccard, language, personal, ppm, quality, secrets, sharding, toxicity
+from pinlattice.llm import bpe, decontaminate, filter_audit, fingerprints, jaccard, language, personal, ppm, quality, secrets, sharding, toxicity
 from pinlattice.llm.registry import query, table
 from pinlattice.llm.spans import count_of, joined, of_kinds
 
@@ -193,3 +193,8 @@ from counted
 @query("op13_filter_interactions", OP13_SQL)
 def op13(spark, sf_dir):
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
+@query("op11_document_fingerprints")
+def op11(spark, sf_dir):
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
