@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pinlattice.llm import bpe, decontaminate, filter_audit, fingerprints, jaccard, language, personal, ppm, quality, secrets, sharding, toxicity
+from pinlattice.llm import bpe, decontaminate, filter_audit, fingerprints, jaccard, language, personal, phrases, ppm, quality, secrets, sharding, toxicity
 from pinlattice.llm.registry import query, table
 from pinlattice.llm.spans import count_of, joined, of_kinds
 
@@ -198,3 +198,38 @@ def op13(spark, sf_dir):
 @query("op11_document_fingerprints")
 def op11(spark, sf_dir):
     return fingerprints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+OP12_SQL = r"""
+with docs as (
+  select row_number() over () as row_id, coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), pieces as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from docs),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from pieces group by 1),
+grams as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+  from pieces, unnest(range(1, 5)) as s(k), unnest(range(1, len(w) - k + 2)) as t(i) where len(w) >= k
+), f as (select lang, k, phrase, count(*) as a from grams group by 1, 2, 3 having count(*) >= 30),
+parts as (select *, string_split(phrase, ' ') as p from f),
+cuts as (
+  select c.lang, c.phrase, c.a, j, h.a as l, t.a as r, (2000000::hugeint * c.a) // (h.a + t.a) as score
+  from (select *, unnest(range(1, k)) as j from parts where k > 1) c
+  join f h on h.lang = c.lang and h.phrase = array_to_string(list_slice(c.p, 1, j), ' ')
+  join f t on t.lang = c.lang and t.phrase = array_to_string(list_slice(c.p, j + 1, c.k), ' ')
+), best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+longer as (
+  select lang, array_to_string(list_slice(p, i, i + m - 1), ' ') as phrase, max(a) as longer
+  from (select *, unnest(range(2, k)) as m from parts where k > 2), unnest(range(1, k - m + 2)) as t(i) group by 1, 2
+), kept as (
+  select b.* from best b left join longer g using (lang, phrase) where g.longer is null or 100::hugeint * g.longer < 80::hugeint * b.a
+)
+select lang, cast(row_number() over (partition by lang order by score desc, a desc, phrase) as bigint) as rank,
+  phrase, a, l, r, n, cast(score as bigint) as score
+from kept join totals using (lang) qualify rank <= 2000
+"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
