@@ -42,7 +42,7 @@ COVERED = 80  # per cent of its occurrences inside one longer phrase that make a
 TOP = 2000
 SCORE_SCALE = 2_000_000
 SHARDS = 14
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PART_BYTES = 32 << 20
 FILTER_BITS = 1 << 29
 _SEGMENT_BITS = 1 << 22
