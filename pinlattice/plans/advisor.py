@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pinlattice.constants import (
-    COVERAGE_WARNING,
-    EMBEDDING_WARNING,
+    UNCOVERED_RELEASE,
+    UNEMBEDDED_RELEASE,
     MAXIMUM_CANDIDATES,
     MAXIMUM_CHECKS,
     MAXIMUM_PINS,
@@ -555,12 +555,10 @@ def environment_risk(pairs: DataFrame) -> DataFrame:
 
 
 def coverage_warning() -> Column:
-    """Text of the warning of an uncovered pair or one without embeddings."""
-    pair = F.concat("left", F.lit("=="), "left_version", F.lit(" with "), "right", F.lit("=="), "right_version")
-    place = F.concat(pair, F.lit(" on Python "), "python_version")
-    return F.when(~F.col("covered"), F.concat(F.lit(COVERAGE_WARNING), place)).otherwise(
-        F.concat(F.lit(EMBEDDING_WARNING), place)
-    )
+    """reason|release|release|python of a pair without a post-install score."""
+    reason = F.when(F.col("covered"), UNEMBEDDED_RELEASE).otherwise(UNCOVERED_RELEASE)
+    left, right = F.concat("left", F.lit("=="), "left_version"), F.concat("right", F.lit("=="), "right_version")
+    return F.concat_ws("|", reason, left, right, "python_version")
 
 
 def pair_risk_order(pairs: DataFrame) -> DataFrame:

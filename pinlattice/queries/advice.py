@@ -353,9 +353,9 @@ h as (select p.*, coalesce(x.experiment_id, y.experiment_id) is not null as cove
   left join f y on y.package_b = l and y.version_b = lv and y.package_a = r and y.version_a = rv and y.python_version = p.python_version),
 er as (select env_id, count(*) as pairs, max(case when usable then combined end) as risk, count(case when usable then combined end) as covered_pairs, bool_or(coalesce(not allow, false)) as conflicts,
   bool_or(coalesce(usable and warned, false)) as warned, count(*) filter (where not covered or (usable and combined is null)) as warnings,
-  coalesce(string_agg(distinct case when not covered then 'Post-install model coverage is unavailable for ' when usable and combined is null then 'Post-install model embeddings are unavailable for ' end
-    || l || '==' || lv || ' with ' || r || '==' || rv || ' on Python ' || python_version, '; ' order by case when not covered then 'Post-install model coverage is unavailable for ' when usable and combined is null then 'Post-install model embeddings are unavailable for ' end
-    || l || '==' || lv || ' with ' || r || '==' || rv || ' on Python ' || python_version), '') as distinct_warnings from h group by 1)
+  coalesce(string_agg(distinct case when not covered then 'release_not_in_catalog' when usable and combined is null then 'release_without_vector' end
+    || '|' || l || '==' || lv || '|' || r || '==' || rv || '|' || python_version, '; ' order by case when not covered then 'release_not_in_catalog' when usable and combined is null then 'release_without_vector' end
+    || '|' || l || '==' || lv || '|' || r || '==' || rv || '|' || python_version), '') as distinct_warnings from h group by 1)
 """
 
 

@@ -66,11 +66,17 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "stream_resume",
-    f"with {EVENT_SQL} select distinct experiment_id from e where outcome <> 'infrastructure_failure'",
+    f"""
+with {EVENT_SQL}
+select experiment_id, arg_min(event_id, {{'t': ts, 'e': event_id}}) as event_id, min(ts) as ts from e where outcome <> 'infrastructure_failure' group by 1
+""",
 )
 def _(t: Tables) -> DataFrame:
-    taken = so.stream_resume(stream_of(t), watermark="60 days")
-    return so.run_to_table(taken, shared_folder(t.spark, "resume")).select("experiment_id")
+    """The stream comes twice, so every experiment is met again after everything was stored."""
+    path = shared_folder(t.spark, "resume")
+    both = stream_of(t).unionByName(stream_of(t))
+    kept = so.stream_resume(both, path, order=("ts", "event_id"))
+    return kept.select("experiment_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query(
@@ -92,7 +98,8 @@ def _(t: Tables) -> DataFrame:
 @query(
     "idempotent_messages",
     """
-select user_id as conv_id, concat(event_type, cast(cast(floor(value) as bigint) as varchar)) as client_message_id from events group by all
+select user_id as conv_id, concat(event_type, cast(cast(floor(value) as bigint) as varchar)) as client_message_id, arg_min(event_id, {'t': ts, 'e': event_id}) as event_id
+from events group by 1, 2
 """,
 )
 def _(t: Tables) -> DataFrame:
@@ -101,9 +108,10 @@ def _(t: Tables) -> DataFrame:
         F.col("user_id").alias("conv_id"),
         F.concat("event_type", F.floor("value").cast("string")).alias("client_message_id"),
         F.col("ts").cast("timestamp").alias("ts"),
+        "event_id",
     )
-    unique = conv.idempotent_messages(messages, "60 days")
-    return so.run_to_table(unique, shared_folder(t.spark, "messages")).drop("ts")
+    kept = conv.idempotent_messages(messages, shared_folder(t.spark, "messages"), ("ts", "event_id"))
+    return kept.drop("ts")
 
 
 SESSION_SQL = """
@@ -192,16 +200,9 @@ select e.user_id as key, count(*) as requests, max(k.computed) as computed from
 def _(t: Tables) -> DataFrame:
     source = so.read_file_stream(t.spark, t.events.schema, f"{t.folder}/events*.parquet")
     rows = source.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    path = shared_folder(t.spark, "ttl")
-    target = f"{path}/counts"
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/run={batch_id}")
-
-    so.run_batches(so.stream_ttl_cache(rows, ttl=86400), path, keep, mode="update")
-    stored = t.spark.read.parquet(target)
-    return stored.groupBy("key").agg(
-        F.sum("requests").alias("requests"), F.sum("computed").alias("computed")
+    found = so.stream_ttl_cache(rows, shared_folder(t.spark, "ttl"), ttl=86400)
+    return found.groupBy("key").agg(
+        F.sum("requests").alias("requests"), F.count_if("computed").alias("computed")
     )
 
 

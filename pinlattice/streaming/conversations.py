@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,13 +17,28 @@ from pinlattice.constants import (
     SESSION_TTL,
     TURN_WIDTH,
 )
+from pinlattice.streaming.keyed import KeyedTable, store_first
+from pinlattice.streaming.observations import run_batches
 
 
-def idempotent_messages(stream: DataFrame, watermark: str = "2 hours") -> DataFrame:
-    """A repeated (conversation, client message id) keeps the first exchange only."""
-    return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(
-        ["conv_id", "client_message_id"]
-    )
+def idempotent_messages(
+    stream: DataFrame, path: str, order: Sequence[str] = ("ts",), buckets: int = 64, compact_every: int = 100
+) -> DataFrame:
+    """A repeated (conversation, client message id) keeps the first exchange only, however late it comes again.
+
+    A batch is compared with the stored ids of its own buckets; of its own repeats the first by
+    ``order`` is kept. Returns the stored exchanges.
+    """
+    table = KeyedTable(stream.sparkSession, f"{path}/messages", ("conv_id", "client_message_id"), buckets)
+    table.recover()
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        store_first(batch, batch_id, table, order)
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            table.compact(batch_id - 1)
+
+    run_batches(stream, path, handle)
+    return table.rows(stream)
 
 
 def conversation_sessions(turns: DataFrame, ttl: str = SESSION_TTL, watermark: str | None = None) -> DataFrame:

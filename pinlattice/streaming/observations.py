@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from pinlattice.constants import VERDICT_TTL_SECONDS
+from pinlattice.operators.chains import greedy_chain
 from pinlattice.operators.observations import INFRASTRUCTURE, result_rules
 from pinlattice.operators.violations import broken_rules
+from pinlattice.session import materialize
 from pinlattice.sources.writers import append_rows, read_existing
+from pinlattice.streaming.keyed import KeyedTable, first_rows, store_first
 
 
 def read_file_stream(spark: SparkSession, schema: str | StructType, path: str, fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
@@ -70,22 +71,38 @@ def stream_observations(stream: DataFrame, path: str, rules=None) -> tuple[str,
     return valid, quarantine
 
 
-def stream_resume(stream: DataFrame, watermark: str = "1 day", key: str = "experiment_id") -> DataFrame:
-    """Every experiment once within the watermark; infrastructure failures are not results and may come again.
+def stream_resume(
+    stream: DataFrame, path: str, key: str = "experiment_id", order: Sequence[str] = ("ts",), buckets: int = 64, compact_every: int = 100
+) -> DataFrame:
+    """Every experiment once and for all; infrastructure failures are not results and may come again.
 
-    The state of a key is freed with the watermark. ``append_unseen`` is the form
-    that is exact against everything stored.
+    Of the rows of one batch the first by ``order`` is kept. What is stored is exact however late an
+    experiment comes again: a batch is compared with the stored keys of its own buckets. Returns
+    the stored table; ``stream`` must not have columns named ``batch`` or ``bucket``.
     """
+    table = KeyedTable(stream.sparkSession, f"{path}/rows", (key,), buckets)
+    table.recover()
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        finished = batch.filter(F.coalesce(F.col("outcome") != INFRASTRUCTURE, F.lit(True)))
+        store_first(finished, batch_id, table, order)
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            table.compact(batch_id - 1)
+
+    run_batches(stream, path, handle)
+    return table.rows(stream)
+
+
+def resume_within_watermark(stream: DataFrame, watermark: str = "1 day", key: str = "experiment_id") -> DataFrame:
+    """The cheaper rule for streams whose repeats come soon: once within the watermark, later rows are dropped."""
     finished = stream.filter(F.col("outcome") != INFRASTRUCTURE)
     return finished.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
 
 
 def append_unseen(batch: DataFrame, table: str, key: str = "experiment_id", order: str = "ts") -> None:
-    """foreachBatch form of the resume rule against everything stored so far."""
+    """Batch form of the resume rule for a plain table: all its keys are read."""
     finished = batch.filter(F.col("outcome") != INFRASTRUCTURE)
-    rest = [c for c in finished.columns if c != key]
-    first = finished.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r"))
-    fresh = first.select(key, "r.*").select(*finished.columns)
+    fresh = first_rows(finished, [key], [order])
     stored = read_existing(batch.sparkSession, table)
     if stored is not None:
         fresh = fresh.join(stored.select(key), key, "left_anti")
@@ -120,81 +137,61 @@ def latest_counts(stream: DataFrame, path: str, key: str = "outcome") -> DataFra
     return updates.groupBy(key).agg(F.max_by("rows", "batch").alias("rows"))
 
 
-def _chain(times, start: float | None, ttl: float) -> tuple[list[bool], float | None]:
-    """Which sorted times are misses: the first one, then the first at least ``ttl`` later."""
-    misses = []
-    for t in times:
-        miss = start is None or t - start >= ttl
-        if miss:
-            start = t
-        misses.append(miss)
-    return misses, start
-
-
 def ttl_cache(df: DataFrame, ttl: int = VERDICT_TTL_SECONDS, key: str = "key", ts: str = "ts") -> DataFrame:
     """Batch form: (key, ts, requests, computed): a hit does not extend the cached verdict.
 
-    Equal times of a key are counted before the shuffle. A partition is read in
-    (key, time) order as a stream of Arrow batches that carries one start time,
-    so no key is held in memory as a group.
+    A verdict is computed at the first time of a key and at the first time at least ``ttl`` seconds
+    after the last computation; ``greedy_chain`` finds those without a task per key. Null keys are one
+    key; a request without a time has no verdict (``computed`` is null).
     """
     counted = df.groupBy(F.col(key), F.col(ts)).agg(F.count(F.lit(1)).alias("requests"))
-    sorted_rows = (
-        counted.withColumn("__s", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
-        .repartition(key)
-        .sortWithinPartitions(key, ts)
-    )
-    types = dict(counted.dtypes)
-    schema = f"`{key}` {types[key]}, `{ts}` {types[ts]}, requests bigint, computed boolean"
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, start = None, None
-        for batch in batches:
-            computed: list[bool] = []
-            for k, part in batch.groupby(key, sort=False, dropna=False):
-                # The start time tells whether there was a key before; null keys are one key.
-                same = start is not None and (k == last_key or (pd.isna(k) and pd.isna(last_key)))
-                misses, start = _chain(part["__s"].to_numpy(), start if same else None, ttl)
-                last_key = k
-                computed += misses
-            yield batch.drop(columns="__s").assign(computed=computed)
-
-    return sorted_rows.mapInPandas(scan, schema)
-
+    counted = materialize(counted.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp"))))
+    times = counted.dropna(subset=["__t"]).select(F.col(key).alias("key"), F.col("__t").alias("time")).distinct()
+    chain = greedy_chain(times, ttl * 1_000_000).select(F.col("key").alias("__k"), F.col("time").alias("__at"), F.lit(True).alias("__hit"))
+    met = counted.join(chain, counted[key].eqNullSafe(chain["__k"]) & (counted["__t"] == chain["__at"]), "left")
+    computed = F.when(F.col("__t").isNotNull(), F.col("__hit").isNotNull())
+    return met.select(key, ts, "requests", computed.alias("computed"))
+
+
+def stream_ttl_cache(
+    stream: DataFrame, path: str, ttl: int = VERDICT_TTL_SECONDS, key: str = "key", ts: str = "ts", buckets: int = 64, compact_every: int = 100
+) -> DataFrame:
+    """Streaming form: (key, ts, requests, computed) of all batches so far.
+
+    The time of each key's newest computation is stored by batch and bucket. A batch reads those of
+    its own keys, puts them in front of its requests and resolves the chains as the batch form does,
+    so a hot key is spread over all tasks. Requests older than the stored computation are hits.
+    """
+    spark = stream.sparkSession
+    table = KeyedTable(spark, f"{path}/newest", ("key",), buckets)
+    table.recover()
+    verdicts = f"{path}/verdicts"
 
-def stream_ttl_cache(stream: DataFrame, ttl: int = VERDICT_TTL_SECONDS, key: str = "key", watermark: str = "1 hour") -> DataFrame:
-    """Streaming form: keyed state holds the time of the last computation and expires with it.
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        micros = F.unix_micros(F.col(ts).cast("timestamp"))
+        counted = materialize(batch.groupBy(F.col(key).alias("key"), micros.alias("time")).agg(F.count(F.lit(1)).alias("requests")))
+        asked = counted.dropna(subset=["time"]).select("key", "time")
+        stored = table.earlier(batch_id, counted.select("key"))
+        if stored is None:
+            before = asked.groupBy("key").agg(F.lit(None).cast("long").alias("newest"))
+        else:
+            before = stored.groupBy("key").agg(F.max("newest").alias("newest"))
+        before = materialize(before.toDF("__k", "newest"))
+        # The newest computation of an earlier batch opens the chain; what is older is a hit.
+        met = asked.join(before, asked["key"].eqNullSafe(before["__k"]), "left")
+        later = met.filter(F.coalesce(F.col("time") > F.col("newest"), F.lit(True))).select("key", "time")
+        opened = before.filter(F.col("newest").isNotNull()).select(F.col("__k").alias("key"), F.col("newest").alias("time"))
+        chain = greedy_chain(later.unionByName(opened), ttl * 1_000_000)
+        old = opened.select(F.col("key").alias("__k"), F.col("time").alias("__at"))
+        fresh = materialize(chain.join(old, chain["key"].eqNullSafe(old["__k"]) & (chain["time"] == old["__at"]), "left_anti"))
+        new = fresh.select(F.col("key").alias("__k"), F.col("time").alias("__at"))
+        found = counted.join(new, counted["key"].eqNullSafe(new["__k"]) & (counted["time"] == new["__at"]), "left")
+        computed = F.when(F.col("time").isNotNull(), F.col("__at").isNotNull()).alias("computed")
+        out = found.select("key", F.timestamp_micros("time").alias("ts"), "requests", computed)
+        out.write.mode("overwrite").parquet(f"{verdicts}/batch={batch_id}")
+        table.put(batch_id, fresh.groupBy("key").agg(F.max("time").alias("newest")))
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            table.compact(batch_id - 1)
 
-    Rows of one key are ordered inside a micro-batch; the state timeout drops
-    keys whose verdict has expired.
-    """
-    types = dict(stream.dtypes)
-    schema = f"`{key}` {types[key]}, requests bigint, computed bigint"
-
-    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start = state.get[0] if state.exists else None
-        times: list[float] = []
-        for batch in batches:
-            times += list(batch["seconds"])
-        misses, start = _chain(sorted(times), start, ttl)
-        expiry = int((start + ttl) * 1000)
-        if expiry > state.getCurrentWatermarkMs():
-            state.update((start,))
-            state.setTimeoutTimestamp(expiry)
-        elif state.exists:
-            # Rows before the watermark are not seen any more, so this verdict cannot be asked for.
-            state.remove()
-        yield pd.DataFrame({key: [keys[0]], "requests": [len(misses)], "computed": [sum(misses)]})
-
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return (
-        stream.withWatermark("ts", watermark)
-        .withColumn("seconds", seconds)
-        .groupBy(key)
-        .applyInPandasWithState(
-            update, schema, "start double", "update", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    run_batches(stream, path, handle)
+    return spark.read.parquet(verdicts).drop("batch")

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from conftest import rows
@@ -255,7 +256,7 @@ def test_stream_resume_restarts_without_repeats(spark, folder):
 
     def step():
         stream = so.read_file_stream(spark, schema, f"{folder}/in")
-        return so.run_to_table(so.stream_resume(stream), f"{folder}/out")
+        return so.stream_resume(stream, f"{folder}/out")
 
     assert rows(step(), "experiment_id") == [("a",)]
     events(spark, folder, "in", [("a", "pass", "2024-01-01 00:02:00"), ("b", "pass", "2024-01-01 00:03:00")])
@@ -297,7 +298,23 @@ def test_registry_is_consistent():
 
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 150
-    assert not [n for n in queries if "pipeline" in n or n.startswith("op")]
+
+
+def test_entry_without_the_corpus_package(monkeypatch):
+    """With the package or one of its libraries out of reach, all other queries stay registered."""
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    with monkeypatch.context() as m:
+        for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("pinlattice.llm")]:
+            m.delitem(sys.modules, name)
+        m.setitem(sys.modules, "pinlattice.llm", None)
+        importlib.reload(entry)
+        left = entry.queries()
+        assert len(left) > 150 and not [n for n in left if n == "pipeline" or re.match(r"op\d", n)]
+    importlib.reload(entry)
 
 
 def test_entry_runs(spark):
@@ -327,11 +344,7 @@ def test_null_keys_are_one_key_of_the_cache(spark):
 
     data = [(None, 0), (None, 10), (None, 200), ("a", 5), ("a", 20), ("b", 20)]
     frame = spark.createDataFrame([(k, s) for k, s in data], "key string, s long").select("key", F.timestamp_seconds("s").alias("ts"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    try:
-        got = ttl_cache(frame, 100).collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = ttl_cache(frame, 100).collect()
     assert sorted(((r.key or "", r.computed) for r in got)) == [("", False), ("", True), ("", True), ("a", False), ("a", True), ("b", True)]
 
 
