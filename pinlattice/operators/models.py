@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pinlattice.constants import LOGISTIC_L2, PROJECTION_WIDTH, WEIGHTED_LOGISTIC_L2
 from pinlattice.functions.names import canonical_name
 from pinlattice.functions.vectors import dot, noisy_or, pair_interactions, sigmoid
+from pinlattice.operators.held_out import fit_held_out
 from pinlattice.operators.metrics import (
     binary_metrics,
     probability_losses,
@@ -276,14 +277,29 @@ def logistic_fit(numeric: Sequence[str], categorical: Sequence[str], label: str
     return fit
 
 
+def held_out_scores(
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], key: str = "experiment_id", fold: str = "fold", label: str = "actual"
+) -> tuple[DataFrame, DataFrame]:
+    """(scored rows, violations): ``out_of_fold`` with weighted logistic models, all folds fitted together."""
+    models = fit_held_out(df, numeric, categorical, label, fold)
+    scored = models.score(df, fold)
+    uncovered = scored.filter(F.col("probability").isNull())
+    return scored, violation(uncovered, "no_out_of_fold_score", F.col(key))
+
+
 def leave_one_family_out(
-    df: DataFrame, fit: Fit, family: str = "family", actual: str = "actual", key: str = "experiment_id"
-) -> DataFrame:
-    """Metrics per held-out family next to the majority class of its training rows."""
-    scored, _ = out_of_fold(df, fit, key, fold=family)
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], family: str = "family", actual: str = "actual", key: str = "experiment_id"
+) -> tuple[DataFrame, DataFrame]:
+    """(metrics per held-out family next to the majority class of its training rows, violations)."""
+    scored, problems = held_out_scores(df, numeric, categorical, key, family, actual)
+    return family_metrics(scored, family, actual), problems
+
+
+def family_metrics(scored: DataFrame, family: str = "family", actual: str = "actual") -> DataFrame:
+    """Metrics of held-out rows per family; the majority class is that of all other families."""
     predicted = scored.withColumn("predicted", (F.col("probability") >= 0.5).cast("int"))
     metrics = binary_metrics(predicted, actual, "predicted", [family])
-    per_family = df.groupBy(family).agg(
+    per_family = scored.groupBy(family).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(actual).cast("bigint")).alias("p")
     )
     totals = per_family.agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))

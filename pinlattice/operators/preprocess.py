@@ -119,9 +119,10 @@ def fit_preprocessor(
     )
 
 
-def long_numeric(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """(column, value) rows of numeric columns."""
+def long_numeric(df: DataFrame, numeric: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(column, value) rows of numeric columns, with the kept columns in front."""
     return df.select(
+        *keep,
         F.explode(
             F.array(
                 *[
@@ -129,8 +130,8 @@ def long_numeric(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
                     for c in numeric
                 ]
             )
-        ).alias("x")
-    ).select("x.*")
+        ).alias("x"),
+    ).select(*keep, "x.*")
 
 
 def column_medians(df: DataFrame, numeric: Sequence[str]) -> dict[str, float]:

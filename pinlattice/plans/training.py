@@ -20,8 +20,7 @@ from pinlattice.operators.metrics import (
 from pinlattice.operators.models import (
     LinearModel,
     fit_weighted_logistic,
-    logistic_fit,
-    out_of_fold,
+    held_out_scores,
     prediction_drift,
     stack_candidates,
 )
@@ -45,15 +44,18 @@ class FrozenStructuredModel:
 def fit_final(
     train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], folds: int = 5,
     label: str = "actual", key: str = "experiment_id",
-) -> tuple[FrozenStructuredModel, DataFrame]:
-    """(frozen model, out-of-fold rows): the threshold comes from out-of-fold scores only."""
+) -> tuple[FrozenStructuredModel, DataFrame, DataFrame]:
+    """(frozen model, out-of-fold rows, violations): the threshold comes from out-of-fold scores only.
+
+    Rows without an out-of-fold score are reported and have no part in the threshold.
+    """
     leakage_guard([*numeric, *categorical])
     folded = balanced_folds(train, folds, actual=label)
-    scored, _ = out_of_fold(folded, logistic_fit(numeric, categorical, label), key)
-    threshold = select_threshold(scored, "probability", label).first()["threshold"]
+    scored, problems = held_out_scores(folded, numeric, categorical, key, label=label)
+    threshold = select_threshold(scored.filter(F.col("probability").isNotNull()), "probability", label).first()["threshold"]
     preprocessor = fit_preprocessor(train, numeric, categorical)
     model = fit_weighted_logistic(preprocessor.transform(train), label=label)
-    return FrozenStructuredModel(preprocessor, replace(model, threshold=threshold)), scored
+    return FrozenStructuredModel(preprocessor, replace(model, threshold=threshold)), scored, problems
 
 
 def evaluate_blind(

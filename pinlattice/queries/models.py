@@ -231,14 +231,15 @@ def _(t: Tables) -> DataFrame:
 @query("out_of_fold")
 def _(t: Tables) -> DataFrame:
     folded = balanced_folds(training(t), 5)
-    scored_rows, problems = md.out_of_fold(folded, md.logistic_fit(NUMERIC, CATEGORICAL))
+    scored_rows, problems = md.held_out_scores(folded, NUMERIC, CATEGORICAL)
     uncovered = problems.agg(F.count(F.lit(1)).alias("uncovered"))
     return _quality(scored_rows).join(F.broadcast(uncovered))
 
 
 @query("leave_one_family_out")
 def _(t: Tables) -> DataFrame:
-    return md.leave_one_family_out(training(t), md.logistic_fit(NUMERIC, CATEGORICAL))
+    metrics, problems = md.leave_one_family_out(training(t), NUMERIC, CATEGORICAL)
+    return metrics.join(F.broadcast(problems.agg(F.count(F.lit(1)).alias("uncovered"))))
 
 
 def _candidate_sql(threshold_first: str, threshold_second: str) -> str:
@@ -279,7 +280,7 @@ def _(t: Tables) -> DataFrame:
     rows = training(t)
     train = rows.filter("family <> 'family-5'")
     blind = rows.filter("family = 'family-5'").drop("outcome", "actual")
-    frozen, _ = fit_final(train, NUMERIC, CATEGORICAL, folds=5)
+    frozen, _, _ = fit_final(train, NUMERIC, CATEGORICAL, folds=5)
     return frozen.predict(blind).select("experiment_id", "probability", "predicted")
 
 
