@@ -1,24 +1,28 @@
 """Newton histogram boosting as Spark aggregation jobs.
 
-One job per tree level: every row adds its gradient and hessian to the
-histogram cell (node, feature, bin), which is combined before the shuffle. The
-histogram (nodes x features x bins cells) is searched for splits by Spark too;
-only the chosen splits, one per node, come back to the driver.
+One job per tree level serves all heads. A task adds the gradients and Hessians of its rows to
+dense histograms (feature x bin) of the nodes that have to be counted, batch by batch; the
+histograms of a node meet in one group, and one row per node comes back. Of two sibling nodes only
+the smaller one is counted, the other is their parent less that. What the driver holds depends on
+heads, nodes, features and bins, never on rows.
+
+Rows carry one logit per head. Trees since the last written state are applied inside the tasks;
+every ``checkpoint_every`` trees the state is written anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pinlattice.constants import LEAF_LIMIT, MINIMUM_GAIN
-from pinlattice.functions.vectors import noisy_or, sigmoid
+from pinlattice.functions.vectors import noisy_or
 from pinlattice.session import materialize
 
 
@@ -69,108 +73,205 @@ def _chosen_features(options: BoostingOptions, tree: int, node: int, width: int)
     return sorted(int(i) for i in rng.choice(width, count, replace=False))
 
 
-def _best_splits(rows: DataFrame, allowed: Mapping[int, list[int]], options: BoostingOptions) -> dict[int, dict]:
-    """Best split and totals per open node from one histogram job."""
-    usable = F.lit(False)
-    for node, features in allowed.items():
-        usable = usable | ((F.col("node") == node) & F.col("feature").isin(*features))
-    cells = (
-        rows.select("node", "g", "h", F.posexplode("bins").alias("feature", "bin"))
-        .filter(usable)
-        .groupBy("node", "feature", "bin")
-        .agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
-    )
-    # At most one row per bin, so these windows are small whatever the table size.
-    every = W.partitionBy("node", "feature")
-    upto = every.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    sums = cells.select(
-        "node",
-        "feature",
-        "bin",
-        *[F.sum(c).over(upto).alias(f"l{c}") for c in ("g", "h", "n")],
-        *[F.sum(c).over(every).alias(f"t{c}") for c in ("g", "h", "n")],
-    )
+@dataclass
+class _Head:
+    """What the driver knows of one head while it grows."""
+
+    options: BoostingOptions
+    model: BoostedHead
+    # Histograms of the current tree's nodes: node -> array of (features, bins, 3).
+    sums: dict[int, np.ndarray] = field(default_factory=dict)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(flat) else np.zeros((len(column), width))
+
+
+def _places(nodes: list[Node], matrix: np.ndarray) -> np.ndarray:
+    """The node every row ends in."""
+    at = np.zeros(len(matrix), np.int64)
+    for i, node in enumerate(nodes):  # children come after their parents
+        if node.feature >= 0:
+            here = np.flatnonzero(at == i)
+            left = matrix[here, node.feature] <= node.split_bin
+            at[here] = np.where(left, node.left, node.right)
+    return at
+
+
+def _advance(logits: np.ndarray, matrix: np.ndarray, recent: list[list[list[Node]]], rates: list[float]) -> None:
+    for h, trees in enumerate(recent):
+        for tree in trees:
+            values = np.array([n.value for n in tree])
+            logits[:, h] += rates[h] * values[_places(tree, matrix)]
+
+
+def _histograms(
+    state: DataFrame, width: int, bins: int, recent: list[list[list[Node]]], rates: list[float], growing: list[list[Node]], wanted: list[list[int]]
+) -> dict[tuple[int, int], np.ndarray]:
+    """(head, node) -> sums of gradients, Hessians and rows by feature and bin, from one job."""
+    cells = width * bins
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {(h, i): np.zeros((3, cells)) for h, nodes in enumerate(wanted) for i in nodes}
+        offsets = np.arange(width) * bins
+        for batch in batches:
+            matrix = _matrix(batch.column(0), width)
+            y, w = _matrix(batch.column(1), len(rates)), _matrix(batch.column(2), len(rates))
+            logits = np.array(_matrix(batch.column(3), len(rates)))
+            _advance(logits, matrix, recent, rates)
+            at = matrix + offsets
+            for h, nodes in enumerate(wanted):
+                if not nodes:
+                    continue
+                place = _places(growing[h], matrix)
+                place[w[:, h] == 0] = -1
+                for i in nodes:
+                    rows = np.flatnonzero(place == i)
+                    p = 1.0 / (1.0 + np.exp(-np.clip(logits[rows, h], -35.0, 35.0)))
+                    g, k = w[rows, h] * (y[rows, h] - p), w[rows, h] * p * (1 - p)
+                    where = at[rows].reshape(-1)
+                    sums[h, i][0] += np.bincount(where, np.repeat(g, width), cells)
+                    sums[h, i][1] += np.bincount(where, np.repeat(k, width), cells)
+                    sums[h, i][2] += np.bincount(where, minlength=cells)
+        heads, nodes = zip(*sums, strict=True) if sums else ((), ())
+        columns = [pa.array(heads, pa.int32()), pa.array(nodes, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["head", "node", "payload"])
+
+    def unite(table: pa.Table) -> pa.Table:
+        total = np.zeros(3 * cells)
+        for payload in table.column("payload"):
+            total += np.frombuffer(payload.as_buffer())
+        return pa.table([table.column("head").slice(0, 1), table.column("node").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["head", "node", "payload"])
+
+    shape = "head int, node int, payload binary"
+    # One row per open node: its cells, whatever the number of rows.
+    found = state.mapInArrow(count, shape).groupBy("head", "node").applyInArrow(unite, shape).collect()
+    return {(r["head"], r["node"]): np.frombuffer(bytes(r["payload"])).reshape(3, width, bins) for r in found}
+
+
+def _best_split(sums: np.ndarray, features: list[int], options: BoostingOptions) -> tuple | None:
+    """(feature, bin, left sums) of the largest gain; at ties the smallest feature, then bin."""
+    left = np.cumsum(sums[:, features, :], axis=2)
+    total = left[:, :, -1:]
+    right = total - left
     l2 = options.l2
-    rg, rh = F.col("tg") - F.col("lg"), F.col("th") - F.col("lh")
-    gain = (
-        F.col("lg") ** 2 / (F.col("lh") + l2)
-        + rg**2 / (rh + l2)
-        - F.col("tg") ** 2 / (F.col("th") + l2)
-    )
-    valid = (
-        (F.col("ln") >= options.minimum_leaf)
-        & (F.col("tn") - F.col("ln") >= options.minimum_leaf)
-        & (F.col("gain") > MINIMUM_GAIN)
-    )
-    best = (
-        sums.withColumn("gain", gain)
-        .groupBy("node")
-        .agg(
-            F.max_by(
-                F.when(valid, F.struct("feature", "bin", "lg", "lh", "ln")),
-                F.when(valid, F.struct("gain", -F.col("feature"), -F.col("bin"))),
-            ).alias("s"),
-            *[F.max_by(c, F.struct(-F.col("feature"), "bin")).alias(c) for c in ("tg", "th", "tn")],
-        )
-        .select("node", "s.*", "tg", "th", "tn")
-    )
-    return {r["node"]: r.asDict() for r in best.collect()}
-
-
-def _grow(rows: DataFrame, width: int, tree: int, options: BoostingOptions) -> list[Node]:
-    """One tree over rows (bins, g, h), one job per level; nodes are numbered level by level."""
-    nodes = [Node(0.0)]
-    sizes = {0: None}
-    open_nodes = [0]
-    for _ in range(options.depth):
-        allowed = {
-            i: _chosen_features(options, tree, i, width)
-            for i in open_nodes
-            if sizes[i] is None or sizes[i] >= 2 * options.minimum_leaf
-        }
-        if not allowed:
+    gain = left[0] ** 2 / (left[1] + l2) + right[0] ** 2 / (right[1] + l2) - total[0] ** 2 / (total[1] + l2)
+    valid = (left[2] >= options.minimum_leaf) & (right[2] >= options.minimum_leaf) & (gain > MINIMUM_GAIN)
+    if not valid.any():
+        return None
+    f, b = divmod(int(np.argmax(np.where(valid, gain, -np.inf))), sums.shape[2])
+    return features[f], b, left[:, f, b]
+
+
+def _totals(sums: np.ndarray) -> np.ndarray:
+    return sums[:, 0, :].sum(axis=1)
+
+
+def _grow(state: DataFrame, width: int, bins: int, tree: int, heads: list[_Head], recent: list[list[list[Node]]]) -> list[list[Node]]:
+    """The next tree of every head, one job per level; nodes are numbered level by level."""
+    rates = [h.options.learning_rate for h in heads]
+    grown = [[Node(0.0)] for _ in heads]
+    sizes: list[dict[int, float]] = [{} for _ in heads]
+    # Nodes to split next, and for each the node to subtract from its parent where it is not counted.
+    level = [[(0, None)] for _ in heads]
+    for h in heads:
+        h.sums = {}
+    for depth in range(max(h.options.depth for h in heads)):
+        wanted = [[i for i, sibling in nodes if sibling is None] if depth < h.options.depth else [] for h, nodes in zip(heads, level, strict=True)]
+        if not any(wanted):
             break
-        located = rows.withColumn("node", _locate(nodes))
-        found = _best_splits(located, allowed, options)
-        open_nodes = []
-        for i, s in sorted(found.items()):
-            total = (float(s["tg"]), float(s["th"]), int(s["tn"]))
-            if i == 0:
-                nodes[0].value = _leaf(total, options)
-            if s["feature"] is None or total[2] < 2 * options.minimum_leaf:
+        found = _histograms(state, width, bins, recent, rates, grown, wanted)
+        following = [[] for _ in heads]
+        for n, head in enumerate(heads):
+            if depth >= head.options.depth:
                 continue
-            left = (float(s["lg"]), float(s["lh"]), int(s["ln"]))
-            right = tuple(t - part for t, part in zip(total, left))
-            for side, values in (("left", left), ("right", right)):
-                setattr(nodes[i], side, len(nodes))
-                sizes[len(nodes)] = values[2]
-                open_nodes.append(len(nodes))
-                nodes.append(Node(_leaf(values, options)))
-            nodes[i].feature, nodes[i].split_bin = int(s["feature"]), int(s["bin"])
-    return nodes
-
-
-def _leaf(totals: tuple[float, float, int], options: BoostingOptions) -> float:
+            for i in wanted[n]:
+                head.sums[i] = found[n, i]
+            for i, difference in level[n]:
+                if difference is not None:
+                    parent, sibling = difference
+                    head.sums[i] = head.sums[parent] - head.sums[sibling]
+            for i, _ in level[n]:
+                nodes, options = grown[n], head.options
+                total = _totals(head.sums[i])
+                if i == 0:
+                    nodes[0].value = _leaf(total, options)
+                if total[2] < 2 * options.minimum_leaf:
+                    continue
+                split = _best_split(head.sums[i], _chosen_features(options, tree, i, width), options)
+                if split is None:
+                    continue
+                nodes[i].feature, nodes[i].split_bin, left = split
+                pair = (len(nodes), len(nodes) + 1)
+                nodes[i].left, nodes[i].right = pair
+                for child, values in zip(pair, (left, total - left), strict=True):
+                    sizes[n][child] = values[2]
+                    nodes.append(Node(_leaf(values, options)))
+                small, large = sorted(pair, key=lambda c: sizes[n][c])
+                if sizes[n][large] >= 2 * options.minimum_leaf:
+                    # The smaller one is counted even where it stays a leaf: the larger one needs it.
+                    following[n] += [(small, None), (large, (i, small))]
+        level = [sorted(x, key=lambda e: e[0]) for x in following]
+    return grown
+
+
+def _leaf(totals: Sequence[float], options: BoostingOptions) -> float:
     value = totals[0] / (totals[1] + options.l2)
     return float(min(max(value, -LEAF_LIMIT), LEAF_LIMIT))
 
 
-def _descend(nodes: list[Node], index: int, result) -> Column:
-    node = nodes[index]
-    if node.feature < 0:
-        return F.lit(result(index))
-    return F.when(
-        F.get(F.col("bins"), F.lit(node.feature)) <= node.split_bin,
-        _descend(nodes, node.left, result),
-    ).otherwise(_descend(nodes, node.right, result))
-
-
-def _locate(nodes: list[Node]) -> Column:
-    return _descend(nodes, 0, lambda i: i)
-
-
-def _tree_value(nodes: list[Node]) -> Column:
-    return _descend(nodes, 0, lambda i: nodes[i].value)
+def _fit_together(df: DataFrame, width: int, labels: Mapping[str, tuple[Column, Column]], options: Mapping[str, BoostingOptions]) -> dict[str, BoostedHead]:
+    """All heads at once. ``labels`` maps a head to its 0/1 label and its weight (null or 0: no row of the head)."""
+    names = list(labels)
+    y = F.array(*[F.coalesce(label.cast("double"), F.lit(0.0)) for label, _ in labels.values()])
+    w = F.array(*[F.coalesce(weight.cast("double"), F.lit(0.0)) for _, weight in labels.values()])
+    rows = materialize(df.select(F.col("bins").cast("array<int>").alias("bins"), y.alias("y"), w.alias("w")))
+    sums = []
+    for i in range(len(names)):
+        yi, wi = F.get("y", F.lit(i)), F.get("w", F.lit(i))
+        inside = wi > 0
+        sums += [F.sum(F.when(inside, wi * yi)), F.sum(F.when(inside, wi)), F.min(F.when(inside, yi)), F.max(F.when(inside, yi))]
+    found = rows.agg(*sums, F.max(F.array_max("bins"))).first()
+    bins = int(found[-1] or 0) + 1
+    heads = []
+    for i, name in enumerate(names):
+        positive, total, low, high = found[4 * i : 4 * i + 4]
+        if total is None or low == high:
+            raise ValueError(f"head {name!r} needs both classes")
+        rate = min(max(positive / total, 1e-6), 1 - 1e-6)
+        heads.append(_Head(options[name], BoostedHead(float(np.log(rate / (1 - rate))), options[name].learning_rate)))
+    rates = [h.options.learning_rate for h in heads]
+    start = F.array(*[F.lit(h.model.base_logit) for h in heads])
+    state = rows.withColumn("logits", start)
+    recent: list[list[list[Node]]] = [[] for _ in heads]
+    every = min(h.options.checkpoint_every for h in heads)
+
+    trees = {h.options.trees for h in heads}
+    if len(trees) > 1:
+        raise ValueError("heads fitted together have the same number of trees")
+    for number in range(*trees):
+        for i, tree in enumerate(_grow(state, width, bins, number, heads, recent)):
+            heads[i].model.trees.append(tree)
+            recent[i].append(tree)
+        if (number + 1) % every == 0 and number + 1 < heads[0].options.trees:
+            state = materialize(state.mapInArrow(_renewed(width, recent, rates), state.schema))
+            recent = [[] for _ in heads]
+    return {name: h.model for name, h in zip(names, heads, strict=True)}
+
+
+def _renewed(width: int, recent: list[list[list[Node]]], rates: list[float]):
+    """A task function that adds the recent trees to the logits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logits = np.array(_matrix(batch.column(3), len(rates)))
+            _advance(logits, _matrix(batch.column(0), width), recent, rates)
+            offsets = pa.array(np.arange(len(logits) + 1) * len(rates), pa.int32())
+            column = pa.ListArray.from_arrays(offsets, pa.array(logits.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], column], names=batch.schema.names)
+
+    return run
 
 
 def fit_boosting(
@@ -180,32 +281,9 @@ def fit_boosting(
     label: str = "label",
     weight: str | None = None,
 ) -> BoostedHead:
-    """Fit one head on rows with ``bins`` (array<int> of ``width``) and a 0/1 label."""
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = df.select("bins", F.col(label).cast("double").alias("y"), w.alias("w"))
-    sums = rows.agg(F.sum(F.col("w") * F.col("y")), F.sum("w"), F.min("y"), F.max("y")).first()
-    if sums[1] is None or sums[2] == sums[3]:
-        raise ValueError("both classes are required")
-    rate = min(max(sums[0] / sums[1], 1e-6), 1 - 1e-6)
-    head = BoostedHead(float(np.log(rate / (1 - rate))), options.learning_rate)
-    state = rows.withColumn("logit", F.lit(head.base_logit))
-    state = materialize(state)
-    for number in range(options.trees):
-        p = sigmoid(F.col("logit"))
-        graded = state.select(
-            "bins",
-            (F.col("w") * (F.col("y") - p)).alias("g"),
-            (F.col("w") * p * (1 - p)).alias("h"),
-        )
-        tree = _grow(graded, width, number, options)
-        head.trees.append(tree)
-        state = state.withColumn(
-            "logit", F.col("logit") + options.learning_rate * _tree_value(tree)
-        )
-        if (number + 1) % options.checkpoint_every == 0:
-            # Keeps the logit expression and the lineage short.
-            state = materialize(state)
-    return head
+    """Fit one head on rows with ``bins`` (array<int> of ``width``) and a 0/1 label; rows of weight 0 have no part."""
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    return _fit_together(df, width, {"only": (F.col(label), w)}, {"only": options})["only"]
 
 
 def _packed(head: BoostedHead) -> dict[str, np.ndarray]:
@@ -285,22 +363,21 @@ SEED_OFFSETS = {"resolution": 0, "post_install": 10_000, "import": 10_000, "smok
 def fit_heads(
     df: DataFrame, width: int, heads: tuple[str, ...], options: BoostingOptions = BoostingOptions()
 ) -> dict[str, BoostedHead]:
-    """Fit class-balanced heads on their nested populations (rows: bins, outcome)."""
-    fitted = {}
-    for head in heads:
-        population, positive = head_population(head)
-        rows = df.filter(population).select("bins", positive.cast("int").alias("label"))
-        counts = rows.agg(F.sum("label"), F.count(F.lit(1))).first()
-        p, n = int(counts[0] or 0), int(counts[1])
+    """Fit class-balanced heads on their nested populations (rows: bins, outcome), level by level together."""
+    populations = {h: head_population(h) for h in heads}
+    sums = []
+    for inside, positive in populations.values():
+        sums += [F.count_if(inside & positive), F.count_if(inside)]
+    counts = df.agg(*sums).first()
+    labels, seeded = {}, {}
+    for i, (head, (inside, positive)) in enumerate(populations.items()):
+        p, n = counts[2 * i], counts[2 * i + 1]
         if p == 0 or p == n:
             raise ValueError(f"head {head!r} needs both classes")
-        weighted = rows.withColumn(
-            "weight",
-            F.when(F.col("label") == 1, F.lit(n / (2.0 * p))).otherwise(F.lit(n / (2.0 * (n - p)))),
-        )
-        seeded = BoostingOptions(**{**vars(options), "seed": options.seed + SEED_OFFSETS[head]})
-        fitted[head] = fit_boosting(weighted, width, seeded, weight="weight")
-    return fitted
+        balance = F.when(positive, n / (2.0 * p)).otherwise(n / (2.0 * (n - p)))
+        labels[head] = positive.cast("int"), F.when(inside, balance)
+        seeded[head] = BoostingOptions(**{**vars(options), "seed": options.seed + SEED_OFFSETS[head]})
+    return _fit_together(df, width, labels, seeded)
 
 
 def score_heads(

@@ -134,29 +134,24 @@ def binned(t: Tables) -> tuple[DataFrame, int, list[list[float]]]:
     return rows.withColumn("bins", bins), preprocessor.width, cuts
 
 
-SMALL = bst.BoostingOptions(trees=4, checkpoint_every=4)
-
-
 @query("fit_boosting")
 def _(t: Tables) -> DataFrame:
     rows, width, cuts = binned(t)
-    head = bst.fit_boosting(rows, width, SMALL, label="actual")
+    head = bst.fit_boosting(rows, width, label="actual")
     return _quality(bst.score_heads(rows, {"failure": head}, cuts))
 
 
 @query("fit_two_head")
 def _(t: Tables) -> DataFrame:
     rows, width, cuts = binned(t)
-    options = bst.BoostingOptions(trees=2, checkpoint_every=4)
-    heads = bst.fit_heads(rows, width, bst.TWO_HEAD, options)
+    heads = bst.fit_heads(rows, width, bst.TWO_HEAD)
     return _quality(bst.score_heads(rows, heads, cuts))
 
 
 @query("fit_stage_aware")
 def _(t: Tables) -> DataFrame:
     rows, width, cuts = binned(t)
-    options = bst.BoostingOptions(trees=2, checkpoint_every=4)
-    heads = bst.fit_heads(rows, width, bst.STAGE_AWARE, options)
+    heads = bst.fit_heads(rows, width, bst.STAGE_AWARE)
     return _quality(bst.score_heads(rows, heads, cuts))
 
 
