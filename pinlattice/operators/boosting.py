@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pinlattice.constants import LEAF_LIMIT, MINIMUM_GAIN
 from pinlattice.functions.vectors import noisy_or
-from pinlattice.session import materialize
+from pinlattice.session import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -226,7 +226,7 @@ def _fit_together(df: DataFrame, width: int, labels: Mapping[str, tuple[Column,
     names = list(labels)
     y = F.array(*[F.coalesce(label.cast("double"), F.lit(0.0)) for label, _ in labels.values()])
     w = F.array(*[F.coalesce(weight.cast("double"), F.lit(0.0)) for _, weight in labels.values()])
-    rows = materialize(df.select(F.col("bins").cast("array<int>").alias("bins"), y.alias("y"), w.alias("w")))
+    rows = spread(df.select(F.col("bins").cast("array<int>").alias("bins"), y.alias("y"), w.alias("w")))
     sums = []
     for i in range(len(names)):
         yi, wi = F.get("y", F.lit(i)), F.get("w", F.lit(i))

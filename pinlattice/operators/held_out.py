@@ -28,7 +28,7 @@ from pinlattice.constants import WEIGHTED_LOGISTIC_L2
 from pinlattice.functions.vectors import dot, sigmoid
 from pinlattice.operators.ordered import attach, ordered
 from pinlattice.operators.preprocess import _category, _numeric, long_numeric
-from pinlattice.session import materialize
+from pinlattice.session import materialize, spread
 
 
 def medians_without(df: DataFrame, numeric: Sequence[str], fold: str = "fold") -> DataFrame:
@@ -235,7 +235,7 @@ def fit_held_out(
     index = {f: i for i, f in enumerate(names)}
     width, folds = design.width, len(names)
     place = F.create_map(*[x for f, i in index.items() for x in (F.lit(f), F.lit(i))])
-    source = materialize(
+    source = spread(
         df.filter(F.col(fold).isNotNull()).select(F.try_element_at(place, F.col(fold)).alias("f"), F.col(label).cast("double").alias("y"), *design.columns(df))
     )
     betas = [np.zeros(t.shape[1]) for t in maps]

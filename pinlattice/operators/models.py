@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -82,46 +82,6 @@ def fit_weighted_logistic(
     return _fit_logistic(df.withColumn("__w", weight), features, label, l2 / n, "__w")
 
 
-def fit_multiclass(
-    df: DataFrame,
-    classes: Sequence[str],
-    width: int,
-    layers: Sequence[int] = (256, 128),
-    iterations: int = 40,
-    seed: int = 20260726,
-    features: str = "features",
-    outcome: str = "outcome",
-):
-    """Neural classifier; rarer classes are repeated by their rounded root-inverse-frequency weight."""
-    counts = {r[0]: r[1] for r in df.groupBy(outcome).count().collect()}
-    missing = [c for c in classes if not counts.get(c)]
-    if missing:
-        raise ValueError(f"no training rows for {missing}")
-    total = sum(counts[c] for c in classes)
-    raw = {c: (total / (len(classes) * counts[c])) ** 0.5 for c in classes}
-    smallest = min(raw.values())
-    label, copies = F.lit(None), F.lit(1)
-    for i, c in enumerate(classes):
-        label = F.when(F.col(outcome) == c, float(i)).otherwise(label)
-        copies = F.when(F.col(outcome) == c, max(1, round(raw[c] / smallest))).otherwise(copies)
-    rows = df.filter(F.col(outcome).isin(*classes)).select(
-        array_to_vector(F.col(features)).alias("features"),
-        label.alias("label"),
-        F.explode(F.sequence(F.lit(1), copies)).alias("copy"),
-    )
-    return MultilayerPerceptronClassifier(
-        layers=[width, *layers, len(classes)], maxIter=iterations, seed=seed
-    ).fit(rows.drop("copy"))
-
-
-def score_multiclass(df: DataFrame, model, features: str = "features", output: str = "p") -> DataFrame:
-    vectors = df.withColumn("__x", array_to_vector(F.col(features)))
-    scored = model.copy({model.featuresCol: "__x"}).transform(vectors)
-    return scored.withColumn(output, vector_to_array("probability")).drop(
-        "__x", "rawPrediction", "probability", "prediction"
-    )
-
-
 @dataclass(frozen=True)
 class Projection:
     mean: tuple[float, ...]

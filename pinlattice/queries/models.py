@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pinlattice.functions.vectors import norm, pair_interactions
 from pinlattice.operators import boosting as bst
 from pinlattice.operators import models as md
+from pinlattice.operators import network as nw
 from pinlattice.operators import preprocess as pre
 from pinlattice.operators import scoring as sc
 from pinlattice.operators import texts as tx
@@ -161,8 +162,8 @@ def _(t: Tables) -> DataFrame:
     from pinlattice.queries.aggregates import CLASSES
 
     rows, preprocessor = feature_rows(t)
-    model = md.fit_multiclass(rows, CLASSES, preprocessor.width, layers=(16,), iterations=15)
-    return multiclass_metrics(md.score_multiclass(rows, model), CLASSES)
+    model = nw.fit_network(rows, CLASSES, preprocessor.width)
+    return multiclass_metrics(nw.score_network(rows, model), CLASSES)
 
 
 @query("fit_projection")

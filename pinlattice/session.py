@@ -47,6 +47,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over ``spark.sql.shuffle.partitions`` tasks and written once.
+
+    For tables that are read many times, such as training rows: one large file would
+    otherwise keep every pass in one task.
+    """
+    return materialize(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def is_at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` holds at most ``rows`` rows; reads no more than it has to."""
     return df.limit(rows + 1).count() <= rows

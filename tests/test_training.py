@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,61 @@ def test_design_limits_levels(spark):
     assert fit_design(frame, NUMERIC, []).width == 5
     with pytest.raises(ValueError):
         fit_design(frame, [], ["experiment_id"], 10)
+
+
+# The network --------------------------------------------------------------
+
+
+def test_network_gradient_is_the_slope_of_the_loss():
+    from pinlattice.operators.network import Network
+
+    net = Network.start(("a", "b", "c"), 4, (5, 3), 1)
+    rng = np.random.default_rng(2)
+    x, y, w = rng.normal(size=(7, 4)), rng.integers(0, 3, 7), rng.uniform(0.5, 2, 7)
+    _, g = net.gradient(net.weights, x, y, w)
+    for i in range(0, len(g), 3):
+        step = np.zeros(len(g))
+        step[i] = 1e-6
+        slope = (net.gradient(net.weights + step, x, y, w)[0] - net.gradient(net.weights - step, x, y, w)[0]) / 2e-6
+        assert g[i] == pytest.approx(slope, abs=1e-5)
+
+
+def test_network_learns_and_refuses_strangers(spark):
+    from pinlattice.operators.network import class_weights, fit_network, score_network
+
+    r = random.Random(1)
+    points = [(r.uniform(-1, 1), r.uniform(-1, 1)) for _ in range(800)]
+    data = [([x, y], "same" if (x > 0) == (y > 0) else "other" if x > -0.7 else "rare") for x, y in points]
+    frame = spark.createDataFrame(data, "features array<double>, outcome string").repartition(3)
+    classes = ("same", "other", "rare")
+    network = fit_network(frame, classes, 2, (16, 8), 40)
+    again = fit_network(frame, classes, 2, (16, 8), 40)
+    assert np.allclose(network.weights, again.weights)
+    hits = score_network(frame, network).withColumn("best", F.array_position("p", F.array_max("p")))
+    right = hits.filter(F.col("best") == F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("outcome"))).count()
+    assert right / 800 > 0.9
+    w = class_weights([100, 10, 1])
+    assert w[2] > w[1] > w[0] and w.mean() == pytest.approx(1.0)
+    unknown = frame.unionByName(spark.createDataFrame([([0.0, 0.0], None)], frame.schema))
+    with pytest.raises(ValueError, match="no class"):
+        fit_network(unknown, classes, 2, (4,), 1)
+    assert score_network(spark.createDataFrame([(None,)], "features array<double>"), network).first()["p"] is None
+
+
+def test_siblings_by_subtraction_and_joint_heads_equal_single_heads(spark):
+    from pinlattice.operators import boosting as bst
+
+    r = random.Random(4)
+    outcomes = ["pass", "pass", "resolution_failure", "import_failure", "smoke_test_failure"]
+    data = []
+    for _ in range(1500):
+        bins = [r.randrange(6) for _ in range(4)]
+        data.append((bins, outcomes[(bins[0] + (bins[1] > 2) * 2 + r.randrange(2)) % 5]))
+    frame = spark.createDataFrame(data, "bins array<int>, outcome string").repartition(3)
+    options = bst.BoostingOptions(trees=5, learning_rate=0.4, minimum_leaf=20, checkpoint_every=2)
+    joint = bst.fit_heads(frame, 4, bst.STAGE_AWARE, options)
+    for head in bst.STAGE_AWARE:
+        alone = bst.fit_heads(frame, 4, (head,), options)[head]
+        for a, b in zip(alone.trees, joint[head].trees, strict=True):
+            assert [(n.feature, n.split_bin, n.left, n.right) for n in a] == [(n.feature, n.split_bin, n.left, n.right) for n in b]
+            assert [n.value for n in a] == pytest.approx([n.value for n in b])
