@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinlattice.constants import SPLITS
@@ -39,6 +39,10 @@ def experiment_matrix(scope: DataFrame, families: DataFrame, runnable_only: bool
 
     left = families.select("family", "package_a", "package_b").join(side("a"), "package_a")
     product = spread_join(left, side("b"), ["package_b", "python_version"])
+    return _matrix_rows(product)
+
+
+def _matrix_rows(product: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
     return product.select(
         experiment_id(
             F.col("package_a"),
@@ -58,9 +62,64 @@ def experiment_matrix(scope: DataFrame, families: DataFrame, runnable_only: bool
         "reason_b",
         "order_a",
         "order_b",
+        *extra,
     )
 
 
+def numbered_matrix(scope: DataFrame, families: DataFrame, runnable_only: bool = False) -> DataFrame:
+    """``experiment_matrix`` with ``matrix_order``, numbered without sorting the product.
+
+    A row's number is a mixed-radix one: what the blocks (family, Python target) before it hold, plus
+    its place in the block, (rank of A - 1) * versions of B + rank of B. Ranks follow version_order,
+    then version. Only the scope and the blocks are ordered; the product itself is never shuffled
+    by its order.
+    """
+    scope = scope.select(*SCOPE_COLUMNS)
+    if runnable_only:
+        scope = scope.filter("eligible")
+    target = ["package", "python_version"]
+    ranked = ordered(scope, [F.col("version_order"), F.col("version")], target, position="__rank", group_size="__n")
+    counts = ranked.select(*target, "__n").distinct()
+
+    def counts_of(s: str) -> DataFrame:
+        return counts.select(F.col("package").alias(f"package_{s}"), "python_version", F.col("__n").alias(f"__n_{s}"))
+
+    blocks = families.select("family", "package_a", "package_b").join(counts_of("a"), "package_a").join(counts_of("b"), ["package_b", "python_version"])
+    blocks = blocks.withColumn("__size", F.col("__n_a") * F.col("__n_b"))
+    place = [F.col("family"), python_order(), F.col("package_a"), F.col("package_b")]
+    blocks = ordered(blocks, place, position=None, totals={"__upto": "__size"})
+
+    def side(s: str) -> DataFrame:
+        return ranked.select(
+            F.col("package").alias(f"package_{s}"),
+            F.col("version").alias(f"version_{s}"),
+            "python_version",
+            F.col("eligible").alias(f"eligible_{s}"),
+            F.col("reason").alias(f"reason_{s}"),
+            F.col("version_order").alias(f"order_{s}"),
+            F.col("__rank").alias(f"__rank_{s}"),
+        )
+
+    left = spread_join(blocks, side("a"), ["package_a", "python_version"])
+    product = spread_join(left, side("b"), ["package_b", "python_version"])
+    number = F.col("__upto") - F.col("__size") + (F.col("__rank_a") - 1) * F.col("__n_b") + F.col("__rank_b")
+    return _matrix_rows(product, [number.alias("matrix_order")])
+
+
+def matrix_counts(scope: DataFrame, families: DataFrame) -> DataFrame:
+    """(family, python_version, eligible, reason_a, reason_b, rows) of the matrix, from counts of the scope alone."""
+    per_reason = scope.groupBy("package", "python_version", "eligible", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+    def side(s: str) -> DataFrame:
+        return per_reason.select(
+            F.col("package").alias(f"package_{s}"), "python_version", F.col("eligible").alias(f"eligible_{s}"), F.col("reason").alias(f"reason_{s}"), F.col("n").alias(f"n_{s}")
+        )
+
+    pairs = families.select("family", "package_a", "package_b").join(side("a"), "package_a").join(side("b"), ["package_b", "python_version"])
+    keys = ["family", "python_version", (F.col("eligible_a") & F.col("eligible_b")).alias("eligible"), "reason_a", "reason_b"]
+    return pairs.groupBy(*keys).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("rows"))
+
+
 def split_coverage(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(runnable rows, exclusions with the reason of both sides)."""
     return matrix.filter("eligible"), matrix.filter(~F.col("eligible"))
@@ -110,8 +169,12 @@ def shard_summary(sharded: DataFrame) -> DataFrame:
     )
 
 
-def matrix_reconcile(scope: DataFrame, families: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Per family: expected candidates from counts alone against the rows of the matrix."""
+def matrix_reconcile(scope: DataFrame, families: DataFrame, matrix: DataFrame | None = None) -> DataFrame:
+    """Per family: candidates, runnable and excluded rows, and whether they agree.
+
+    The counts follow from the scope. Where a stored ``matrix`` is given, its rows are counted
+    instead and compared with the candidates that the scope allows.
+    """
     per_target = scope.groupBy("package", "python_version").agg(F.count(F.lit(1)).alias("n"))
     a = per_target.select(
         F.col("package").alias("package_a"), "python_version", F.col("n").alias("n_a")
@@ -125,8 +188,10 @@ def matrix_reconcile(scope: DataFrame, families: DataFrame, matrix: DataFrame) -
         .groupBy("family")
         .agg(F.sum(F.col("n_a") * F.col("n_b")).alias("expected"))
     )
-    actual = matrix.groupBy("family").agg(
-        F.count_if("eligible").alias("runnable"), F.count_if(~F.col("eligible")).alias("excluded")
+    counted = matrix_counts(scope, families) if matrix is None else matrix.withColumn("rows", F.lit(1))
+    actual = counted.groupBy("family").agg(
+        F.sum(F.when(F.col("eligible"), F.col("rows"))).alias("runnable"),
+        F.sum(F.when(~F.col("eligible"), F.col("rows"))).alias("excluded"),
     )
     zero = F.lit(0)
     return expected.join(actual, "family", "full_outer").select(
@@ -141,22 +206,16 @@ def matrix_reconcile(scope: DataFrame, families: DataFrame, matrix: DataFrame) -
     )
 
 
-def exclusion_reasons(matrix: DataFrame) -> DataFrame:
-    """Reasons of excluded rows, counted per side."""
+def exclusion_reasons(counts: DataFrame) -> DataFrame:
+    """Reasons of excluded rows per side, from ``matrix_counts``."""
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"reason_{s}").alias("reason")) for s in ("a", "b")])
     return (
-        matrix.filter(~F.col("eligible"))
-        .select(
-            F.explode(
-                F.array(
-                    F.struct(F.lit("a").alias("side"), F.col("reason_a").alias("reason")),
-                    F.struct(F.lit("b").alias("side"), F.col("reason_b").alias("reason")),
-                )
-            ).alias("x")
-        )
-        .select("x.side", "x.reason")
+        counts.filter(~F.col("eligible"))
+        .select("rows", F.explode(sides).alias("x"))
+        .select("x.side", "x.reason", "rows")
         .filter(F.col("reason") != "eligible")
         .groupBy("side", "reason")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.sum("rows").alias("rows"))
     )
 
 
@@ -169,18 +228,17 @@ def split_disjoint(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     )
 
 
-def runtime_pilot(matrix: DataFrame, package_a: str, package_b: str, pythons: DataFrame) -> DataFrame:
-    """One row per Python target for one pair; a target without rows has a null id."""
-    rows = (
-        matrix.filter((F.col("package_a") == package_a) & (F.col("package_b") == package_b))
-        .filter("eligible")
-        .groupBy("python_version")
-        .agg(
-            F.max_by(
-                F.struct("experiment_id", "version_a", "version_b"),
-                F.struct("order_a", "order_b"),
-            ).alias("row")
-        )
+def runtime_pilot(scope: DataFrame, families: DataFrame, package_a: str, package_b: str, pythons: DataFrame) -> DataFrame:
+    """One row per Python target for one pair; a target without rows has a null id.
+
+    Only the pair's own rows are built: the newest runnable version of each side per target.
+    """
+    pair = families.filter((F.col("package_a") == package_a) & (F.col("package_b") == package_b))
+    newest = scope.filter(F.col("package").isin(package_a, package_b) & F.col("eligible")).groupBy("package", "python_version").agg(
+        F.max_by(F.struct(*SCOPE_COLUMNS), "version_order").alias("x")
+    )
+    rows = experiment_matrix(newest.select("x.*"), pair).groupBy("python_version").agg(
+        F.max(F.struct("experiment_id", "version_a", "version_b")).alias("row")
     )
     return pythons.join(rows, "python_version", "left").select(
         "python_version",

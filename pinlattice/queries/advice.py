@@ -19,7 +19,7 @@ def pins_of(t: Tables) -> DataFrame:
 
 
 def python_of(request):
-    return F.concat(F.lit("3.1"), (request % 3).cast("string"))
+    return F.concat(F.lit("3."), (8 + request % 7).cast("string"))
 
 
 def environments_of(t: Tables) -> DataFrame:
@@ -82,7 +82,7 @@ o as (select package_a as target, version_a as tv, package_b as related, version
 fam as (select distinct least(package_a, package_b) as lo, greatest(package_a, package_b) as hi, python_version from f)
 """
 REQUEST_SQL = """
-env as (select request_id, concat('3.1', cast(request_id % 3 as varchar)) as python_version, package, min(version) as version from pins group by 1, 2, 3),
+env as (select request_id, concat('3.', cast(8 + request_id % 7 as varchar)) as python_version, package, min(version) as version from pins group by 1, 2, 3),
 req as (select request_id, python_version, min(package) as target, concat('2.', cast(request_id % 10 as varchar), '.0') as requested from env group by 1, 2),
 rel as (select r.request_id, r.python_version, r.target, e.package as related, e.version as cur from req r join env e on e.request_id = r.request_id and e.package <> r.target
   join fam on lo = least(r.target, e.package) and hi = greatest(r.target, e.package) and fam.python_version = r.python_version)

@@ -14,7 +14,7 @@ from pinlattice.operators import observations as obs
 from pinlattice.operators import preprocess as pre
 from pinlattice.operators.texts import mention_counts, text_signals
 from pinlattice.queries.adapters import Tables
-from pinlattice.queries.joins import MATRIX_SQL, SCOPE_SQL, matrix_of, scope_of
+from pinlattice.queries.joins import MATRIX_SQL, SCOPE_SQL, scope_of
 from pinlattice.queries.projections import (
     AUDIT_SQL,
     PLAN_SQL,
@@ -385,8 +385,7 @@ from m group by family
     "releases families",
 )
 def _(t: Tables) -> DataFrame:
-    scope = scope_of(t)
-    return mx.matrix_reconcile(scope, t.families, mx.experiment_matrix(scope, t.families))
+    return mx.matrix_reconcile(scope_of(t), t.families)
 
 
 @query(
@@ -400,7 +399,7 @@ where reason <> 'eligible' group by all
     "releases families",
 )
 def _(t: Tables) -> DataFrame:
-    return mx.exclusion_reasons(matrix_of(t))
+    return mx.exclusion_reasons(mx.matrix_counts(scope_of(t), t.families))
 
 
 @query(

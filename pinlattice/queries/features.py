@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pinlattice.constants import LABEL_COLUMNS, SIGNAL_PATTERNS
 from pinlattice.operators.catalog import normalize_release
+from pinlattice.constants import PYTHON_VERSIONS
 from pinlattice.operators.observations import first_wins
 from pinlattice.operators.texts import package_mentions, text_signals
 from pinlattice.plans import features as ft
@@ -18,8 +19,6 @@ from pinlattice.queries.projections import PYTHON_ROWS, payloads
 from pinlattice.queries.registry import query
 from pinlattice.session import materialize
 
-PYTHONS = ["3.10", "3.11", "3.12"]
-
 
 def catalog_of(t: Tables) -> DataFrame:
     """Catalog with requirements on the next brand; stored once, as a catalog is."""
@@ -35,7 +34,7 @@ def catalog_of(t: Tables) -> DataFrame:
     declared = F.array_compact(F.array(F.lit("other>1"), requirement))
     info = F.col("info").withField("requires_dist", declared)
     return materialize(
-        normalize_release(raw.withColumn("info", info), PYTHONS)
+        normalize_release(raw.withColumn("info", info), PYTHON_VERSIONS)
     )
 
 
@@ -57,7 +56,7 @@ def experiments_of(t: Tables) -> DataFrame:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("matrix_order"),
         F.col("l_partkey").alias("a_id"),
         F.col("l_suppkey").alias("b_id"),
-        F.element_at(F.array(*[F.lit(p) for p in PYTHONS]), (F.col("l_partkey") % 3 + 1).cast("int")).alias("python_version"),
+        F.element_at(F.array(*[F.lit(p) for p in PYTHON_VERSIONS]), (F.col("l_partkey") % 7 + 1).cast("int")).alias("python_version"),
         F.when(F.col("l_returnflag") == "R", "resolution_failure")
         .when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), "import_failure")
         .when((F.col("l_returnflag") == "N") & (F.col("l_quantity") < 25), "smoke_test_failure")
@@ -83,7 +82,7 @@ f as (select package, version, python_version, max(rp) as rp, min(released) as r
   cast(regexp_extract(package, '([0-9]+)$', 1) as int) as n, cast(split_part(version, '.', 1) as int) as v1, cast(split_part(version, '.', 2) as int) as v2,
   cast(split_part(version, '.', 3) as int) as v3 from ok group by 1, 2, 3),
 e as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as experiment_id, a.package as package_a, a.version as version_a, b.package as package_b, b.version as version_b,
-  case l_partkey % 3 when 0 then '3.10' when 1 then '3.11' else '3.12' end as python_version,
+  concat('3.', cast(8 + l_partkey % 7 as varchar)) as python_version,
   case when l_returnflag = 'R' then 'resolution_failure' when l_returnflag = 'N' and l_linestatus = 'O' then 'import_failure'
     when l_returnflag = 'N' and l_quantity < 25 then 'smoke_test_failure' else 'pass' end as outcome
   from lineitem join releases a on a.release_id = l_partkey join releases b on b.release_id = l_suppkey),

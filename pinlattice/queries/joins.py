@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pinlattice.constants import PYTHON_VERSIONS
 from pinlattice.operators import matrix as mx
 from pinlattice.operators import observations as obs
 from pinlattice.operators.catalog import catalog_consistency
@@ -22,17 +23,15 @@ from pinlattice.queries.projections import AUDIT_SQL, audited
 from pinlattice.queries.registry import query
 from pinlattice.session import materialize
 
-PYTHONS = ("3.10", "3.11", "3.12")
-
 
 def scope_of(t: Tables) -> DataFrame:
-    """Scope rows of three Python targets in a listed version order."""
-    scope = audited(t).filter(F.col("python_version").isin(*PYTHONS))
+    """Scope rows of all Python targets in a listed version order."""
+    scope = audited(t)
     # The audited scope is a stored table: it is read once per side and per count.
     return materialize(scope.withColumn("version_order", F.col("version")))
 
 
-SCOPE_SQL = f"scope as (select * from ({AUDIT_SQL}) where python_version in ('3.10', '3.11', '3.12'))"
+SCOPE_SQL = f"scope as (select * from ({AUDIT_SQL}))"
 MATRIX_SQL = """
 m as (select f.family, f.split, f.package_a, a.version as version_a, f.package_b, b.version as version_b, a.python_version,
   a.eligible and b.eligible as eligible, a.reason as reason_a, b.reason as reason_b,
@@ -41,6 +40,11 @@ m as (select f.family, f.split, f.package_a, a.version as version_a, f.package_b
 """
 
 
+def numbered_of(t: Tables) -> DataFrame:
+    """Runnable rows with their order."""
+    return mx.numbered_matrix(scope_of(t), t.families, runnable_only=True)
+
+
 def matrix_of(t: Tables, runnable_only: bool = False) -> DataFrame:
     return mx.experiment_matrix(scope_of(t), t.families, runnable_only)
 
@@ -452,17 +456,15 @@ def _(t: Tables) -> DataFrame:
 with {SCOPE_SQL}, {MATRIX_SQL},
 r as (select *, row_number() over (partition by python_version order by version_a desc, version_b desc) as rn from m
   where eligible and package_a = 'brand-7' and package_b = 'brand-8'),
-y as (select unnest(['3.9', '3.10', '3.11', '3.12']) as python_version)
+y as (select unnest(['3.8', '3.9', '3.10', '3.11', '3.12', '3.13', '3.14', '3.15']) as python_version)
 select y.python_version, r.experiment_id, r.version_a, r.version_b, r.experiment_id is null as missing
 from y left join r on r.python_version = y.python_version and r.rn = 1
 """,
     "releases families",
 )
 def _(t: Tables) -> DataFrame:
-    pythons = t.spark.createDataFrame(
-        [("3.9",), ("3.10",), ("3.11",), ("3.12",)], "python_version string"
-    )
-    return mx.runtime_pilot(matrix_of(t, runnable_only=True), "brand-7", "brand-8", pythons)
+    pythons = t.spark.createDataFrame([(p,) for p in (*PYTHON_VERSIONS, "3.15")], "python_version string")
+    return mx.runtime_pilot(scope_of(t), t.families, "brand-7", "brand-8", pythons)
 
 
 @query(

@@ -258,7 +258,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def projects(t: Tables) -> DataFrame:
-    """Project payloads (info, releases map) assembled from the release view."""
+    """Project payloads (info, releases map) assembled from the release view, one per package and version."""
     file = F.struct(
         F.lit("bdist_wheel").alias("packagetype"),
         "filename",
@@ -271,9 +271,9 @@ def projects(t: Tables) -> DataFrame:
         "requires_python",
     )
     per_release = t.releases.groupBy("package", "version").agg(F.collect_list(file).alias("files"))
-    return per_release.groupBy("package").agg(
-        F.map_from_entries(F.collect_list(F.struct("version", "files"))).alias("releases")
-    ).select(F.struct(F.col("package").alias("name")).alias("info"), "releases")
+    return per_release.select(
+        F.struct(F.col("package").alias("name")).alias("info"), F.create_map("version", "files").alias("releases")
+    )
 
 
 def payloads(t: Tables) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pinlattice import schemas
 from pinlattice.functions.text import text_hash_matches
 from pinlattice.operators import catalog as cat
-from pinlattice.operators.matrix import assign_shards, matrix_order
+from pinlattice.operators.matrix import assign_shards
 from pinlattice.operators.violations import union_all
 from pinlattice.queries.adapters import Tables
-from pinlattice.queries.joins import MATRIX_SQL, SCOPE_SQL, matrix_of, vector_table
+from pinlattice.queries.joins import MATRIX_SQL, SCOPE_SQL, numbered_of, vector_table
 from pinlattice.queries.projections import (
     AUDIT_SQL,
     PLAN_SQL,
@@ -271,7 +271,7 @@ select experiment_id, cast(floor((rn - 1) / 2000) + 1 as int) as shard_index, ca
 )
 def _(t: Tables) -> DataFrame:
     """Shard files of 2000 experiments each (a shard is bounded by its size)."""
-    ordered = assign_shards(matrix_order(matrix_of(t, runnable_only=True)), 2000)
+    ordered = assign_shards(numbered_of(t), 2000)
     item = F.struct(
         "matrix_order",
         F.struct(

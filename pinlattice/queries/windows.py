@@ -13,7 +13,7 @@ from pinlattice.operators import observations as obs
 from pinlattice.operators.folds import balanced_fold_map, family_folds, fold_summary
 from pinlattice.queries.adapters import Tables
 from pinlattice.queries.aggregates import DOC_PATTERNS, SCORED_SQL, duck_pattern, scored
-from pinlattice.queries.joins import MATRIX_SQL, SCOPE_SQL, matrix_of
+from pinlattice.queries.joins import MATRIX_SQL, SCOPE_SQL, numbered_of
 from pinlattice.queries.registry import query
 from pinlattice.streaming import conversations as conv
 
@@ -48,8 +48,7 @@ from m where eligible
     "releases families",
 )
 def _(t: Tables) -> DataFrame:
-    ordered = mx.matrix_order(matrix_of(t, runnable_only=True))
-    return ordered.select("experiment_id", "matrix_order")
+    return numbered_of(t).select("experiment_id", "matrix_order")
 
 
 @query(
@@ -66,8 +65,7 @@ from s group by all
     "releases families",
 )
 def _(t: Tables) -> DataFrame:
-    ordered = mx.matrix_order(matrix_of(t, runnable_only=True))
-    return mx.assign_shards(ordered, 100).groupBy("shard_index", "shard_count", "shard_name").agg(
+    return mx.assign_shards(numbered_of(t), 100).groupBy("shard_index", "shard_count", "shard_name").agg(
         F.count(F.lit(1)).alias("row_count"), F.min("experiment_id").alias("first_id")
     )
 

@@ -265,6 +265,28 @@ def test_multiclass_literal(spark):
     assert (r["smoke_test_failure_correct_stage"], r["false_positive"]) == (1, 0)
 
 
+def test_mixed_radix_numbers_equal_the_sorted_matrix(spark):
+    import random
+
+    r = random.Random(3)
+    data = []
+    for package in ("a", "b", "c", "lonely"):
+        for python in ("3.9", "3.10", "3.11"):
+            for i in range(r.randrange(0, 9)):
+                data.append((package, f"1.{i}", python, r.random() < 0.7, "eligible" if i % 2 else "yanked", 10 - i))
+    scope = spark.createDataFrame(data, "package string, version string, python_version string, eligible boolean, reason string, version_order int")
+    families = spark.createDataFrame([("z", "a", "b"), ("y", "b", "c"), ("x", "a", "a"), ("w", "a", "unknown")], "family string, package_a string, package_b string")
+    for runnable in (False, True):
+        want = rows(matrix.matrix_order(matrix.experiment_matrix(scope, families, runnable)), "family", "experiment_id", "matrix_order")
+        got = matrix.numbered_matrix(scope, families, runnable)
+        assert rows(got, "family", "experiment_id", "matrix_order") == want
+    full = matrix.experiment_matrix(scope, families)
+    keys = ["family", "python_version", "eligible", "reason_a", "reason_b"]
+    assert rows(matrix.matrix_counts(scope, families), *keys, "rows") == rows(full.groupBy(*keys).count().withColumnRenamed("count", "rows"))
+    assert all(x["reconciled"] for x in matrix.matrix_reconcile(scope, families).collect())
+    assert matrix.numbered_matrix(scope.limit(0), families).count() == 0
+
+
 def test_class_weights(spark):
     data = [(label,) for label, n in enumerate((12, 6, 3, 1)) for _ in range(n)]
     out = preprocess.root_weights(spark.createDataFrame(data, "label int"), "label", 4).orderBy("label").collect()
