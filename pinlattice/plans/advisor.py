@@ -309,28 +309,37 @@ def best_safe_option(related: DataFrame, oriented: DataFrame) -> DataFrame:
     )
 
 
-def expand_candidates(
-    related: DataFrame, options: DataFrame, beam: int = MAXIMUM_CANDIDATES
-) -> DataFrame:
-    """Beam-limited product of the options of all related packages per target version.
+def related_steps(related: DataFrame, options: DataFrame) -> DataFrame:
+    """(request_id, target_version, steps, least_changes, least_risk) where every related package has options.
 
-    Output rows: (request_id, target_version, packages, versions, changes, risk).
-    A request has at most 99 related packages with 3 options each, so the array
-    per (request, target version) is bounded.
+    An option that is listed twice counts once, with its higher risk. The least changes, and the risk
+    of the safest candidate among those with the least changes, are known before anything is combined.
+    A request has at most 99 related packages with a few options each, so the array is bounded.
     """
-    per_grain = options.groupBy(*GRAIN, "target_version").agg(
-        F.array_sort(
-            F.collect_list(F.struct("option", "related_version", "changed", "risk"))
-        ).alias("options")
+    distinct = options.groupBy(*GRAIN, "target_version", "related_version").agg(
+        F.min("option").alias("option"), F.max("changed").alias("changed"), F.max("risk").alias("risk")
+    )
+    per_grain = distinct.groupBy(*GRAIN, "target_version").agg(
+        F.array_sort(F.collect_list(F.struct("option", "related_version", "changed", "risk"))).alias("options"),
+        F.min(F.struct(F.col("changed").cast("int").alias("changed"), "risk")).alias("least"),
     )
     wanted = related.groupBy("request_id").agg(F.count(F.lit(1)).alias("__n"))
-    grouped = (
+    return (
         related.join(per_grain, list(GRAIN))
         .groupBy("request_id", "target_version")
-        .agg(F.array_sort(F.collect_list(F.struct("related", "options"))).alias("steps"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("related", "options"))).alias("steps"),
+            F.sum("least.changed").cast("int").alias("least_changes"),
+            F.greatest(F.max("least.risk"), F.lit(0.0)).alias("least_risk"),
+        )
         .join(wanted, "request_id")
         .filter(F.size("steps") == F.col("__n"))
+        .drop("__n")
     )
+
+
+def expand_steps(grouped: DataFrame, beam: int = MAXIMUM_CANDIDATES) -> DataFrame:
+    """Beam-limited product of the options of all steps; other columns of ``grouped`` stay."""
     state = "struct<changes:int,risk:double,versions:array<string>>"
     start = F.array(F.struct(F.lit(0), F.lit(0.0), F.array().cast("array<string>"))).cast(
         f"array<{state}>"
@@ -353,14 +362,13 @@ def expand_candidates(
         # Fewest changes, lowest risk, then the versions in package order.
         return F.slice(F.array_sort(grown), 1, beam)
 
+    rest = [c for c in grouped.columns if c not in ("steps", "least_changes", "least_risk")]
     return grouped.select(
-        "request_id",
-        "target_version",
+        *rest,
         F.transform("steps", lambda s: s["related"]).alias("packages"),
         F.explode(F.aggregate("steps", start, expand)).alias("s"),
     ).select(
-        "request_id",
-        "target_version",
+        *rest,
         "packages",
         F.col("s.versions").alias("versions"),
         F.col("s.changes").alias("related_changes"),
@@ -368,13 +376,18 @@ def expand_candidates(
     )
 
 
-def rank_candidates(
-    candidates: DataFrame, requests: DataFrame, environments: DataFrame, limit: int = MAXIMUM_CANDIDATES
+def expand_candidates(
+    related: DataFrame, options: DataFrame, beam: int = MAXIMUM_CANDIDATES
 ) -> DataFrame:
-    """Candidates by (category, changes, risk, version distance), one per environment."""
-    unique = candidates.groupBy("request_id", "target_version", "packages", "versions").agg(
-        F.max("risk").alias("risk"), F.max("related_changes").alias("related_changes")
-    )
+    """All candidates: (request_id, target_version, packages, versions, related_changes, risk)."""
+    return expand_steps(related_steps(related, options), beam)
+
+
+def with_target_change(rows: DataFrame, requests: DataFrame, environments: DataFrame) -> DataFrame:
+    """Rows of (request_id, target_version) with what the change of the target itself means.
+
+    Many requests ask for the same change: versions are compared once per distinct triple.
+    """
     wanted = requests.select(
         "request_id", canonical_name(F.col("target_package")).alias("target"), "requested_version"
     )
@@ -383,27 +396,51 @@ def rank_candidates(
         F.col("package").alias("target"),
         F.col("version").alias("current_target"),
     )
-    wanted = wanted.join(current, ["request_id", "target"], "left")
-    rows = unique.join(wanted, "request_id")
-    # Many requests ask for the same change: versions are compared once per distinct triple.
+    rows = rows.join(wanted.join(current, ["request_id", "target"], "left"), "request_id")
     names = ["target_version", "requested_version", "current_target"]
-    target, requested, current = (F.col(n) for n in names)
-    asked = candidates.select("request_id", "target_version").distinct().join(wanted, "request_id")
-    changes = asked.select(*names).distinct().withColumns(
+    target, requested, current_version = (F.col(n) for n in names)
+    changes = rows.select(*names).distinct().withColumns(
         {
-            "category": change_category(target, requested, current),
+            "category": change_category(target, requested, current_version),
             "distance": version_distance(target, requested),
             "__order": history_key(target),
         }
     ).withColumn("priority", category_priority(F.col("category")))
-    rows = attach(rows, changes, names).withColumn(
-        "changes", F.col("related_changes") + (~target.eqNullSafe(current)).cast("int")
-    )
-    window = W.partitionBy("request_id").orderBy(
-        "priority", "changes", "risk", "distance", "__order", "versions"
-    )
+    return attach(rows, changes, names).withColumn("__moved", (~target.eqNullSafe(current_version)).cast("int"))
+
+
+_BEST = ("priority", "changes", "risk", "distance", "__order")
+
+
+def rank_candidates(
+    candidates: DataFrame, requests: DataFrame, environments: DataFrame, limit: int = MAXIMUM_CANDIDATES
+) -> DataFrame:
+    """Candidates (one row per environment) by (category, changes, risk, version distance)."""
+    rows = with_target_change(candidates, requests, environments)
+    return _ranked(rows, limit)
+
+
+def _ranked(rows: DataFrame, limit: int) -> DataFrame:
+    rows = rows.withColumn("changes", F.col("related_changes") + F.col("__moved"))
+    window = W.partitionBy("request_id").orderBy(*_BEST, "versions")
     ranked = rows.withColumn("position", F.row_number().over(window))
-    return ranked.filter(F.col("position") <= limit).drop("__order")
+    return ranked.filter(F.col("position") <= limit).drop("__order", "__moved")
+
+
+def best_candidates(
+    related: DataFrame, options: DataFrame, requests: DataFrame, environments: DataFrame, limit: int = MAXIMUM_CANDIDATES
+) -> DataFrame:
+    """The first ``limit`` of ``rank_candidates`` without combining what cannot be among them.
+
+    The best candidate of a target version is known from its options. A target version whose best
+    candidate comes after ``limit`` others' best ones has none among the first ``limit``; ties stay.
+    Only the rest is expanded. Both limits are applied per task before the shuffle.
+    """
+    grouped = with_target_change(related_steps(related, options), requests, environments)
+    bounds = grouped.withColumns({"changes": F.col("least_changes") + F.col("__moved"), "risk": F.col("least_risk")})
+    place = F.rank().over(W.partitionBy("request_id").orderBy(*_BEST))
+    open_versions = bounds.withColumn("__place", place).filter(F.col("__place") <= limit).drop("__place", "changes", "risk")
+    return _ranked(expand_steps(open_versions, limit), limit)
 
 
 def candidate_environments(ranked: DataFrame, environments: DataFrame, checks: int = MAXIMUM_CHECKS) -> DataFrame:
@@ -646,12 +683,18 @@ def top_alternatives(candidates: DataFrame, n: int = MAXIMUM_RECOMMENDATIONS) ->
 
 def advise(
     requests: DataFrame, environments: DataFrame, scored: DataFrame, verdicts: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(status per request, recommendations, warnings) for a batch of requests.
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(status per request, recommendations, warnings, violations) for a batch of requests.
 
-    ``environments`` are the current pins (env_id = request_id). The proposed
-    environment replaces the target's version by the requested one.
+    ``environments`` are the current pins (env_id = request_id). Requests that break a rule (no more
+    than the allowed number of pins, exact versions, a supported target) are reported as violations and
+    get no advice. The proposed environment replaces the target's version by the requested one.
     """
+    pins = environments.select(F.col("env_id").alias("request_id"), "package", "version")
+    problems = materialize(validate_requests(requests, pins))
+    broken = problems.select(F.col("key").alias("__key")).distinct()
+    requests = materialize(requests.join(broken, F.col("request_id").cast("string") == F.col("__key"), "left_anti"))
+    environments = environments.join(requests.select(F.col("request_id").alias("env_id")), "env_id", "left_semi")
     targets = requests.select(
         F.col("request_id").alias("env_id"),
         canonical_name(F.col("target_package")).alias("package"),
@@ -667,9 +710,8 @@ def advise(
     families = supported_families(scored)
     related = materialize(related_packages(requests, environments, families))
     oriented = pair_rows(scored, ["constraints_allow", "structured_probability"])
-    candidates = expand_candidates(related, top_options(related, oriented))
     # At most 50 rows per request, read by four later steps.
-    ranked = materialize(rank_candidates(candidates, requests, environments))
+    ranked = materialize(best_candidates(related, top_options(related, oriented), requests, environments))
     tried = candidate_environments(ranked, environments)
     tried_resolution = join_resolution(tried, verdicts)
     tried_risk = environment_risk(assess_pairs(tried, scored, tried_resolution))
@@ -688,4 +730,4 @@ def advise(
         )
     )
     accepted = recommend(ranked, assessments)
-    return status, accepted, recommendation_warning(requests, ranked, assessments, accepted)
+    return status, accepted, recommendation_warning(requests, ranked, assessments, accepted), problems

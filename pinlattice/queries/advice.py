@@ -293,8 +293,7 @@ def _flat(rows: DataFrame) -> DataFrame:
 
 def ranked_of(t: Tables, pairs: DataFrame | None = None) -> DataFrame:
     related, oriented = _oriented(t, pairs)
-    rows = adv.expand_candidates(related, adv.top_options(related, oriented))
-    return adv.rank_candidates(rows, requests_of(t), environments_of(t))
+    return adv.best_candidates(related, adv.top_options(related, oriented), requests_of(t), environments_of(t))
 
 
 @query(
@@ -454,7 +453,7 @@ def _(t: Tables) -> DataFrame:
     """The whole batch: status, recommendations and the reason when there is none."""
     requests, environments, scored = requests_of(t), environments_of(t), scored_pairs(t)
     verdicts = materialize(verdict_table(t, scored))
-    status, accepted, warnings = adv.advise(requests, environments, scored, verdicts)
+    status, accepted, warnings, _ = adv.advise(requests, environments, scored, verdicts)
     counts = accepted.groupBy("request_id").agg(F.count(F.lit(1)).alias("recommendations"))
     return (
         status.select(F.col("env_id").alias("request_id"), "status")

@@ -186,7 +186,7 @@ def run_cascade(spark, features, resolvable):
     verdicts = keys[0]
     for k in keys[1:]:
         verdicts = verdicts.unionByName(k)
-    status, accepted, warnings = adv.advise(requests, env, df, verdicts.drop("env_id"))
+    status, accepted, warnings, problems = adv.advise(requests, env, df, verdicts.drop("env_id"))
     return status.first(), accepted.orderBy("recommendation").collect(), warnings.first()
 
 
@@ -242,6 +242,26 @@ def test_beam_expansion_matches_brute_force(spark):
     assert sorted(got) == states
 
 
+@pytest.mark.parametrize("packages", [3, 6])
+def test_best_candidates_equal_the_ranked_product(spark, packages):
+    """Beams of 20 and 50 cut here: up to 3 ** 6 combinations for each of 9 target versions."""
+    import random
+
+    r = random.Random(packages)
+    names = [f"p{i}" for i in range(packages)]
+    targets = [f"{m}.{n}" for m in range(3) for n in range(3)]
+    related = spark.createDataFrame([(q, "3.11", "t", n, "1.0") for q in (1, 2) for n in names], "request_id int, python_version string, target string, related string, current_version string")
+    data = [("3.11", "t", n, "1.0", v, k + 1, f"{k}.0", k != 1, round(r.random(), 2)) for v in targets for n in names for k in range(3)]
+    options = spark.createDataFrame(data + data[:5], "python_version string, target string, related string, current_version string, target_version string, option int, related_version string, changed boolean, risk double")
+    requests = spark.createDataFrame([(1, "3.11", "t", "1.1"), (2, "3.11", "t", "2.0")], "request_id int, python_version string, target_package string, requested_version string")
+    env = spark.createDataFrame([(q, "3.11", "t", "1.0") for q in (1, 2)], "env_id int, python_version string, package string, version string")
+    columns = ("request_id", "position", "target_version", "versions", "priority", "changes", "risk")
+    for limit in (4, 20, 50):
+        whole = adv.rank_candidates(adv.expand_candidates(related, options, limit), requests, env, limit)
+        best = adv.best_candidates(related, options, requests, env, limit)
+        assert rows(best, *columns) == rows(whole, *columns) and best.count() == 2 * limit
+
+
 # Streaming ---------------------------------------------------------------
 
 
