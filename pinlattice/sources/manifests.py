@@ -24,15 +24,28 @@ def file_checksums(spark: SparkSession, path: str, pattern: str | None = None) -
 
 
 def fileset_digest(checksums: DataFrame) -> DataFrame:
-    """One digest for a set of files: digest of the name-sorted (name, digest) lines.
+    """One digest for a set of files, by a tree over the hashes of their names.
 
-    The list holds one short line per file of a release folder.
+    A file's line is its digest and its name. Files whose name hashes agree in four hexadecimal
+    digits share a leaf, the digest of its sorted lines; leaves that agree in two share a branch, and
+    the root covers the 256 branches at most. So no task holds all lines, the value does not depend
+    on how files are dealt over tasks, and a changed file changes three digests on its way up.
     """
-    line = F.concat_ws("\x00", "file", "sha256")
-    return checksums.agg(
-        F.count(F.lit(1)).alias("files"),
-        F.sum("bytes").alias("bytes"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"),
+    lines = checksums.select("bytes", F.sha2("file", 256).alias("__at"), F.concat_ws("  ", "sha256", "file").alias("__line"))
+
+    def level(rows: DataFrame, digits: int) -> DataFrame:
+        grouped = rows.groupBy(F.substring("__at", 1, digits).alias("__at")).agg(
+            F.sum("files").alias("files"),
+            F.sum("bytes").alias("bytes"),
+            F.sha2(F.array_join(F.array_sort(F.collect_list("__line")), "\n"), 256).alias("digest"),
+        )
+        return grouped.withColumn("__line", F.concat_ws(" ", "__at", "digest"))
+
+    branches = level(level(lines.withColumn("files", F.lit(1)), 4), 2)
+    return branches.agg(
+        F.coalesce(F.sum("files"), F.lit(0)).alias("files"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list("__line")), "\n"), 256).alias("digest"),
     )
 
 

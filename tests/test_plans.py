@@ -110,9 +110,19 @@ def test_csv_keeps_python_versions(spark, folder):
 def test_rewrite_resume_and_checksums(spark, folder):
     df = spark.createDataFrame([(i,) for i in range(5)], "id int")
     path = f"{folder}/t"
-    writers.rewrite_table(df, path)
-    writers.rewrite_table(spark.read.parquet(path).filter("id > 2"), path)
-    assert rows(spark.read.parquet(path)) == [(3,), (4,)]
+    assert writers.rewrite_table(df, path) == 1
+    begun = writers.read_current(spark, path)
+    assert writers.rewrite_table(begun.filter("id > 2"), path) == 2
+    assert rows(writers.read_current(spark, path)) == [(3,), (4,)] and begun.count() == 5
+    # A rewrite that fails, or that has not published, leaves the table as it is.
+    with pytest.raises(Exception):
+        writers.rewrite_table(begun.select(F.raise_error(F.lit("broken")).alias("id")), path)
+    df.write.parquet(f"{path}/data-9-unpublished")
+    assert rows(writers.read_current(spark, path)) == [(3,), (4,)]
+    assert writers.rewrite_table(writers.read_current(spark, path).limit(0), path) == 3
+    assert writers.read_current(spark, path).count() == 0
+    with pytest.raises(FileNotFoundError):
+        writers.read_current(spark, f"{folder}/none")
     calls = []
 
     def compute(missing):
@@ -262,6 +272,27 @@ def test_best_candidates_equal_the_ranked_product(spark, packages):
         assert rows(best, *columns) == rows(whole, *columns) and best.count() == 2 * limit
 
 
+def test_tree_digest_against_a_plain_tree(spark):
+    import hashlib
+
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    files = [(f"dir/file {i} é", i, sha(f"content {i}")) for i in range(300)]
+    frame = spark.createDataFrame(files, "file string, bytes long, sha256 string")
+    leaves, branches = {}, {}
+    for name, _, digest in files:
+        leaves.setdefault(sha(name)[:4], []).append(f"{digest}  {name}")
+    for leaf, lines in leaves.items():
+        branches.setdefault(leaf[:2], []).append(f"{leaf} {sha(chr(10).join(sorted(lines)))}")
+    root = sha("\n".join(sorted(f"{b} {sha(chr(10).join(sorted(x)))}" for b, x in branches.items())))
+    got = manifests.fileset_digest(frame.repartition(7)).first()
+    assert (got.files, got.bytes, got.digest) == (300, sum(range(300)), root)
+    assert manifests.fileset_digest(frame.limit(299)).first().digest != root
+    empty = manifests.fileset_digest(frame.limit(0)).first()
+    assert (empty.files, empty.digest) == (0, sha(""))
+
+
 # Streaming ---------------------------------------------------------------
 
 
