@@ -95,18 +95,44 @@ def _quality(scored_rows: DataFrame) -> DataFrame:
     return binary_metrics(predicted).join(F.broadcast(area))
 
 
-@query("fit_logistic")
+ACTUAL_SQL = """a as (select case when l_returnflag = 'R' or (l_returnflag = 'N' and l_linestatus = 'O' and l_quantity > 20)
+  or (l_returnflag = 'N' and l_extendedprice < 40000) then 1 else 0 end as actual, concat('family-', cast(l_suppkey % 6 as varchar)) as family from lineitem)"""
+
+
+def _balance(rows: DataFrame, weight=None) -> DataFrame:
+    """At the optimum the slope along the free intercept is 0: mean probability and mean label agree, weighted alike."""
+    w = F.lit(1.0) if weight is None else weight
+    return rows.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum(F.col("actual").cast("bigint")).alias("failures"),
+        F.round(F.sum(w * F.col("probability")) / F.sum(w), 4).alias("mean_probability"),
+        F.round(F.sum(w * (F.col("probability") - F.col("actual"))) / F.count(F.lit(1)), 5).alias("slope"),
+    )
+
+
+@query(
+    "fit_logistic",
+    f"with {ACTUAL_SQL} select count(*) as row_count, cast(sum(actual) as bigint) as failures, round(avg(actual), 4) as mean_probability, cast(0 as double) as slope from a",
+)
 def _(t: Tables) -> DataFrame:
     rows, _ = feature_rows(t)
     model = md.fit_logistic(rows, label="actual")
-    return _quality(rows.withColumn("probability", model.probability(F.col("features"))))
+    return _balance(rows.withColumn("probability", model.probability(F.col("features"))))
 
 
-@query("fit_weighted_logistic")
+@query(
+    "fit_weighted_logistic",
+    f"with {ACTUAL_SQL} select count(*) as row_count, cast(sum(actual) as bigint) as failures, cast(0.5 as double) as mean_probability, cast(0 as double) as slope from a",
+)
 def _(t: Tables) -> DataFrame:
+    """Balanced classes weigh alike, so the weighted mean probability is a half."""
     rows, _ = feature_rows(t)
     model = md.fit_weighted_logistic(rows, label="actual")
-    return _quality(rows.withColumn("probability", model.probability(F.col("features"))))
+    scored_rows = rows.withColumn("probability", model.probability(F.col("features")))
+    weights = pre.balanced_weights(rows, "actual").select(F.col("actual").alias("__label"), "weight")
+    # Two rows of weights.
+    weighted = scored_rows.join(F.broadcast(weights), F.col("actual") == F.col("__label"))
+    return _balance(weighted, F.col("weight"))
 
 
 @query(
@@ -232,10 +258,25 @@ def _(t: Tables) -> DataFrame:
     return _quality(scored_rows).join(F.broadcast(uncovered))
 
 
-@query("leave_one_family_out")
+@query(
+    "leave_one_family_out",
+    f"""
+with {ACTUAL_SQL}, f as (select family, count(*) as n, cast(sum(actual) as bigint) as p from a group by 1),
+m as (select *, ((select sum(p) from f) - p) * 2 >= (select sum(n) from f) - n as fails from f)
+select family, n as row_count, p as failures, fails as train_majority_fails, round(case when fails then p / n else 1 - p / n end, 6) as majority_accuracy, cast(0 as bigint) as uncovered from m
+""",
+)
 def _(t: Tables) -> DataFrame:
+    """Rows and failures come back through the predictions: a row without one would be missing."""
     metrics, problems = md.leave_one_family_out(training(t), NUMERIC, CATEGORICAL)
-    return metrics.join(F.broadcast(problems.agg(F.count(F.lit(1)).alias("uncovered"))))
+    hits, misses = F.col("true_positive"), F.col("false_negative")
+    return metrics.select(
+        "family",
+        (hits + misses + F.col("true_negative") + F.col("false_positive")).cast("bigint").alias("row_count"),
+        (hits + misses).cast("bigint").alias("failures"),
+        "train_majority_fails",
+        F.round("majority_accuracy", 6).alias("majority_accuracy"),
+    ).join(F.broadcast(problems.agg(F.count(F.lit(1)).alias("uncovered"))))
 
 
 def _candidate_sql(threshold_first: str, threshold_second: str) -> str:

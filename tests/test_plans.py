@@ -211,6 +211,20 @@ def test_cascade_accepts_resolved_low_risk(spark):
     assert accepted[0]["category"] == "achieves_requested_change"
 
 
+def test_requests_that_break_a_rule_get_no_advice(spark):
+    df = post_install_decision(adv.with_constraints(spark.createDataFrame(grid(0.05))))
+    df = df.select(*adv._key_columns(), "experiment_id", "listed", *adv.SCORES)
+    schema = "request_id int, python_version string, target_package string, requested_version string"
+    requests = spark.createDataFrame([(1, "3.11", "Alpha", "2.0"), (2, "2.7", "alpha", "2.0"), (3, "3.11", "alpha", "2.0"), (4, "3.11", "alpha", "2.0")], schema)
+    pins = [(i, "3.11", p, "1.0") for i in (1, 2) for p in ("alpha", "beta")] + [(3, "3.11", "alpha", "one"), (3, "3.11", "beta", "1.0")]
+    pins += [(4, "3.11", f"p{i}", "1.0") for i in range(100)] + [(4, "3.11", "alpha", "1.0")]
+    env = spark.createDataFrame(pins, "env_id int, python_version string, package string, version string")
+    verdicts = adv.environment_keys(env.filter("env_id = 1")).withColumn("resolvable", F.lit(True)).drop("env_id")
+    status, accepted, _, problems = adv.advise(requests, env, df, verdicts)
+    assert rows(status, "env_id") == [(1,)] and {r.request_id for r in accepted.collect()} <= {1}
+    assert rows(problems, "rule", "key") == [("invalid_pin_version", "3"), ("too_many_pins", "4"), ("unsupported_python", "2")]
+
+
 def test_cascade_rejects_unresolved(spark):
     status, accepted, warning = run_cascade(spark, grid(0.05), {(a, b): False for a in ("1.0", "2.0") for b in ("1.0", "2.0")})
     assert status["status"] == "risk_found" and not accepted and warning["warning"] == "all_rejected"
