@@ -84,6 +84,6 @@ def test_empty_table_and_clashing_columns(spark, tables, corpus, tmp_path):
 
 def test_registration():
     names = [n for n in QUERIES if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "secret_scan", "bpe_encoding"]
