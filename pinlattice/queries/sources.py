@@ -6,10 +6,13 @@ source format and read it back with the typed readers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinlattice import schemas
+from pinlattice.constants import PYTHON_VERSIONS
 from pinlattice.functions.text import text_hash_matches
 from pinlattice.operators import catalog as cat
 from pinlattice.operators.matrix import assign_shards
@@ -28,6 +31,7 @@ from pinlattice.queries.projections import (
 )
 from pinlattice.queries.registry import query
 from pinlattice.sources import manifests, readers, writers
+from pinlattice.sources.documents import write_document
 from pinlattice.session import shared_folder
 
 
@@ -37,12 +41,8 @@ def put_json(t: Tables, df: DataFrame, name: str) -> str:
     return path
 
 
-def put_object(t: Tables, document: DataFrame, name: str) -> str:
-    """Write one nested configuration object (a few thousand entries at most)."""
-    path = shared_folder(t.spark, name)
-    row = F.to_json(F.struct(*document.columns))
-    document.select(row.alias("value")).coalesce(1).write.text(path)
-    return path
+def record(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns)).alias("value")
 
 
 @query(
@@ -142,40 +142,43 @@ def _(t: Tables) -> DataFrame:
             )
         ).alias("versions")
     )
-    plain = F.struct(
-        F.lit("library").alias("role"),
-        F.lit("development").alias("split"),
-        F.transform(
-            "versions",
-            lambda v, i: F.when(i % 5 == 1, v["version"])
-            .when(i % 5 == 2, F.to_json(F.struct(v["version"].alias("version"), v["coverage"].alias("coverage"))))
-            .otherwise(F.to_json(v)),
-        ).alias("versions"),
+    shown = F.transform(
+        "versions",
+        lambda v, i: F.when(i % 5 == 1, v["version"])
+        .when(i % 5 == 2, F.to_json(F.struct(v["version"].alias("version"), v["coverage"].alias("coverage"))))
+        .otherwise(F.to_json(v)),
     )
-    from pinlattice.constants import PYTHON_VERSIONS
-
-    document = listed.agg(F.map_from_entries(F.collect_list(F.struct("package", plain))).alias("packages"))
-    path = put_object(
-        t,
-        document.select(
-            F.array(*[F.lit(p) for p in PYTHON_VERSIONS]).alias("coverage_order"), "packages"
-        ),
-        "scope",
+    packages = listed.select(F.col("package").alias("name"), shown.alias("versions")).select(
+        "name", F.lit("library").alias("role"), F.lit("development").alias("split"), "versions"
+    )
+    path = write_document(
+        t.spark,
+        shared_folder(t.spark, "scope"),
+        {"packages": (packages.select("name", record("role", "split", "versions")), ["name"])},
+        {"coverage_order": json.dumps(PYTHON_VERSIONS)},
     )
     return readers.read_scope(t.spark, path).drop("role", "split")
 
 
+def family_records(t: Tables) -> DataFrame:
+    return t.families.select(F.col("family").alias("name"), "package_a", "package_b", "split").select(
+        record("name", "package_a", "package_b", "split")
+    )
+
+
 @query(
     "read_pairs",
     "select family, package_a, package_b, split, '3.10,3.11' as python_versions from families",
     "families",
 )
 def _(t: Tables) -> DataFrame:
-    item = F.struct(F.col("family").alias("name"), "package_a", "package_b", "split")
-    document = t.families.agg(F.collect_list(item).alias("families")).withColumn(
-        "python_versions", F.array(F.lit("3.10"), F.lit("3.11"))
+    path = write_document(
+        t.spark,
+        shared_folder(t.spark, "pairs"),
+        {"families": (family_records(t), ["value"])},
+        {"python_versions": '["3.10", "3.11"]'},
     )
-    rows = readers.read_pairs(t.spark, put_object(t, document, "pairs"))
+    rows = readers.read_pairs(t.spark, path)
     return rows.withColumn("python_versions", F.array_join("python_versions", ","))
 
 
@@ -189,29 +192,22 @@ union all select 'family', family, package_a, package_b, split from families
     "releases families",
 )
 def _(t: Tables) -> DataFrame:
-    packages = plan_packages(t).agg(
-        F.map_from_entries(
-            F.collect_list(
-                F.struct(
-                    "package",
-                    F.struct(
-                        "role",
-                        "split",
-                        F.when(F.col("minimum_versions") == 1, 1).alias("minimum_versions"),
-                    ),
-                )
-            )
-        ).alias("packages")
+    packages = plan_packages(t).select(
+        F.col("package").alias("name"),
+        "role",
+        "split",
+        F.when(F.col("minimum_versions") == 1, 1).alias("minimum_versions"),
     )
-    item = F.struct(F.col("family").alias("name"), "package_a", "package_b", "split")
-    families = t.families.agg(F.collect_list(item).alias("families"))
-    document = packages.join(F.broadcast(families)).select(
-        F.lit(12).alias("target_versions_per_package"),
-        F.lit(3).alias("minimum_versions_per_package"),
-        "packages",
-        "families",
+    path = write_document(
+        t.spark,
+        shared_folder(t.spark, "plan"),
+        {
+            "packages": (packages.select("name", record("role", "split", "minimum_versions")), ["name"]),
+            "families": (family_records(t), ["value"]),
+        },
+        {"target_versions_per_package": "12", "minimum_versions_per_package": "3"},
     )
-    p, f = readers.read_plan(t.spark, put_object(t, document, "plan"))
+    p, f = readers.read_plan(t.spark, path)
     return p.select(
         F.lit("package").alias("kind"),
         F.col("package").alias("name"),
@@ -244,20 +240,17 @@ from o
 def _(t: Tables) -> DataFrame:
     versions = t.releases.select(F.col("package").alias("package_a"), "version").distinct()
     rows = t.families.join(versions, "package_a")
-    item = F.struct(
+    experiments = rows.select(
         "family",
         "version",
-        F.struct(
-            "family",
-            F.concat("package_a", F.lit("=="), "version").alias("package_a"),
-            F.concat("package_b", F.lit("==1.0")).alias("package_b"),
-            F.lit("3.10").alias("python"),
-        ).alias("e"),
-    )
-    document = rows.agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["e"]).alias("experiments")
+        F.concat("package_a", F.lit("=="), "version").alias("package_a"),
+        F.concat("package_b", F.lit("==1.0")).alias("package_b"),
+        F.lit("3.10").alias("python"),
+    ).select("family", "version", record("family", "package_a", "package_b", "python"))
+    path = write_document(
+        t.spark, shared_folder(t.spark, "manifest"), {"experiments": (experiments, ["family", "version"])}
     )
-    return readers.read_manifest(t.spark, put_object(t, document, "manifest"))
+    return readers.read_manifest(t.spark, path)
 
 
 @query(

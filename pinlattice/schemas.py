@@ -62,26 +62,18 @@ RAW_PROJECT = f"info struct<name:string>, releases map<string,array<{RAW_FILE}>>
 RAW_RANKING = "rows array<struct<project:string,download_count:bigint>>"
 COVERAGE_DETAIL = "struct<python:string,eligible:boolean,reason:string,compatible_wheels:int>"
 # A version entry is an object or a bare string, so entries are read as text first.
-SCOPE = (
-    "coverage_order array<string>, "
-    "packages map<string,struct<role:string,split:string,versions:array<string>>>"
-)
+SCOPE_PACKAGE = "struct<role:string,split:string,versions:array<string>>"
 SCOPE_VERSION = (
     f"struct<version:string,coverage:array<boolean>,coverage_details:array<{COVERAGE_DETAIL}>>"
 )
-PAIRS = (
-    "families array<struct<name:string,package_a:string,package_b:string,split:string>>, "
-    "python_versions array<string>, platform string"
-)
-PLAN = (
-    "target_versions_per_package int, minimum_versions_per_package int, "
-    "coverage_order array<string>, "
-    "packages map<string,struct<role:string,split:string,minimum_versions:int>>, "
-    "families array<struct<name:string,package_a:string,package_b:string,split:string>>"
+FAMILY = "struct<name:string,package_a:string,package_b:string,split:string>"
+PLAN_PACKAGE = "struct<role:string,split:string,minimum_versions:int>"
+EXPERIMENT = (
+    "struct<family:string,package_a:string,package_b:string,python:string,"
+    "platform:string,selection_method:string>"
 )
 MANIFEST = (
-    "shard_index int, shard_count int, experiments array<struct<family:string,package_a:string,"
-    "package_b:string,python:string,platform:string,selection_method:string>>"
+    f"shard_index int, shard_count int, experiments array<{EXPERIMENT}>"
 )
 EMBEDDING = (
     "package string, version string, selected_text_sha256 string, model string, "

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinlattice import schemas
 from pinlattice.functions.names import canonical_name, experiment_id, parse_pin
 from pinlattice.operators.catalog import read_ranking_rows
 from pinlattice.operators.violations import union_all, violation
+from pinlattice.sources.documents import read_sections
 
 CORRUPT = "_corrupt_record"
 
@@ -51,15 +52,21 @@ def _object(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def _parsed(text: str, schema: str) -> Column:
+    return F.from_json(F.col(text), schema, {"mode": "FAILFAST"})
+
+
 def read_scope(spark: SparkSession, path: str) -> DataFrame:
     """(package, role, split, version, version_order, python_version, eligible, reason, compatible_wheels).
 
     A version entry is an object or a bare string. Coverage is positional
     against ``coverage_order``; missing details get defaults.
     """
-    scope = _object(spark, path, schemas.SCOPE)
-    versions = scope.select(
-        "coverage_order", F.explode("packages").alias("package", "p")
+    packages = read_sections(spark, path).filter(F.col("section") == "packages")
+    versions = packages.select(
+        _parsed("members.coverage_order", "array<string>").alias("coverage_order"),
+        F.col("name").alias("package"),
+        _parsed("value", schemas.SCOPE_PACKAGE).alias("p"),
     ).select(
         "coverage_order",
         "package",
@@ -117,19 +124,23 @@ def scope_problems(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(family, package_a, package_b, split, python_versions)."""
-    pairs = _object(spark, path, schemas.PAIRS)
-    return pairs.select("python_versions", F.explode("families").alias("f")).select(
+    families = read_sections(spark, path).filter(F.col("section") == "families")
+    return families.select(
+        _parsed("members.python_versions", "array<string>").alias("python_versions"),
+        _parsed("value", schemas.FAMILY).alias("f"),
+    ).select(
         F.col("f.name").alias("family"), "f.package_a", "f.package_b", "f.split", "python_versions"
     )
 
 
 def read_plan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(packages, families) of a dataset plan."""
-    plan = _object(spark, path, schemas.PLAN)
-    packages = plan.select(
-        "minimum_versions_per_package",
-        F.col("target_versions_per_package").alias("target_versions"),
-        F.explode("packages").alias("package", "p"),
+    records = read_sections(spark, path)
+    packages = records.filter(F.col("section") == "packages").select(
+        F.col("members.minimum_versions_per_package").cast("int").alias("minimum_versions_per_package"),
+        F.col("members.target_versions_per_package").cast("int").alias("target_versions"),
+        F.col("name").alias("package"),
+        _parsed("value", schemas.PLAN_PACKAGE).alias("p"),
     ).select(
         "package",
         "p.role",
@@ -137,9 +148,9 @@ def read_plan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         F.coalesce("p.minimum_versions", "minimum_versions_per_package").alias("minimum_versions"),
         "target_versions",
     )
-    families = plan.select(F.explode("families").alias("f")).select(
-        F.col("f.name").alias("family"), "f.package_a", "f.package_b", "f.split"
-    )
+    families = records.filter(F.col("section") == "families").select(
+        _parsed("value", schemas.FAMILY).alias("f")
+    ).select(F.col("f.name").alias("family"), "f.package_a", "f.package_b", "f.split")
     return packages, families
 
 
@@ -160,8 +171,12 @@ def _specs(rows: DataFrame) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Typed experiments in manifest order (0-based ``position``)."""
-    manifest = _object(spark, path, schemas.MANIFEST)
-    return _specs(manifest.select(F.posexplode("experiments").alias("position", "e")))
+    experiments = read_sections(spark, path).filter(F.col("section") == "experiments")
+    return _specs(
+        experiments.select(
+            F.col("position").cast("int").alias("position"), _parsed("value", schemas.EXPERIMENT).alias("e")
+        )
+    )
 
 
 def read_shard_dir(spark: SparkSession, path: str) -> DataFrame:
