@@ -22,10 +22,10 @@ from pinlattice.functions.text import (
     signal_counts,
 )
 from pinlattice.functions.vectors import l2_normalize
+from pinlattice.operators.ordered import with_scalars
 from pinlattice.operators.violations import explode_rules
-from pinlattice.session import is_at_most
 
-VOCABULARY_BROADCAST_ROWS = 100_000
+FILTER_WORDS = 16_384  # 64 bits each: 128 KB, 1 % of other grams pass at 10,000 names
 
 
 def text_signals(df: DataFrame, text: str = "text") -> DataFrame:
@@ -52,23 +52,29 @@ def mention_counts(
 ) -> DataFrame:
     """(key, name, mentions) of every known package mentioned in a text, except its own.
 
-    A small vocabulary is broadcast after a check of its size, so a token that is
-    no package never leaves its task; a larger one is joined by shuffle after the
-    grams of a text were counted. ``vocabulary`` has a column ``name``.
+    One plan serves any vocabulary: a bit filter of fixed size over the names travels to
+    the texts and drops nearly all grams that are no name before anything is shuffled; a
+    vocabulary too large for it lets more grams pass. The grams that pass are counted per
+    text and joined with the names, which decides. ``vocabulary`` has a column ``name``.
     """
-    pieces = vocabulary.agg(F.max(F.size(F.split(F.lower("name"), r"\.")))).first()[0] or 1
-    grams = texts.select(
-        *key, F.col(current).alias("__own"), F.explode(mention_grams(F.col(text), pieces)).alias("gram")
-    )
     names = vocabulary.select("name", F.lower("name").alias("gram")).distinct()
-    keys = [*key, "__own", "gram"]
-    if is_at_most(names, VOCABULARY_BROADCAST_ROWS):
-        counted = grams.join(F.broadcast(names), "gram").groupBy(*keys, "name").agg(
-            F.count(F.lit(1)).alias("mentions")
-        )
-    else:
-        counted = grams.groupBy(*keys).agg(F.count(F.lit(1)).alias("mentions")).join(names, "gram")
-    return counted.filter(F.col("name") != F.col("__own")).select(*key, "name", "mentions")
+    about = names.agg(F.coalesce(F.max(F.size(F.split("gram", r"\."))), F.lit(1)).alias("__pieces"))
+    grams = with_scalars(texts, about).select(
+        *key, F.col(current).alias("__own"), F.explode(mention_grams(F.col(text), F.col("__pieces"))).alias("gram")
+    )
+    slot = F.xxhash64("gram").bitwiseAND(F.lit(FILTER_WORDS * 64 - 1))
+    word = F.shiftright(slot, 6)
+    bit = slot.bitwiseAND(F.lit(63)).cast("int")
+    words = names.groupBy(word.alias("id")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits")
+    )
+    dense = texts.sparkSession.range(FILTER_WORDS).join(words, "id", "left")
+    filled = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    # One row of FILTER_WORDS numbers, whatever the vocabulary.
+    known = dense.agg(F.transform(filled, lambda x: x["bits"]).alias("__words"))
+    passing = grams.join(F.broadcast(known), F.getbit(F.get("__words", word.cast("int")), bit) == 1)
+    counted = passing.groupBy(*key, "__own", "gram").agg(F.count(F.lit(1)).alias("mentions"))
+    return counted.join(names, "gram").filter(F.col("name") != F.col("__own")).select(*key, "name", "mentions")
 
 
 def package_mentions(

@@ -1,4 +1,4 @@
-"""Session helpers: lineage cuts and checked broadcasts."""
+"""Session helpers: the shared folder and lineage cuts."""
 
 from __future__ import annotations
 
@@ -54,8 +54,3 @@ def spread(df: DataFrame) -> DataFrame:
     otherwise keep every pass in one task.
     """
     return materialize(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
-def is_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` holds at most ``rows`` rows; reads no more than it has to."""
-    return df.limit(rows + 1).count() <= rows

@@ -315,6 +315,12 @@ def test_balanced_folds(spark):
     df = spark.createDataFrame(data, "family string, actual int")
     got = {x["family"]: x["fold"] for x in folds.balanced_fold_map(df, 4).collect()}
     assert got == greedy([(n, a, b) for n, (a, b) in counts.items()], 4)
+    many = [(f"g{i}", 2 + i // 700, i // 1100) for i in range(1500)] + [("h", 900, 0), ("i", 40, 40)]
+    df2 = spark.createDataFrame(many, "family string, n int, p int").select(
+        "family", F.explode(F.sequence(F.lit(1), "n")).alias("i"), "p"
+    ).select("family", (F.col("i") <= F.col("p")).cast("int").alias("actual"))
+    assert {x["family"]: x["fold"] for x in folds.balanced_fold_map(df2, 3).collect()} == greedy(many, 3)
+    assert folds.balanced_fold_map(df.limit(0), 3).count() == 0
     assert folds.balanced_folds(df, 4).groupBy("family").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
 
 
@@ -454,6 +460,33 @@ def test_embedding_guards(spark):
     ]
 
 
+def test_equal_families_share_out_like_one_by_one(monkeypatch):
+    r = random.Random(9)
+    cases = []
+    for _ in range(60):
+        k = r.randrange(1, 6)
+        loads = [(float(r.randrange(0, 300)), float(r.randrange(0, 40)), r.randrange(0, 9)) for _ in range(k)]
+        size = (float(r.randrange(1, 9)), float(r.randrange(0, 3)))
+        goals = (r.choice([1e3, 37.0, 1e9]), r.choice([1.0, 55.0]))
+        cases.append((loads, size, goals, r.randrange(1, 400)))
+    plain = [folds.share_out(*c) for c in cases]
+    monkeypatch.setattr(folds, "_ONE_BY_ONE", 0)
+    assert [folds.share_out(*c) for c in cases] == plain
+    assert sum(folds.share_out([(0.0, 0.0, 0)] * 3, (2.0, 1.0), (1e9, 1e8), 10**9)) == 10**9
+
+
+def test_mentions_with_more_names_than_the_filter_tells_apart(spark, monkeypatch):
+    from pinlattice.operators import texts as module
+
+    monkeypatch.setattr(module, "FILTER_WORDS", 1)
+    texts = spark.createDataFrame([("n1", "1", "N1 n2 n3.x n3 n2 other"), ("z", "2", None)], "package string, version string, text string")
+    vocabulary = spark.range(500).select(F.concat(F.lit("N"), "id").alias("name"))
+    got = {r["version"]: r["package_mentions"] for r in package_mentions(texts, vocabulary, ["package", "version"]).collect()}
+    assert got == {"1": {"N1": 1, "N2": 2, "N3": 2}, "2": {}}
+    nothing = package_mentions(texts, vocabulary.limit(0), ["package", "version"])
+    assert [r["package_mentions"] for r in nothing.collect()] == [{}, {}]
+
+
 def test_mentions_whole_tokens_only(spark):
     texts = spark.createDataFrame(
         [("me", "1", "demo-client, not my-demo-client or demo-clients. ME zope.interface! zope.interface.x Demo-Client")],
