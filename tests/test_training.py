@@ -137,3 +137,48 @@ def test_siblings_by_subtraction_and_joint_heads_equal_single_heads(spark):
         for a, b in zip(alone.trees, joint[head].trees, strict=True):
             assert [(n.feature, n.split_bin, n.left, n.right) for n in a] == [(n.feature, n.split_bin, n.left, n.right) for n in b]
             assert [n.value for n in a] == pytest.approx([n.value for n in b])
+
+
+def test_network_reads_packed_blocks_in_every_step(spark, monkeypatch):
+    """Rows are converted once; steps read a byte string per block, not a value at a time."""
+    from pinlattice.operators import network as nw
+
+    kept = []
+    real = nw.materialize
+    monkeypatch.setattr(nw, "materialize", lambda df: kept.append(real(df)) or kept[-1])
+    rows = [([float(i % 7), float(i % 3)], "pass" if i % 2 else "fail") for i in range(400)]
+    frame = spark.createDataFrame(rows, "features array<double>, outcome string")
+    nw.fit_network(frame, ["pass", "fail"], 2, (4,), 1)
+    (packed,) = kept
+    assert packed.dtypes == [("x", "binary"), ("y", "binary")]
+    assert packed.count() < 400
+    assert packed.selectExpr("sum(length(y)) / 8").first()[0] == 400
+
+
+def test_smooth_rectifier_and_slope():
+    import numpy as np
+
+    from pinlattice.operators.network import _gelu
+
+    x = np.array([-900.0, -40.0, -3.0, -0.5, 0.0, 0.5, 3.0, 40.0, 900.0])
+    inner = np.tanh((2 / np.pi) ** 0.5 * (x + 0.044715 * x**3))
+    value, slope = _gelu(x)
+    assert np.allclose(value, 0.5 * x * (1 + inner), atol=1e-12)
+    near = (_gelu(x + 1e-6)[0] - _gelu(x - 1e-6)[0]) / 2e-6
+    assert np.allclose(slope, near, atol=1e-6)
+
+
+def test_boosting_state_is_packed_blocks(spark):
+    """A block per batch, bins as bytes: a pass reads no row by itself."""
+    import numpy as np
+
+    from pinlattice.operators import boosting as bst
+
+    rows = [([i % 5, i % 300], [float(i % 2)], [1.0]) for i in range(600)]
+    frame = spark.createDataFrame(rows, "bins array<int>, y array<double>, w array<double>").coalesce(1)
+    for bins, size in ((256, 1), (300, 4)):
+        frame_of = frame.filter("bins[1] < 256") if bins == 256 else frame
+        n = frame_of.count()
+        (block,) = bst._packed_rows(frame_of, 2, bins, [0.25]).collect()
+        assert [len(block[c]) for c in ("bins", "y", "w", "logits")] == [2 * n * size, 8 * n, 8 * n, 8 * n]
+        assert np.frombuffer(bytes(block["logits"])).tolist() == [0.25] * n
