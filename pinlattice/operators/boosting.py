@@ -6,8 +6,10 @@ histograms of a node meet in one group, and one row per node comes back. Of two
 the smaller one is counted, the other is their parent less that. What the driver holds depends on
 heads, nodes, features and bins, never on rows.
 
-Rows carry one logit per head. Trees since the last written state are applied inside the tasks;
-every ``checkpoint_every`` trees the state is written anew.
+The state is packed: a row is a block of a few thousand training rows, whose bins (feature by
+feature), labels, weights and logits (head by head) are byte strings that numpy reads as they are, so
+no value is converted between Spark and numpy in the passes. Trees since the last written state are
+applied inside the tasks; every ``checkpoint_every`` trees the state is written anew.
 """
 
 from __future__ import annotations
@@ -88,22 +90,59 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(flat) else np.zeros((len(column), width))
 
 
+_BLOCK = "bins binary, y binary, w binary, logits binary"
+
+
+def _block(parts: Sequence[np.ndarray], names: Sequence[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=list(names))
+
+
+def _packed_rows(rows: DataFrame, width: int, bins: int, base: list[float]) -> DataFrame:
+    """Blocks of the rows (bins, y, w): a block is one batch, its arrays have features or heads in front."""
+    kind = np.uint8 if bins <= 1 << 8 else np.int32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                matrix = _matrix(batch.column(0), width).astype(kind).T
+                y, w = (_matrix(batch.column(i), len(base)).T for i in (1, 2))
+                yield _block([matrix, y, w, np.repeat(base, batch.num_rows)], ["bins", "y", "w", "logits"])
+
+    return rows.mapInArrow(run, _BLOCK)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, bins: int, heads: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(bins by feature, labels, weights and logits by head) of every block."""
+    kind = np.uint8 if bins <= 1 << 8 else np.int32
+    for batch in batches:
+        for matrix, *rest in zip(*[batch.column(i) for i in range(4)], strict=True):
+            y, w, logits = (np.frombuffer(x.as_buffer()).reshape(heads, -1) for x in rest)
+            yield np.frombuffer(matrix.as_buffer(), kind).reshape(width, -1), y, w, logits
+
+
 def _places(nodes: list[Node], matrix: np.ndarray) -> np.ndarray:
-    """The node every row ends in."""
-    at = np.zeros(len(matrix), np.int64)
+    """The node every row ends in; ``matrix`` has a line per feature."""
+    at = np.zeros(matrix.shape[1], np.int16)
     for i, node in enumerate(nodes):  # children come after their parents
         if node.feature >= 0:
-            here = np.flatnonzero(at == i)
-            left = matrix[here, node.feature] <= node.split_bin
-            at[here] = np.where(left, node.left, node.right)
+            left = matrix[node.feature] <= node.split_bin
+            if i == 0:
+                at = np.where(left, np.int16(node.left), np.int16(node.right))
+            else:
+                here = at == i
+                at[here & left] = node.left
+                at[here & ~left] = node.right
     return at
 
 
-def _advance(logits: np.ndarray, matrix: np.ndarray, recent: list[list[list[Node]]], rates: list[float]) -> None:
+def _advanced(logits: np.ndarray, matrix: np.ndarray, recent: list[list[list[Node]]], rates: list[float]) -> np.ndarray:
+    """The logits with the recent trees of every head added."""
+    logits = np.array(logits)
     for h, trees in enumerate(recent):
         for tree in trees:
-            values = np.array([n.value for n in tree])
-            logits[:, h] += rates[h] * values[_places(tree, matrix)]
+            values = rates[h] * np.array([n.value for n in tree])
+            logits[h] += values[_places(tree, matrix)]
+    return logits
 
 
 def _histograms(
@@ -113,27 +152,23 @@ def _histograms(
     cells = width * bins
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {(h, i): np.zeros((3, cells)) for h, nodes in enumerate(wanted) for i in nodes}
-        offsets = np.arange(width) * bins
-        for batch in batches:
-            matrix = _matrix(batch.column(0), width)
-            y, w = _matrix(batch.column(1), len(rates)), _matrix(batch.column(2), len(rates))
-            logits = np.array(_matrix(batch.column(3), len(rates)))
-            _advance(logits, matrix, recent, rates)
-            at = matrix + offsets
+        sums = {(h, i): np.zeros((3, width, bins)) for h, nodes in enumerate(wanted) for i in nodes}
+        for matrix, y, w, logits in _blocks(batches, width, bins, len(rates)):
+            logits = _advanced(logits, matrix, recent, rates)
             for h, nodes in enumerate(wanted):
                 if not nodes:
                     continue
                 place = _places(growing[h], matrix)
-                place[w[:, h] == 0] = -1
                 for i in nodes:
-                    rows = np.flatnonzero(place == i)
-                    p = 1.0 / (1.0 + np.exp(-np.clip(logits[rows, h], -35.0, 35.0)))
-                    g, k = w[rows, h] * (y[rows, h] - p), w[rows, h] * p * (1 - p)
-                    where = at[rows].reshape(-1)
-                    sums[h, i][0] += np.bincount(where, np.repeat(g, width), cells)
-                    sums[h, i][1] += np.bincount(where, np.repeat(k, width), cells)
-                    sums[h, i][2] += np.bincount(where, minlength=cells)
+                    rows = np.flatnonzero((place == i) & (w[h] != 0))
+                    p = 1.0 / (1.0 + np.exp(-np.clip(logits[h, rows], -35.0, 35.0)))
+                    weight = w[h, rows]
+                    g, k = weight * (y[h, rows] - p), weight * p * (1 - p)
+                    for f in range(width):
+                        where = matrix[f, rows].astype(np.intp)
+                        sums[h, i][0, f] += np.bincount(where, g, bins)
+                        sums[h, i][1, f] += np.bincount(where, k, bins)
+                        sums[h, i][2, f] += np.bincount(where, minlength=bins)
         heads, nodes = zip(*sums, strict=True) if sums else ((), ())
         columns = [pa.array(heads, pa.int32()), pa.array(nodes, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["head", "node", "payload"])
@@ -242,8 +277,7 @@ def _fit_together(df: DataFrame, width: int, labels: Mapping[str, tuple[Column,
         rate = min(max(positive / total, 1e-6), 1 - 1e-6)
         heads.append(_Head(options[name], BoostedHead(float(np.log(rate / (1 - rate))), options[name].learning_rate)))
     rates = [h.options.learning_rate for h in heads]
-    start = F.array(*[F.lit(h.model.base_logit) for h in heads])
-    state = rows.withColumn("logits", start)
+    state = materialize(_packed_rows(rows, width, bins, [h.model.base_logit for h in heads]))
     recent: list[list[list[Node]]] = [[] for _ in heads]
     every = min(h.options.checkpoint_every for h in heads)
 
@@ -255,21 +289,17 @@ def _fit_together(df: DataFrame, width: int, labels: Mapping[str, tuple[Column,
             heads[i].model.trees.append(tree)
             recent[i].append(tree)
         if (number + 1) % every == 0 and number + 1 < heads[0].options.trees:
-            state = materialize(state.mapInArrow(_renewed(width, recent, rates), state.schema))
+            state = materialize(state.mapInArrow(_renewed(width, bins, recent, rates), _BLOCK))
             recent = [[] for _ in heads]
     return {name: h.model for name, h in zip(names, heads, strict=True)}
 
 
-def _renewed(width: int, recent: list[list[list[Node]]], rates: list[float]):
+def _renewed(width: int, bins: int, recent: list[list[list[Node]]], rates: list[float]):
     """A task function that adds the recent trees to the logits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            logits = np.array(_matrix(batch.column(3), len(rates)))
-            _advance(logits, _matrix(batch.column(0), width), recent, rates)
-            offsets = pa.array(np.arange(len(logits) + 1) * len(rates), pa.int32())
-            column = pa.ListArray.from_arrays(offsets, pa.array(logits.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], column], names=batch.schema.names)
+        for matrix, y, w, logits in _blocks(batches, width, bins, len(rates)):
+            yield _block([matrix, y, w, _advanced(logits, matrix, recent, rates)], ["bins", "y", "w", "logits"])
 
     return run
 
@@ -286,32 +316,11 @@ def fit_boosting(
     return _fit_together(df, width, {"only": (F.col(label), w)}, {"only": options})["only"]
 
 
-def _packed(head: BoostedHead) -> dict[str, np.ndarray]:
-    size = max((len(t) for t in head.trees), default=1)
-    kinds = {"feature": np.int32, "split_bin": np.int32, "left": np.int32, "right": np.int32, "value": float}
-    packed = {n: np.zeros((len(head.trees), size), dtype=k) for n, k in kinds.items()}
-    packed["feature"] -= 1
-    for i, tree in enumerate(head.trees):
-        for j, node in enumerate(tree):
-            for name in kinds:
-                packed[name][i, j] = getattr(node, name)
-    return packed
-
-
-def _probabilities(head: BoostedHead, trees: dict[str, np.ndarray], matrix: np.ndarray) -> np.ndarray:
-    rows = np.arange(len(matrix))
-    logit = np.full(len(matrix), head.base_logit)
-    for t in range(len(trees["feature"])):
-        at = np.zeros(len(matrix), dtype=np.int32)
-        while True:
-            feature = trees["feature"][t, at]
-            inner = feature >= 0
-            if not inner.any():
-                break
-            goes_left = matrix[rows, np.maximum(feature, 0)] <= trees["split_bin"][t, at]
-            below = np.where(goes_left, trees["left"][t, at], trees["right"][t, at])
-            at = np.where(inner, below, at)
-        logit += head.learning_rate * trees["value"][t, at]
+def _probabilities(head: BoostedHead, matrix: np.ndarray) -> np.ndarray:
+    """Probabilities of rows by their bins; ``matrix`` has a line per feature."""
+    logit = np.full(matrix.shape[1], head.base_logit)
+    for tree in head.trees:
+        logit += head.learning_rate * np.array([n.value for n in tree])[_places(tree, matrix)]
     return 1.0 / (1.0 + np.exp(-np.clip(logit, -35.0, 35.0)))
 
 
@@ -324,7 +333,6 @@ def tree_probabilities(
     are shared by all heads.
     """
     heads = dict(heads)
-    packed = {name: _packed(head) for name, head in heads.items()}
     edges = [np.asarray(c, dtype=float) for c in cuts]
 
     @F.pandas_udf(", ".join(f"`{name}` double" for name in heads))
@@ -332,10 +340,8 @@ def tree_probabilities(
         if not len(batch):
             return pd.DataFrame({name: np.empty(0) for name in heads})
         values = np.stack(batch.to_numpy())
-        bins = np.column_stack(
-            [np.searchsorted(e, values[:, i], side="right") for i, e in enumerate(edges)]
-        )
-        return pd.DataFrame({n: _probabilities(h, packed[n], bins) for n, h in heads.items()})
+        bins = np.stack([np.searchsorted(e, values[:, i], side="right") for i, e in enumerate(edges)])
+        return pd.DataFrame({n: _probabilities(h, bins) for n, h in heads.items()})
 
     return score(features)
 
