@@ -31,9 +31,10 @@ one representative, the same one in all buckets that hold it. Those that link jo
 the representative's component, and a bucket whose members are all in one component is
 done. Members still in different components of a bucket are then all compared with each
 other. So no link that could join two components is left out, and a group of n near
-copies costs about n pairs. ``jaccard_links`` gives all links instead: every pair of
-different sets of a bucket is compared, and its table is as large as the job, up to
-n * (n - 1) / 2 links for a group of n near copies.
+copies costs about n pairs. Links are then counted inside the components, all pairs of
+each, in cells of two blocks of sets that give counts and never rows of pairs.
+``jaccard_links`` gives the links themselves: every pair of different sets of a bucket is
+compared, and its table is as large as the job, up to n * (n - 1) / 2 links for n near copies.
 
 A pair is compared once whatever number of buckets it shares, unless the sizes or parity
 sketches rule a link out (two sets differ in at least as many tokens as their sketches
@@ -70,6 +71,8 @@ LARGE_SEGMENT = 8
 # Members of a bucket on a side of a cell of its pairs, and pairs of a cell of those left.
 CELL_ROWS = 1000
 CELL_PAIRS = 20_000
+# Shingles of a side of a cell in which the links inside components are counted.
+CELL_TOKENS = 1 << 20
 # Rounds that compare buckets with a representative before all open pairs are compared.
 REPRESENTATIVE_ROUNDS = 2
 # Packed keys of a part of the hash range, about; the parts' number follows from the sets' sizes.
@@ -531,6 +534,80 @@ def joining_links(source: DataFrame, rows: DataFrame, rules: Rules, filter_bits:
     return roots
 
 
+def links_within(values: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, rules: Rules) -> np.ndarray:
+    """Links of every set with others, by exact intersections; ``left`` and ``right`` are the same places or have none in common.
+
+    Set i has the distinct tokens ``values[bounds[i] : bounds[i + 1]]``, small numbers, and at least one.
+    """
+    n, d = rules.numerator, rules.denominator
+    size = np.diff(bounds)
+    found = np.zeros(len(size), np.int64)
+    same = np.array_equal(left, right)
+    right = right[np.argsort(size[right], kind="stable")]
+    left = right if same else left
+    sizes = size[right]
+    tokens = np.concatenate([values[bounds[b] : bounds[b + 1]] for b in right.tolist()])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    # Partners of a set lie in a range of sizes, and tokens are in order of sizes.
+    low = np.arange(1, len(left) + 1) if same else np.searchsorted(sizes * d, size[left] * n, "left")
+    high = np.searchsorted(sizes * n, size[left] * d, "right")
+    seen = np.zeros(int(values.max(initial=0)) + 1, np.uint8)
+    for a, i, j in zip(left.tolist(), low.tolist(), high.tolist(), strict=True):
+        if i >= j:
+            continue
+        own = values[bounds[a] : bounds[a + 1]]
+        seen[own] = 1
+        common = np.add.reduceat(seen[tokens[starts[i] : starts[j]]], starts[i:j] - starts[i], dtype=np.int64)
+        seen[own] = 0
+        links = common * d >= (size[a] + sizes[i:j] - common) * n
+        found[a] += np.count_nonzero(links)
+        found[right[i:j][links]] += 1
+    return found
+
+
+def link_counts(source: DataFrame, rows: DataFrame, roots: DataFrame, rules: Rules, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(set, n_links): the number of other sets that link with each set of ``roots`` (node, root), all counted.
+
+    A link never leaves a component, so all pairs of a component are compared, once each: its sets are
+    dealt to blocks, a cell holds two blocks, and only counts leave it. No pair becomes a row, and what a
+    task holds is bounded by rows and shingles of a cell, however many near copies there are.
+    """
+    sizes = rows.filter("set is not null").groupBy("set").agg(F.first("n_shingles").alias("size"))
+    members = materialize(roots.join(sizes, roots["node"] == sizes["set"]).select("root", "set", "size"))
+    side = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_ROWS), F.ceil(F.sum("size") / CELL_TOKENS)).cast("int")
+    sides = members.groupBy("root").agg(side.alias("side"))
+    blocks = members.join(sides, "root").withColumn("block", F.pmod(F.xxhash64("set", F.lit(11)), "side").cast("int"))
+    placed = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    placed = placed.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "size")
+    moved = placed.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-moved // CELL_TOKENS))
+    active = bit_filter(members, "set", filter_bits)
+    cells = placed.drop("size").withColumn("cell", F.pmod(F.xxhash64("root", "i", "j"), F.lit(parts)))
+    cells = cells.join(shingle_arrays(source, rules, active), "set")
+
+    def run(table: pa.Table) -> pa.Table:
+        root, i, j, block = (table.column(c).to_numpy() for c in ("root", "i", "j", "block"))
+        column = table.column("shingles").combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(column.chunks)
+        values = np.unique(column.flatten().to_numpy(), return_inverse=True)[1]
+        bounds = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(), dtype=np.int64)))
+        order = np.lexsort((j, i, root))
+        changes = np.flatnonzero((np.diff(root[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+        found, number = np.zeros(len(root), np.int64), np.zeros(len(root), np.int64)
+        for at in np.split(order, changes):
+            sides = [at[block[at] == side[at[0]]] for side in (i, j)]
+            if all(map(len, sides)):
+                mine = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in at.tolist()])
+                inside = np.concatenate(([0], np.cumsum(np.diff(bounds)[at])))
+                number[at] = np.arange(len(at))
+                found[at] += links_within(values[mine], inside, *[number[x] for x in sides], rules)
+        return pa.table([table.column("set"), pa.array(found)], names=["set", "n"])
+
+    counted = cells.groupBy("cell").applyInArrow(run, "set long, n long")
+    return counted.groupBy("set").agg(F.sum("n").alias("n_links"))
+
+
 def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[doc_id].alias("id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_key"))
 
@@ -542,25 +619,24 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return link_sets(source.drop("text_key"), materialize(set_table(source, rules)), rules)
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, numerator: int = 9, denominator: int = 10, count_links: bool = False) -> DataFrame:
-    """One row per row of ``docs``: (id, text_key, n_shingles, set, group, component_id).
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, numerator: int = 9, denominator: int = 10, count_links: bool = True) -> DataFrame:
+    """One row per row of ``docs``: (id, text_key, n_shingles, set, group, component_id, n_links).
 
     ``text_key`` is the 64-bit hash of the text, ``set`` names the class of equal
     sets and ``group`` the component (both null for an empty set);
-    ``component_id`` is the smallest id reachable by links. ``count_links`` adds ``n_links``,
-    the number of other sets that link with the row's set (copies of a text are one
-    set); it makes all links, as ``jaccard_links`` does.
+    ``component_id`` is the smallest id reachable by links and ``n_links`` the number of
+    other sets that link with the row's set (copies of a text are one set), from all pairs
+    of sets of a component. Without ``count_links`` only components are made, which need no
+    link between sets that are already joined; ``jaccard_links`` gives the links themselves.
     """
     rules = Rules(shingle, numerator, denominator)
     source = _source(docs, doc_id, text)
     rows = materialize(set_table(source, rules))
+    roots = joining_links(source.drop("text_key"), rows, rules)
+    joined_sets = roots.withColumnRenamed("node", "set")
     if count_links:
-        links = link_sets(source.drop("text_key"), rows, rules).select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
-        roots = components(links, random_names=True).withColumnRenamed("node", "set")
-        roots = _keys_of(links).groupBy("set").agg(F.count(F.lit(1)).alias("n_links")).join(roots, "set")
-    else:
-        roots = joining_links(source.drop("text_key"), rows, rules).withColumnRenamed("node", "set")
-    placed = rows.drop("asks", "wide", *_SKETCH_COLUMNS).join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+        joined_sets = joined_sets.join(link_counts(source.drop("text_key"), rows, roots, rules), "set", "left")
+    placed = rows.drop("asks", "wide", *_SKETCH_COLUMNS).join(joined_sets, "set", "left").withColumn("root", F.coalesce("root", "set"))
     smallest = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("component"))
     joined = placed.join(smallest, "root", "left")
     component = F.coalesce(F.when(F.col("root").isNotNull(), F.col("component")), "id").alias("component_id")

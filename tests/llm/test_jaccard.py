@@ -169,3 +169,19 @@ def test_text_ids(spark):
     rows = [("b", "one two three four"), ("a", "One two three four"), ("c", "five six seven"), (None, None)]
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert {(r.id, r.component_id) for r in got} == {("b", "a"), ("a", "a"), ("c", "c"), (None, None)}
+
+
+def test_components_come_with_all_links(spark, monkeypatch):
+    """Links between sets that are already in one component count as well, over blocks of a few sets."""
+    monkeypatch.setattr(jaccard, "CELL_ROWS", 5)
+    monkeypatch.setattr(jaccard, "CELL_TOKENS", 700)
+    rng = random.Random(4)
+    base = [f"n{i}" for i in range(100)]
+    rows = [(i, " ".join(edited(rng, base, rng.randrange(0, 4)))) for i in range(40)]
+    rows += [(100 + i, " ".join(f"s{j}" for j in range(i * 2, i * 2 + 90))) for i in range(12)]
+    rows += [(200, rows[3][1].upper()), (201, None), (202, "alone here")]
+    sets = {i: shingles(t, 3) for i, t in rows}
+    distinct = {s for s in sets.values() if s}
+    want = {i: sum(t != s and len(s & t) * 10 >= len(s | t) * 9 for t in distinct) if s else 0 for i, s in sets.items()}
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: r.n_links for r in got} == want and max(want.values()) > 5
