@@ -182,3 +182,19 @@ def test_boosting_state_is_packed_blocks(spark):
         (block,) = bst._packed_rows(frame_of, 2, bins, [0.25]).collect()
         assert [len(block[c]) for c in ("bins", "y", "w", "logits")] == [2 * n * size, 8 * n, 8 * n, 8 * n]
         assert np.frombuffer(bytes(block["logits"])).tolist() == [0.25] * n
+
+
+def test_preprocessor_table_does_not_gather_a_column_in_one_task(spark):
+    """The medians go to the values: joined by column, all values of a column would meet in one task."""
+    from pinlattice.operators.preprocess import preprocessor_table
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = preprocessor_table(spark.createDataFrame([(1.0, 5.0), (None, 7.0), (4.0, 9.0)], "x double, y double"), ["x", "y"])
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [column" not in plan and "BroadcastHashJoin [column" in plan
+        got = {r["column"]: (r["median"], round(r["mean"], 4), round(r["scale"], 4)) for r in table.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {"x": (2.5, 2.5, 1.2247), "y": (7.0, 7.0, 1.633)}
