@@ -104,7 +104,10 @@ def _packed_rows(rows: DataFrame, width: int, bins: int, base: list[float]) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                matrix = _matrix(batch.column(0), width).astype(kind).T
+                matrix = _matrix(batch.column(0), width)
+                if matrix.size and matrix.dtype.kind == "f":
+                    raise ValueError("a bin is null")
+                matrix = matrix.astype(kind).T
                 y, w = (_matrix(batch.column(i), len(base)).T for i in (1, 2))
                 yield _block([matrix, y, w, np.repeat(base, batch.num_rows)], ["bins", "y", "w", "logits"])
 
@@ -122,12 +125,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, bins: int, heads: int
 
 def _places(nodes: list[Node], matrix: np.ndarray) -> np.ndarray:
     """The node every row ends in; ``matrix`` has a line per feature."""
-    at = np.zeros(matrix.shape[1], np.int16)
+    kind = np.int16 if len(nodes) < 1 << 15 else np.int32
+    at = np.zeros(matrix.shape[1], kind)
     for i, node in enumerate(nodes):  # children come after their parents
         if node.feature >= 0:
             left = matrix[node.feature] <= node.split_bin
             if i == 0:
-                at = np.where(left, np.int16(node.left), np.int16(node.right))
+                at = np.where(left, kind(node.left), kind(node.right))
             else:
                 here = at == i
                 at[here & left] = node.left

@@ -198,3 +198,12 @@ def test_preprocessor_table_does_not_gather_a_column_in_one_task(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert got == {"x": (2.5, 2.5, 1.2247), "y": (7.0, 7.0, 1.633)}
+
+
+def test_boosting_refuses_null_bins(spark):
+    from pinlattice.operators import boosting as bst
+
+    rows = [([0, None], 0), ([1, 1], 1)] * 5
+    frame = spark.createDataFrame(rows, "bins array<int>, label int")
+    with pytest.raises(Exception, match="a bin is null"):
+        bst.fit_boosting(frame, 2, bst.BoostingOptions(trees=1, minimum_leaf=1))
