@@ -422,12 +422,18 @@ def evidence_rules() -> dict[str, Column]:
 
 def evidence_audit(matrix: DataFrame, results: DataFrame) -> DataFrame:
     """Rule violations of every result row; ``matrix`` needs experiment_id."""
-    checked = with_spec_id(results)
+    rules = evidence_rules()
+    absent = rules.pop("spec_absent_from_matrix")
+    # Rules of a row alone come first, so the join moves ids and rule names instead of whole rows.
+    checked = with_spec_id(results).select("calculated_id", "experiment_id", broken_rules(rules).alias("__own"))
     known = matrix.select(
         F.col("experiment_id").alias("calculated_id"), F.lit(True).alias("in_matrix")
     ).distinct()
-    return explode_rules(
-        checked.join(known, "calculated_id", "left"), F.col("experiment_id"), evidence_rules()
+    broken = F.concat(broken_rules({"spec_absent_from_matrix": absent}), F.col("__own"))
+    return checked.join(known, "calculated_id", "left").select(
+        F.explode(broken).alias("rule"),
+        F.col("experiment_id").cast("string").alias("key"),
+        F.lit("").alias("detail"),
     )
 
 

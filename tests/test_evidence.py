@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from pinlattice.operators import observations as obs
+from pinlattice.operators.violations import explode_rules
 from pinlattice.plans import features as ft
 from pinlattice.queries.aggregates import evidence_rows
 
@@ -90,3 +91,15 @@ def test_first_wins_moves_only_what_is_read(spark):
     text_of_plan = plan(kept.select("k", "v"), "executedPlan").toString()
     assert "Exchange" in text_of_plan and "wide" not in text_of_plan.split("Exchange")[0]
     assert "WindowGroupLimit" in text_of_plan
+
+
+def test_audit_joins_rule_names_not_rows(spark):
+    results = log(spark, LINES)
+    matrix = results.filter("spec.package_a.name = 'pkg-10'").select("experiment_id")
+    broken = obs.evidence_audit(matrix, results)
+    assert rows(broken.filter("rule = 'spec_absent_from_matrix'").groupBy("key").count(), "count") == [(1,), (2,)]
+    known = matrix.select(F.col("experiment_id").alias("calculated_id"), F.lit(True).alias("in_matrix")).distinct()
+    whole = obs.with_spec_id(results).join(known, "calculated_id", "left")
+    assert rows(broken) == rows(explode_rules(whole, F.col("experiment_id"), obs.evidence_rules()))
+    (join,) = joins(plan(broken))
+    assert join.children().apply(0).output().size() <= 3
