@@ -103,3 +103,26 @@ def test_audit_joins_rule_names_not_rows(spark):
     assert rows(broken) == rows(explode_rules(whole, F.col("experiment_id"), obs.evidence_rules()))
     (join,) = joins(plan(broken))
     assert join.children().apply(0).output().size() <= 3
+
+
+def sort_keys(df):
+    return [line for line in plan(df, "executedPlan").toString().splitlines() if "Sort [" in line]
+
+
+def test_join_keys_are_columns_not_expressions(spark):
+    """A canonical name as a sort key was worked out at every comparison."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        results = full(log(spark, LINES[:3]))
+        s = F.col("spec")
+        experiments = results.select(
+            "experiment_id", F.lit("f").alias("family"), F.lit(1).alias("matrix_order"), "spec.python_version",
+            s["package_a"]["name"].alias("package_a"), s["package_a"]["version"].alias("version_a"),
+            s["package_b"]["name"].alias("package_b"), s["package_b"]["version"].alias("version_b"),
+        ).withColumn("package_a", F.replace("package_a", F.lit("-"), F.lit("_.")))
+        frame = ft.large_features(experiments, catalog(results))
+        assert len(sort_keys(frame)) >= 6
+        assert not [line for line in sort_keys(frame) if "regexp_replace" in line]
+        assert rows(frame, "package_a_name", "package_a_selected_version_rank") == [("pkg_.10", 0)] * 2 + [("pkg_.11", 0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
