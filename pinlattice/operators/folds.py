@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinlattice.operators.ordered import attach, ordered, with_scalars
+from pinlattice.session import materialize
 
 
 def family_folds(df: DataFrame, k: int, family: str = "family") -> DataFrame:
@@ -21,6 +22,7 @@ def family_folds(df: DataFrame, k: int, family: str = "family") -> DataFrame:
 
 _SLOTS = 4096  # places of one fold written out by one row
 _ONE_BY_ONE = 512  # families of one size placed by plain comparison
+_FEW_FAMILIES = 50_000  # a map of no more families is broadcast
 
 
 def _score(load: tuple, size: tuple, goals: tuple, j: int) -> float:
@@ -151,7 +153,10 @@ _TAKEN_TYPES = ["double", "double", "int", "double", "double", "bigint", "bigint
 
 
 def balanced_folds(df: DataFrame, k: int, family: str = "family", actual: str = "actual") -> DataFrame:
-    return attach(df, balanced_fold_map(df, k, family, actual), [family])
+    """Rows with their fold. A map of few families goes to the rows, which are read many times and then never moved for it."""
+    folds = materialize(balanced_fold_map(df, k, family, actual))
+    few = folds.limit(_FEW_FAMILIES + 1).count() <= _FEW_FAMILIES
+    return attach(df, F.broadcast(folds) if few else folds, [family])
 
 
 def fold_summary(folded: DataFrame, family: str = "family", actual: str = "actual") -> DataFrame:

@@ -6,6 +6,8 @@ missing one, flags of missing numbers, one-hot levels of all rows, and 1. What a
 preprocessing does (fill with its medians, standardize with its moments) is a linear map of z, so
 a task forms the gradients and Hessians of all folds from z with matrix products, and each fold's
 sums are carried over to its standardized space where its step is solved, in a group of its own.
+The rows are packed once: a block of some thousand rows holds its folds, labels, numbers and levels as
+byte strings that numpy reads as they are, so no value is converted between Spark and numpy in a step.
 
 Medians over "all rows but one fold" come from one ordering of the distinct values and one of each
 fold's own values: the number of jobs does not depend on the number of folds.
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinlattice.constants import WEIGHTED_LOGISTIC_L2
-from pinlattice.functions.vectors import dot, sigmoid
+from pinlattice.functions.vectors import sigmoid
 from pinlattice.operators.ordered import attach, ordered
 from pinlattice.operators.preprocess import _category, _numeric, long_numeric
 from pinlattice.session import materialize, spread
@@ -96,27 +98,29 @@ class Design:
             out.append(F.try_element_at(known, _category(c)).cast("int").alias(f"c{i}"))
         return out
 
-    def matrix(self, batch: pa.RecordBatch, first: int) -> np.ndarray:
+    def matrix(self, numbers: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """z of the rows of a block, a line per component; ``numbers`` (NaN: missing) and ``levels`` (-1: unknown) have a line per column."""
         p = len(self.numeric)
-        z = np.zeros((batch.num_rows, self.width))
-        for i in range(p):
-            x = batch.column(first + i).to_numpy(zero_copy_only=False).astype(float)
-            missing = np.isnan(x)
-            z[:, i] = np.where(missing, 0.0, x)
-            z[:, p + i] = missing
-        for i in range(len(self.categorical)):
-            level = batch.column(first + p + i).fill_null(-1).to_numpy(zero_copy_only=False)
+        z = np.zeros((self.width, levels.shape[1]))
+        missing = np.isnan(numbers)
+        z[:p] = np.where(missing, 0.0, numbers)
+        z[p : 2 * p] = missing
+        for level in levels:
             rows = np.flatnonzero(level >= 0)
-            z[rows, 2 * p + level[rows]] = 1.0
-        z[:, -1] = 1.0
+            z[2 * p + level[rows], rows] = 1.0
+        z[-1] = 1.0
         return z
 
-    def vector(self, df: DataFrame) -> Column:
-        """The same vector as a column."""
-        numbers = [_numeric(df, c) for c in self.numeric]
-        parts = [F.coalesce(x, F.lit(0.0)) for x in numbers] + [x.isNull().cast("double") for x in numbers]
-        parts += [(_category(c) == level).cast("double") for c, level in self.levels]
-        return F.array(*parts, F.lit(1.0))
+    def product(self, df: DataFrame, weights: Column) -> Column:
+        """The product of the same vector with ``weights``, an array of its width; only what is not 0 is added."""
+        p = len(self.numeric)
+        total = F.lit(0.0)
+        for i, c in enumerate(self.numeric):
+            x = _numeric(df, c)
+            total = total + F.when(x.isNull(), F.get(weights, F.lit(p + i))).otherwise(x * F.get(weights, F.lit(i)))
+        for level in self.columns(df)[p:]:
+            total = total + F.when(level.isNotNull(), F.get(weights, level + 2 * p)).otherwise(0.0)
+        return total + F.get(weights, F.lit(self.width - 1))
 
     def transform_of(self, medians: np.ndarray, means: np.ndarray, scales: np.ndarray) -> np.ndarray:
         """T with features = z T: standardized filled numbers, levels, intercept."""
@@ -183,11 +187,43 @@ class HeldOutModels:
         kind = df.select(fold).dtypes[0][1]
         table = df.sparkSession.createDataFrame([(f, list(w)) for f, w in self.weights.items()], f"fold {kind}, weights array<double>")
         table = table.withColumnsRenamed({"fold": "__fold", "weights": "__weights"})
-        scored = df.join(table, df[fold] == table["__fold"], "left")
-        p = sigmoid(dot(self.design.vector(df), F.col("__weights")))
+        # The driver holds these rows anyway; without the hint all rows of a fold would meet in one task.
+        scored = df.join(F.broadcast(table), df[fold] == table["__fold"], "left")
+        p = sigmoid(self.design.product(df, F.col("__weights")))
         return scored.withColumn(output, F.when(F.col("__weights").isNotNull(), p)).drop("__fold", "__weights")
 
 
+_BLOCK = "folds binary, y binary, numbers binary, levels binary"
+
+
+def _packed(df: DataFrame, folds: dict, fold: str, label: str, design: Design) -> DataFrame:
+    """Blocks of the rows with a fold: a block is one batch, its numbers and levels have columns in front."""
+    names, p = _BLOCK.replace(" binary", "").split(", "), len(design.numeric)
+    place = F.create_map(*[x for f, i in folds.items() for x in (F.lit(f), F.lit(i))])
+    rows = df.filter(F.col(fold).isNotNull()).select(F.try_element_at(place, F.col(fold)).alias("f"), F.col(label).cast("double").alias("y"), *design.columns(df))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, y, *rest = (batch.column(i) for i in range(batch.num_columns))
+                numbers = [c.to_numpy(zero_copy_only=False).astype(float) for c in rest[:p]]
+                levels = [c.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32) for c in rest[p:]]
+                parts = [own.to_numpy().astype(np.int32), y.to_numpy().astype(float), np.array(numbers), np.array(levels, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=names)
+
+    return spread(rows.mapInArrow(run, _BLOCK))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], design: Design) -> Iterator[tuple[np.ndarray, ...]]:
+    """(folds, labels, z) of every block."""
+    for batch in batches:
+        for own, y, numbers, levels in zip(*[batch.column(i) for i in range(4)], strict=True):
+            own = np.frombuffer(own.as_buffer(), np.int32)
+            numbers = np.frombuffer(numbers.as_buffer()).reshape(len(design.numeric), len(own))
+            levels = np.frombuffer(levels.as_buffer(), np.int32).reshape(len(design.categorical), len(own))
+            yield own, np.frombuffer(y.as_buffer()), design.matrix(numbers, levels)
+
+
 def _step(payloads: Sequence[bytes], beta: np.ndarray, t: np.ndarray, l2: float) -> tuple[np.ndarray, float, float]:
     """(Newton step, loss, largest gradient) of one fold from the sums over z of all tasks."""
     sums = np.sum([np.frombuffer(x) for x in payloads], axis=0)
@@ -234,10 +270,7 @@ def fit_held_out(
     neg = np.array([n[f] / (2.0 * (n[f] - p[f])) if weighted else 1.0 for f in names])
     index = {f: i for i, f in enumerate(names)}
     width, folds = design.width, len(names)
-    place = F.create_map(*[x for f, i in index.items() for x in (F.lit(f), F.lit(i))])
-    source = spread(
-        df.filter(F.col(fold).isNotNull()).select(F.try_element_at(place, F.col(fold)).alias("f"), F.col(label).cast("double").alias("y"), *design.columns(df))
-    )
+    source = _packed(df, index, fold, label, design)
     betas = [np.zeros(t.shape[1]) for t in maps]
 
     def totals(weights: np.ndarray, active: np.ndarray) -> DataFrame:
@@ -245,19 +278,17 @@ def fit_held_out(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((folds, 1 + width + width * width))
-            for batch in batches:
-                z = design.matrix(batch, 2)
-                own, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                eta = z @ weights.T
+            for own, y, z in _blocks(batches, design):
+                eta = weights @ z
                 q = 1.0 / (1.0 + np.exp(-eta))
-                w = np.where(y[:, None] > 0, pos, neg)
-                w[np.arange(len(own)), own] = 0.0
+                w = np.where(y > 0, pos[:, None], neg[:, None])
+                w[own, np.arange(len(own))] = 0.0
                 # log(1 + exp(eta)) - y eta, without overflow.
-                sums[:, 0] += (w * (np.logaddexp(0.0, eta) - y[:, None] * eta)).sum(0)
-                sums[:, 1 : 1 + width] += (w * (q - y[:, None])).T @ z
+                sums[:, 0] += (w * (np.maximum(eta, 0.0) + np.log1p(np.exp(-np.abs(eta))) - y * eta)).sum(1)
+                sums[:, 1 : 1 + width] += (w * (q - y)) @ z.T
                 curve = w * q * (1.0 - q)
                 for i in np.flatnonzero(active):
-                    sums[i, 1 + width :] += ((curve[:, i : i + 1] * z).T @ z).reshape(-1)
+                    sums[i, 1 + width :] += ((curve[i] * z) @ z.T).reshape(-1)
             at = np.flatnonzero(active)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([sums[i].tobytes() for i in at], pa.binary())], names=["i", "payload"])
 

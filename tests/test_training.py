@@ -64,6 +64,37 @@ def test_rows_of_jobs_do_not_grow_with_folds(spark):
     assert many - few <= 4 * max(many_rounds - few_rounds, 0) + 6
 
 
+def test_rows_stay_where_they_are_when_folds_are_joined_and_scored(spark, capsys):
+    from pinlattice.operators.folds import balanced_folds
+
+    frame, _ = training_rows(spark, 400, 6)
+    folded = balanced_folds(frame.withColumnRenamed("fold", "family"), 3)
+    # Without statistics of their own the small tables are found by what the code says of them.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored, _ = md.held_out_scores(folded, NUMERIC, CATEGORICAL)
+        scored.select("probability").explain()
+        plan = capsys.readouterr().out
+        values = scored.select("fold", "probability").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
+    assert len(values) == 400 and {r.fold for r in values} == {1, 2, 3} and all(0 < r.probability < 1 for r in values)
+
+
+def test_product_is_that_of_the_whole_vector(spark):
+    from pinlattice.operators.held_out import _blocks, _packed
+
+    frame, _ = training_rows(spark, 60, 3)
+    design = fit_design(frame, NUMERIC, CATEGORICAL)
+    weights = np.arange(1.0, design.width + 1)
+    got = [r[0] for r in frame.select(design.product(frame, F.array(*map(F.lit, weights.tolist())))).collect()]
+    packed = _packed(frame.coalesce(1), {"f0": 0, "f1": 1, "f2": 2}, "fold", "actual", design).toArrow()
+    z = np.concatenate([z.T for _, _, z in _blocks(packed.to_batches(), design)])
+    assert z.shape == (60, design.width)
+    assert sorted(got) == pytest.approx(sorted((z @ weights).tolist()))
+
+
 def test_folds_that_miss_a_class_and_rows_without_one(spark):
     frame, _ = training_rows(spark, 100, 2)
     one_sided = frame.withColumn("actual", (F.col("fold") == "f0").cast("int"))
