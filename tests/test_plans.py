@@ -286,6 +286,34 @@ def test_best_candidates_equal_the_ranked_product(spark, packages):
         assert rows(best, *columns) == rows(whole, *columns) and best.count() == 2 * limit
 
 
+@pytest.mark.parametrize("beam", [2, 50])
+def test_candidates_of_one_related_package(spark, beam):
+    related = spark.createDataFrame([(1, "3.11", "t", "p", "1.0")], "request_id int, python_version string, target string, related string, current_version string")
+    options = spark.createDataFrame(
+        [("3.11", "t", "p", "1.0", "9.0", 1, "1.0", False, 0.7), ("3.11", "t", "p", "1.0", "9.0", 2, "3.0", True, 0.5), ("3.11", "t", "p", "1.0", "9.0", 3, "2.0", True, None)],
+        "python_version string, target string, related string, current_version string, target_version string, option int, related_version string, changed boolean, risk double",
+    )
+    got = adv.expand_candidates(related, options, beam)
+    expected = sorted([(0, 0.7, ["1.0"]), (1, 0.0, ["2.0"]), (1, 0.5, ["3.0"])])[:beam]
+    assert sorted(map(tuple, got.select("related_changes", "risk", "versions").collect())) == expected
+
+
+def test_options_are_made_once_for_the_ranking(spark, capsys):
+    related = spark.createDataFrame([(q, "3.11", "t", n, "1.0") for q in (1, 2) for n in "ab"], "request_id int, python_version string, target string, related string, current_version string")
+    data = [("3.11", "t", n, "1.0", v, 1, "1.0", False, 0.5) for v in ("1.0", "2.0") for n in "ab"]
+    shape = "python_version string, target string, related string, current_version string, target_version string, option int, related_version string, changed boolean, risk double"
+    options = spark.createDataFrame(data, shape).mapInArrow(lambda batches: batches, shape)
+    requests = spark.createDataFrame([(1, "3.11", "t", "2.0"), (2, "3.11", "t", "1.0")], "request_id int, python_version string, target_package string, requested_version string")
+    env = spark.createDataFrame([(q, "3.11", "t", "1.0") for q in (1, 2)], "env_id int, python_version string, package string, version string")
+    best = adv.best_candidates(related, options, requests, env).select("request_id", "position", "target_version", "category")
+    best.explain()
+    assert "MapInArrow" not in capsys.readouterr().out
+    assert sorted(map(tuple, best.collect())) == [
+        (1, 1, "2.0", adv.CATEGORIES[0]), (1, 2, "1.0", adv.CATEGORIES[1]),
+        (2, 1, "1.0", adv.CATEGORIES[0]), (2, 2, "2.0", adv.CATEGORIES[2]),
+    ]
+
+
 def test_tree_digest_against_a_plain_tree(spark):
     import hashlib
 
