@@ -58,27 +58,44 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def _count_words(piece: Piece, words: Words, counts: dict[bytes, int]) -> None:
+    _, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
+    for word, times in zip(words.bytes_of(first), n.tolist(), strict=True):
+        counts[word] = counts.get(word, 0) + times
+
+
 def distinct_words(texts: pa.Array | pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
     """Distinct lower-cased words of some texts and how often each occurs."""
     counts: dict[bytes, int] = {}
     for _, _, piece in pieces(texts):
-        words = Words(piece, NOT_SPACE, True)
-        _, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
-        for word, times in zip(words.bytes_of(first), n.tolist(), strict=True):
-            counts[word] = counts.get(word, 0) + times
+        _count_words(piece, Words(piece, NOT_SPACE, True), counts)
     return [w.decode() for w in counts], np.fromiter(counts.values(), np.int64, len(counts))
 
 
-def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(word, n) over all rows, summed inside the tasks first."""
+def training_counts(training: DataFrame, text: str, order: int, across: bool) -> DataFrame:
+    """(word, pair, n): every word of the training texts (``pair`` null) and every pair of the order up to ``SHARED``
+    (``word`` null) with its count, summed inside the tasks first."""
+    low = min(order, SHARED)
 
     def run(batches):
         for batch in batches:
-            words, n = distinct_words(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n)], names=["word", "n"])
-
-    counted = docs.select(docs[text].alias("text")).mapInArrow(run, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+            words: dict[bytes, int] = {}
+            pairs, times = [_NONE], [_NO_COUNTS]
+            for _, _, piece in pieces(batch.column(0)):
+                found = Words(piece, NOT_SPACE, True)
+                _count_words(piece, found, words)
+                keys = coded_keys(piece, found, across)[0].astype(np.uint32) & np.uint32((1 << (8 * (low + 1))) - 1)
+                keys, n = np.unique(keys, return_counts=True)
+                pairs.append(keys.astype(np.uint64) | np.uint64((low + 1) << 56))
+                times.append(n)
+            pair, n = _sum_equal(np.concatenate(pairs), np.concatenate(times))
+            columns = [pa.array([w.decode() for w in words] + [None] * len(pair), pa.string())]
+            columns.append(pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(pair.view(np.int64))]))
+            columns.append(pa.array(np.concatenate([np.fromiter(words.values(), np.int64, len(words)), n])))
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "pair", "n"])
+
+    counted = training.select(training[text].alias("text")).mapInArrow(run, "word string, pair long, n long")
+    return counted.groupBy("word", "pair").agg(F.sum("n").alias("n"))
 
 
 def _contexts(words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,10 +148,42 @@ def coded_keys(piece: Piece, words: Words, across: bool) -> tuple[np.ndarray, np
     return keys[coded], np.repeat(np.arange(piece.n), per_text)
 
 
-def _text_keys(texts: pa.Array | pa.ChunkedArray, across: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of texts, keys, their texts) of runs of texts."""
+def _text_keys(texts: pa.Array | pa.ChunkedArray, across: bool) -> Iterator[np.ndarray]:
+    """The keys of runs of texts."""
     for _, _, piece in pieces(texts):
-        yield piece.n, *coded_keys(piece, Words(piece, NOT_SPACE, True), across)
+        yield coded_keys(piece, Words(piece, NOT_SPACE, True), across)[0]
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys, sorted; a plain sort is much faster than the hash table of ``np.unique``."""
+    keys = np.sort(keys)
+    return keys[group_runs(keys)]
+
+
+class _Index:
+    """Places of distinct keys in ``order``, that of the scrambled keys: these are spread evenly, so their first bits nearly give the place."""
+
+    def __init__(self, keys: np.ndarray):
+        scrambled = mix(keys)
+        self.order = np.argsort(scrambled)
+        self.scrambled = scrambled[self.order]
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.scrambled, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def places(self, keys: np.ndarray, what: str) -> np.ndarray:
+        asked = mix(keys)
+        if not len(self.order) and len(asked):
+            raise RuntimeError(f"{what} of a block was not looked up")
+        at = self.first[(asked >> self.shift).astype(np.int64)]
+        last = len(self.order) - 1
+        behind = np.flatnonzero(self.scrambled[np.minimum(at, last)] != asked)
+        while len(behind):
+            at[behind] += 1
+            if (at[behind] > last).any() or (self.scrambled[at[behind]] > asked[behind]).any():
+                raise RuntimeError(f"{what} of a block was not looked up")
+            behind = behind[self.scrambled[at[behind]] != asked[behind]]
+        return at
 
 
 def _sum_equal(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,6 +207,27 @@ def _unpack_numbers(payload: bytes, kind: type) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64) if kind is np.uint64 else x
 
 
+def _pack_values(count: np.ndarray, total: np.ndarray, value: np.ndarray) -> bytes:
+    """Log10 probabilities: as two small numbers where the longest context has the symbol (``count`` of ``total``), which
+    compress well; else (``count`` 0) the value itself, whose bits hardly do."""
+    packed = [_pack_numbers(x) for x in (count, total, value[count == 0])]
+    return b"".join([np.array([len(x) for x in packed], np.int64).tobytes(), *packed])
+
+
+def _unpack_values(payload: bytes) -> np.ndarray:
+    view = memoryview(payload)
+    ends = np.cumsum([24, *np.frombuffer(view[:24], np.int64)]).tolist()
+    count, total, own = (_unpack_numbers(view[i:j], kind) for i, j, kind in zip(ends[:-1], ends[1:], (np.int64, np.int64, np.float64), strict=True))
+    out = np.empty(len(count))
+    out[count == 0] = own
+    out[count > 0] = _ratio(count[count > 0], total[count > 0])
+    return out
+
+
+def _ratio(count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return np.log10((2 * count - 1) / np.maximum(2 * total, 1).astype(float))
+
+
 def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, index of its keys in their order) of sorted keys."""
     suffix = (keys >> np.uint64(8)) & np.uint64((1 << (8 * (SHARED + 1))) - 1)
@@ -174,7 +244,7 @@ def key_counts(training: DataFrame, text: str, parts: int, across: bool) -> Data
     def run(batches):
         for batch in batches:
             for part_of_batch in sliced([batch], 0):
-                found = [np.unique(keys, return_counts=True) for _, keys, _ in _text_keys(part_of_batch.column(0), across)]
+                found = [np.unique(keys, return_counts=True) for keys in _text_keys(part_of_batch.column(0), across)]
                 keys, n = _sum_equal(*(np.concatenate(x) for x in zip(*found, strict=True)))
                 rows = [(part, _pack_numbers(keys[at]), _pack_numbers(n[at])) for part, at in _by_part(keys, parts)]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)]
@@ -201,19 +271,11 @@ def _pairs(keys: np.ndarray, n: np.ndarray, orders: Iterable[int]) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def shared_pairs(table: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, count) of all orders up to ``SHARED``."""
-    low = min(order, SHARED)
-
-    def run(batches):
-        for batch in batches:
-            for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
-                pairs, n = _pairs(_unpack_numbers(keys.as_buffer(), np.uint64), _unpack_numbers(counts.as_buffer(), np.int64), [low])
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n)], names=["pair", "n"])
-
-    summed = table.select("keys", "counts").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+def shared_pairs(counts: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, count) of all orders up to ``SHARED``, from ``training_counts``."""
+    summed = counts.filter("pair is not null").select("pair", "n").toArrow()
     pairs, n = summed.column("pair").to_numpy().view(np.uint64), summed.column("n").to_numpy()
-    return _pairs(pairs, n, range(low, -1, -1))
+    return _pairs(pairs, n, range(min(order, SHARED), -1, -1))
 
 
 @dataclass
@@ -235,7 +297,9 @@ class Trie:
         """``lost`` has the count of each of ``contexts_lost`` (sorted) that is not among the pairs."""
         at = np.argsort(pairs)
         pairs, counts = pairs[at], counts[at]
-        contexts, first = np.unique(pairs >> np.uint64(8), return_index=True)
+        contexts = pairs >> np.uint64(8)
+        first = group_runs(contexts)
+        contexts = contexts[first]
         sizes = np.diff(np.append(first, len(pairs)))
         total = np.add.reduceat(counts, first) if len(first) else counts[:0]
         # A pair's suffix: one byte less of context, the same symbol.
@@ -257,13 +321,18 @@ class Trie:
         cut = np.where(contexts_lost[own] == contexts, lost[own], 0) if len(lost) else np.zeros(len(contexts), np.int64)
         return cls(order, pairs, counts, contexts, total, sizes, cut, rest_total, rest_distinct)
 
-    def log10_of(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each key after the others."""
-        return self._log10((keys & np.uint64(255)).astype(np.uint8), keys >> np.uint64(8), np.full(len(keys), CONTEXT))
+    def log10_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count, total, log10 probability) of the last byte of each key after the others; a count of 0 says that the
+        longest context does not give the probability alone."""
+        return self._coded((keys & np.uint64(255)).astype(np.uint8), keys >> np.uint64(8), np.full(len(keys), CONTEXT))
 
     def _log10(self, symbol: np.ndarray, context: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return self._coded(symbol, context, place)[2]
+
+    def _coded(self, symbol: np.ndarray, context: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(symbol)
         out, open_, above = np.zeros(n), np.ones(n, bool), np.full(n, -1)
+        count_of, total_of = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for k in range(self.order, -1, -1):
             index = np.flatnonzero(open_ & (place >= k))
             if not len(index) or not len(self.contexts):
@@ -280,7 +349,10 @@ class Trie:
             hit = self.pairs[where] == pair
             escape = distinct + 2 * self.lost[node]
             mass = np.maximum(2 * (total + self.lost[node]), 1).astype(float)
-            out[index[hit]] += np.log10((2 * self.counts[where[hit]] - 1) / mass[hit])
+            count = self.counts[where[hit]]
+            if k == self.order:
+                count_of[index[hit]], total_of[index[hit]] = count, (total + self.lost[node])[hit]
+            out[index[hit]] += np.log10((2 * count - 1) / mass[hit])
             miss = ~hit & (escape > 0)
             out[index[miss]] += np.log10(escape[miss] / mass[miss])
             open_[index[hit]] = False
@@ -288,73 +360,95 @@ class Trie:
         left = np.flatnonzero(open_)
         seen = np.where(above[left] >= 0, self.distinct[above[left]], 0) if len(self.contexts) else np.zeros(len(left))
         out[left] -= np.log10(np.maximum(_ALPHABET - seen, 1))
-        return out
-
-
-def key_scores(blocks: DataFrame, table: DataFrame, shared: tuple[np.ndarray, np.ndarray], parts: int, order: int, across: bool) -> DataFrame:
-    """(block, words, vals): the distinct keys of every block of texts, by part, and their log10 probabilities."""
+        return count_of, total_of, out
+
+
+def key_scores(blocks: DataFrame, table: DataFrame | None, shared: tuple[np.ndarray, np.ndarray], parts: int, order: int, across: bool) -> DataFrame:
+    """(block, words, vals): the distinct keys of every block of texts, by part, and their log10 probabilities.
+
+    ``table`` has the counts of the training texts (``key_counts``). Without it, the column before the text says which
+    rows of the blocks are the training texts, and the keys travel with their counts in those.
+    """
+
+    flagged = table is None
+
+    def counted_keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        trained = rows.column(rows.num_columns - 2).to_numpy().astype(bool) if flagged else None
+        keys, times, start = [], [], 0
+        for _, n, piece in pieces(rows.column("text")):
+            found, text = coded_keys(piece, Words(piece, NOT_SPACE, True), across)
+            # One sort of the keys with a bit below that says whether the text is trained on.
+            found <<= np.uint64(1)
+            if trained is not None:
+                found |= trained[start:n].astype(np.uint64)[text]
+            start = n
+            found.sort()
+            bit, own = found & np.uint64(1), found >> np.uint64(1)
+            first = group_runs(own)
+            keys.append(own[first])
+            times.append(np.add.reduceat(bit, first).astype(np.int64) if len(first) else _NO_COUNTS)
+        return _sum_equal(np.concatenate(keys), np.concatenate(times))
 
     def list_keys(batches):
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [np.unique(keys) for _, keys, _ in _text_keys(unpack(payload.as_buffer()).column("text"), across)]
-                keys = np.unique(np.concatenate(found))
-                rows = [(block, part, _pack_numbers(keys[at])) for part, at in _by_part(keys, parts)]
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "words"])
+                keys, n = counted_keys(unpack(payload.as_buffer()))
+                rows = [(block, part, _pack_numbers(keys[at]), _pack_numbers(n[at])) for part, at in _by_part(keys, parts)]
+                types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "words", "counts"])
+
+    def unpacked(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+        return [_unpack_numbers(x.as_buffer(), kind) for x in column]
 
-    def look_up(asked: pa.Table, side: pa.Table) -> pa.Table:
+    def look_up(asked: pa.Table, side: pa.Table | None = None) -> pa.Table:
         if not asked.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary())], names=["block", "words", "vals"])
-        pairs, n = shared
-        for keys, counts in zip(side.column("keys"), side.column("counts"), strict=True):
-            own = _pairs(_unpack_numbers(keys.as_buffer(), np.uint64), _unpack_numbers(counts.as_buffer(), np.int64), range(order, SHARED, -1))
-            pairs, n = np.concatenate([pairs, own[0]]), np.concatenate([n, own[1]])
-        trie = Trie.build(order, pairs, n)
-        lists = [_unpack_numbers(x.as_buffer(), np.uint64) for x in asked.column("words")]
-        distinct = np.unique(np.concatenate(lists))
-        value = trie.log10_of(distinct)
-        packed = [_pack_numbers(value[np.searchsorted(distinct, keys)]) for keys in lists]
+        lists, counts = unpacked(asked.column("words"), np.uint64), unpacked(asked.column("counts"), np.int64)
+        distinct, n = _sum_equal(np.concatenate(lists), np.concatenate(counts))
+        known, times = distinct[n > 0], n[n > 0]
+        if side is not None:
+            known = np.concatenate([_NONE, *unpacked(side.column("keys"), np.uint64)])
+            times = np.concatenate([_NO_COUNTS, *unpacked(side.column("counts"), np.int64)])
+        own = _pairs(known, times, range(order, SHARED, -1))
+        trie = Trie.build(order, *(np.concatenate(x) for x in zip(shared, own, strict=True)))
+        found = trie.log10_of(distinct)
+        packed = []
+        for keys in lists:
+            at = np.searchsorted(distinct, keys)
+            packed.append(_pack_values(*[x[at] for x in found]))
         return pa.table([asked.column("block"), asked.column("words"), pa.array(packed, pa.binary())], names=["block", "words", "vals"])
 
-    listed = blocks.mapInArrow(list_keys, "block long, part int, words binary")
-    return listed.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(look_up, "block long, words binary, vals binary")
-
-
-def _coded_sums(texts: pa.ChunkedArray, listed: Sequence[tuple[bytes, bytes]], across: bool) -> np.ndarray:
-    """The sum of the looked-up values of all coded bytes of each text."""
-    keys = np.concatenate([_NONE, *[_unpack_numbers(k, np.uint64) for k, _ in listed]])
-    values = np.concatenate([np.zeros(0), *[_unpack_numbers(v, np.float64) for _, v in listed]])
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order]
-    sums = [np.zeros(0)]
-    for n, coded, text in _text_keys(texts, across):
-        # Sorted, since near keys are looked up much faster one after another.
-        order = np.argsort(coded)
-        coded = coded[order]
-        at = np.minimum(np.searchsorted(keys, coded), len(keys) - 1)
-        if (keys[at] != coded).any():
-            raise RuntimeError("a context of a block was not looked up")
-        back = np.empty(len(coded))
-        back[order] = values[at]
-        sums.append(np.bincount(text, back, minlength=n))
-    return np.concatenate(sums)
+    shape = "block long, words binary, vals binary"
+    listed = blocks.mapInArrow(list_keys, "block long, part int, words binary, counts binary").groupBy("part")
+    if flagged:
+        return listed.applyInArrow(lambda asked: look_up(asked), shape)
+    return listed.cogroup(table.groupBy("part")).applyInArrow(lambda asked, side: look_up(asked, side), shape)
 
 
+_TRAINED = "__trained"
 _FIELDS = ("n_tokens", "n_known", "train_tokens")
 
 
-def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", order: int = ORDER, keep: Sequence[str] | None = None, across: bool = False) -> DataFrame:
-    """Add n_tokens, n_known, train_tokens, base_score (smoothed unigrams) and score (partial matching)."""
-    counts = materialize(word_counts(training, text))
+def score_texts(
+    docs: DataFrame, training: DataFrame | Column, text: str = "text", order: int = ORDER, keep: Sequence[str] | None = None, across: bool = False
+) -> DataFrame:
+    """Add n_tokens, n_known, train_tokens, base_score (smoothed unigrams) and score (partial matching).
+
+    ``training`` is a frame, or says which rows of ``docs`` are trained on; their contexts are counted only once then.
+    """
+    inside = isinstance(training, Column)
+    condition, training = (training, docs.filter(training)) if inside else (None, training)
+    counted = materialize(training_counts(training, text, order, across))
+    counts = counted.filter("word is not null").select("word", "n")
+    shared = shared_pairs(counted, order)
     ends = training.count()
     words, tokens = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
     tokens = (tokens or 0) + ends
     distinct = words + (ends > 0)
     size = training.agg(F.sum(F.octet_length(training[text])).alias("n")).first()["n"] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    table = materialize(key_counts(training, text, parts, across))
-    shared = shared_pairs(table, order)
+    table = None if inside else materialize(key_counts(training, text, parts, across))
     mass = tokens + 0.1 * (distinct + 1)
     end_base = float(np.log10((ends + 0.1) / mass))
 
@@ -368,31 +462,32 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", order:
 
     def combine(texts: pa.ChunkedArray, words: list[str], values: list[bytes], listed: Sequence[tuple[bytes, bytes]]) -> Sequence:
         data, offsets = text_bytes(pa.array(words, pa.string()))
-        hashes = span_hashes(data, offsets[:-1], offsets[1:])
-        order_ = np.argsort(hashes)
-        hashes = hashes[order_]
-        base, n = np.frombuffer(b"".join(values)).reshape(-1, 2)[order_].T
+        word_index = _Index(span_hashes(data, offsets[:-1], offsets[1:]))
+        base, n = np.frombuffer(b"".join(values)).reshape(-1, 2)[word_index.order].T
+        key_index = _Index(np.concatenate([_NONE, *[_unpack_numbers(k, np.uint64) for k, _ in listed]]))
+        coded_value = np.concatenate([np.zeros(0), *[_unpack_values(v) for _, v in listed]])[key_index.order]
         found_in = []
         for _, _, piece in pieces(texts):
             found = Words(piece, NOT_SPACE, True)
-            if not len(found.hashes):
-                found_in.append((found.counts, found.counts, np.zeros(piece.n)))
-                continue
-            at = np.searchsorted(hashes, found.hashes)
-            if (hashes[np.minimum(at, len(hashes) - 1)] != found.hashes).any():
-                raise RuntimeError("a word of a block was not looked up")
-            sums = [np.bincount(found.text, x[at], minlength=piece.n) for x in (n > 0, base)]
-            found_in.append((found.counts, sums[0].astype(np.int64), sums[1]))
-        counted, seen, base_sum = (np.concatenate(x) for x in zip(*found_in, strict=True))
+            at = word_index.places(found.hashes, "a word")
+            seen, base_sum = (np.bincount(found.text, x[at], minlength=piece.n) for x in (n > 0, base))
+            keys, text = coded_keys(piece, found, across)
+            score = np.bincount(text, coded_value[key_index.places(keys, "a context")], minlength=piece.n)
+            found_in.append((found.counts, seen.astype(np.int64), base_sum, score))
+        counted, seen, base_sum, score = (np.concatenate(x) for x in zip(*found_in, strict=True))
         return [
             counted + 1,
             seen + int(ends > 0),
             np.full(len(counted), tokens, np.int64),
             base_sum + end_base,
-            _coded_sums(texts, listed, across),
+            score,
         ]
 
     fields = [*[StructField(f, LongType()) for f in _FIELDS], StructField("base_score", DoubleType()), StructField("score", DoubleType())]
-    return join_words(
+    keep = list(docs.columns if keep is None else keep)
+    if inside:
+        docs, keep = docs.withColumn(_TRAINED, F.coalesce(condition, F.lit(False))), [*keep, _TRAINED]
+    scored = join_words(
         docs, text, words_of, values_of, combine, fields, keep, counts, BLOCK_BYTES, lambda blocks: key_scores(blocks, table, shared, parts, order, across)
     )
+    return scored.drop(_TRAINED)

@@ -122,7 +122,7 @@ def op10(spark, sf_dir):
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folded = docs.withColumn("held_out", ppm.fold(F.col("doc_id"), 10) == 0)
-    scored = ppm.score_texts(folded, folded.filter(~F.col("held_out")), keep=["doc_id", "held_out"], across=True)
+    scored = ppm.score_texts(folded, ~F.col("held_out"), keep=["doc_id", "held_out"], across=True)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

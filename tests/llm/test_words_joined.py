@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pinlattice.llm import bpe, ppm, queries, sharding  # noqa: F401
+from pinlattice.llm.distinct_words import text_blocks
 from pinlattice.llm.registry import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -195,6 +196,49 @@ def test_the_order_of_words_counts(tables, spark, documents):
     assert got[0] > got[100] + 5
 
 
+def test_values_travel_in_few_bytes(documents):
+    # Where the longest context has the symbol, two small numbers travel and not the eight bytes of their logarithm.
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(300)) for _ in range(60)]
+    rows = documents(list(enumerate(texts))).select(F.lit(True), "text").coalesce(1)
+    shared = ppm.shared_pairs(ppm.training_counts(rows, "text", ppm.ORDER, True), ppm.ORDER)
+    got = ppm.key_scores(text_blocks(rows, 1 << 20), None, shared, 2, ppm.ORDER, True).collect()
+    keys = sum(len(ppm._unpack_numbers(r.words, np.uint64)) for r in got)
+    assert keys == sum(len(ppm._unpack_values(r.vals)) for r in got) > 20_000
+    assert sum(len(r.vals) for r in got) < 2 * keys
+
+
+def test_packed_values_are_exact():
+    count, total, value = np.array([3, 0, 1, 0, 1 << 40]), np.array([9, 0, 1, 0, 1 << 41]), np.array([7, -2.5, 7, -1e-300, 7])
+    got = ppm._unpack_values(ppm._pack_values(count, total, value)).tolist()
+    assert got == [math.log10(5 / 18), -2.5, math.log10(1 / 2), -1e-300, math.log10(((1 << 41) - 1) / (1 << 42))]
+    assert len(ppm._unpack_values(ppm._pack_values(count[:0], total[:0], value[:0]))) == 0
+
+
+def test_training_rows_named_by_a_condition(documents):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["the", "then", "Thé", "of a", "x", "zz9"]) for _ in range(rng.randrange(0, 12)))) for i in range(60)]
+    docs = documents([*rows, (None, "the then"), (61, None)])
+    apart = ppm.score_texts(docs, docs.filter("doc_id < 40"), across=True)
+    inside = ppm.score_texts(docs, F.col("doc_id") < 40, across=True)
+    assert inside.columns == apart.columns
+    for got, want in zip(*[sorted(x.collect(), key=repr) for x in (inside, apart)], strict=True):
+        assert got[:-1] == want[:-1] and math.isclose(got.score, want.score, rel_tol=1e-12)
+
+
+def test_index_finds_every_key_and_refuses_others():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 50, 5000).astype(np.uint64))
+    index = ppm._Index(keys)
+    asked = rng.choice(keys, 20_000)
+    assert (keys[index.order][index.places(asked, "a key")] == asked).all()
+    with pytest.raises(RuntimeError):
+        index.places(np.array([1 << 51], np.uint64), "a key")
+    with pytest.raises(RuntimeError):
+        ppm._Index(keys[:0]).places(asked, "a key")
+    assert len(ppm._Index(keys[:0]).places(keys[:0], "a key")) == 0
+
+
 def test_matrix_has_exact_margins():
     rng = np.random.default_rng(4)
     blocks = rng.integers(0, 200, 30)
