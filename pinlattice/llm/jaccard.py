@@ -369,7 +369,7 @@ def in_cells(pairs: DataFrame, sets: DataFrame, compute: Callable[[np.ndarray, n
 
 
 def still_open(pairs: DataFrame, sketches: DataFrame, rules: Rules) -> DataFrame:
-    """The pairs (key, a, b) whose wide sketches leave room for a link; no shingles are moved for the others."""
+    """The pairs (key, a, b) whose sizes and wide sketches leave room for a link; no shingles are moved for the others."""
     n, d = rules.numerator, rules.denominator
 
     def compute(a: np.ndarray, b: np.ndarray, side: pa.Table, table: pa.Table) -> pa.Table:
@@ -379,7 +379,8 @@ def still_open(pairs: DataFrame, sketches: DataFrame, rules: Rules) -> DataFrame
         for i in range(0, len(a), 1 << 14):
             x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
             differing = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64)
-            keep.append(differing * (d + n) <= (size[x] + size[y]) * (d - n))
+            alike = np.minimum(size[x], size[y]) * d >= np.maximum(size[x], size[y]) * n
+            keep.append(alike & (differing * (d + n) <= (size[x] + size[y]) * (d - n)))
         return table.select(["key", "a", "b"]).filter(pa.array(np.concatenate(keep)))
 
     return in_cells(pairs, sketches.select("set", "size", "wide"), compute, "key long, a long, b long")
@@ -475,23 +476,24 @@ class Candidates:
         found = bucket_keys(source, rules, asking, parts, wanted).join(buckets, "key").distinct()
         one_each = [F.first("n_shingles").alias("size"), *[F.first(c).alias(c) for c in (*_SKETCH_COLUMNS, "wide")]]
         self.sketches = rows.filter("set is not null").groupBy("set").agg(*one_each)
-        members = found.join(self.sketches.drop("wide"), "set").select("key", "set", "size", *_SKETCH_COLUMNS)
-        self.members = stored(members.withColumn("component", F.col("set")), "members")
+        # A set is in many buckets: sizes and sketches stay with the sets until pairs of few members are made.
+        self.members = stored(found, "members").withColumn("component", F.col("set"))
 
-    def side(self, suffix: str) -> DataFrame:
-        return self.members.select("key", *[F.col(c).alias(c + suffix) for c in ("set", "component", "size", *_SKETCH_COLUMNS)])
+    @staticmethod
+    def side(members: DataFrame, suffix: str) -> DataFrame:
+        return members.select("key", *[F.col(c).alias(c + suffix) for c in members.columns if c != "key"])
 
     def all_pairs(self) -> DataFrame:
         """All pairs of different components that share a bucket, as (a, b), a < b, and a bucket of theirs."""
-        met = spread_join(self.side("_a"), self.side("_b"), ["key"], CELL_ROWS).filter((F.col("set_a") < F.col("set_b")) & (F.col("component_a") != F.col("component_b")) & may_link(self.rules, "_a", "_b"))
+        members = stored(self.members.join(self.sketches.drop("wide"), "set"), "members")
+        met = spread_join(self.side(members, "_a"), self.side(members, "_b"), ["key"], CELL_ROWS).filter((F.col("set_a") < F.col("set_b")) & (F.col("component_a") != F.col("component_b")) & may_link(self.rules, "_a", "_b"))
         return self.once(met)
 
     def representative_pairs(self, round_: int) -> DataFrame:
         """Every member of a bucket with the bucket's representative of the round; at most as many pairs as members."""
-        whole = F.struct("set_a", "component_a", "size_a", *[c + "_a" for c in _SKETCH_COLUMNS])
-        chosen = self.side("_a").groupBy("key").agg(F.min_by(whole, F.xxhash64("set_a", F.lit(round_))).alias("r")).select("key", "r.*")
-        met = spread_join(self.side("_b"), chosen, ["key"]).filter((F.col("component_a") != F.col("component_b")) & may_link(self.rules, "_a", "_b"))
-        return self.once(met)
+        chosen = self.side(self.members, "_a").groupBy("key").agg(F.min_by(F.struct("set_a", "component_a"), F.xxhash64("set_a", F.lit(round_))).alias("r"))
+        met = spread_join(self.side(self.members, "_b"), chosen.select("key", "r.*"), ["key"])
+        return self.once(met.filter(F.col("component_a") != F.col("component_b")))
 
     @staticmethod
     def once(met: DataFrame) -> DataFrame:

@@ -165,6 +165,22 @@ def test_pairs_grow_with_a_group_of_near_copies(spark, monkeypatch):
     assert sum(counts) < 20 * len(rows) and counts[-1] == 0
 
 
+def test_members_of_buckets_are_narrow(spark):
+    # A set is in hundreds of buckets; what is known of it must not be written with each of them.
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(edited(rng, base, 1))) for i in range(30)]
+    rules = jaccard.Rules(5, 4, 5)
+    source = jaccard._source(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    candidates = jaccard.Candidates(source.drop("text_key"), jaccard.set_table(source, rules), rules)
+    assert sorted(candidates.members.columns) == ["component", "key", "set"]
+    pairs = candidates.representative_pairs(0)
+    assert pairs.columns == ["key", "a", "b"]
+    linked = {(r.set_a, r.set_b) for r in candidates.links(pairs).collect()}
+    everything = {(r.set_a, r.set_b) for r in candidates.links(candidates.all_pairs()).collect()}
+    assert linked and linked <= everything
+
+
 def test_text_ids(spark):
     rows = [("b", "one two three four"), ("a", "One two three four"), ("c", "five six seven"), (None, None)]
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()
