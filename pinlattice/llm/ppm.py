@@ -15,7 +15,9 @@ remaining byte values are equally likely, so every text has a finite code length
 No pair of context and symbol is left out. The pairs are a table of parts, by the
 last ``SHARED`` + 1 bytes of the context, so a part holds every longer context of its
 keys. What is asked of it are the distinct keys of blocks of texts, which meet the
-part's pairs once each and go back to their blocks with their values. Only the
+part's pairs once each and go back to their blocks with their values. Where the
+training rows are rows of the blocks, the keys bring their training counts along.
+Only the
 pairs of orders up to ``SHARED`` belong to all parts and travel with the tasks; the
 alphabet bounds them, not the corpus.
 
