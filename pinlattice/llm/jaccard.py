@@ -36,9 +36,9 @@ each, in cells of two blocks of sets that give counts and never rows of pairs.
 ``jaccard_links`` gives the links themselves: every pair of different sets of a bucket is
 compared, and its table is as large as the job, up to n * (n - 1) / 2 links for n near copies.
 
-A pair is compared once whatever number of buckets it shares, unless the sizes or parity
-sketches rule a link out (two sets differ in at least as many tokens as their sketches
-differ in bits). The rest is verified exactly, on the shingles themselves (64-bit hashes
+A pair is compared once whatever number of buckets it shares, unless the sizes, parity
+sketches or counts by cell rule a link out (two sets differ in at least as many tokens as their
+sketches differ in bits or counts; cells grow in number with the set). The rest is verified exactly, on the shingles themselves (64-bit hashes
 of the words). Hot buckets are cut into a grid of cells, and a set's shingles move once
 for each cell, not once for each pair.
 
@@ -59,7 +59,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pinlattice.llm.batches import NOT_SPACE, Words, group_runs, mix, pieces, signed
+from pinlattice.llm.batches import NOT_SPACE, Words, group_runs, mix, pieces, signed, text_bytes
 from pinlattice.llm.decontaminate import bit_filter, passes
 from pinlattice.llm.stored import stored
 from pinlattice.operators.skew import spread_join
@@ -71,6 +71,8 @@ LARGE_SEGMENT = 8
 # Members of a bucket on a side of a cell of its pairs, and pairs of a cell of those left.
 CELL_ROWS = 1000
 CELL_PAIRS = 20_000
+# So many hot keys at most are broadcast.
+HOT_ROWS = 100_000
 # Shingles of a side of a cell in which the links inside components are counted.
 CELL_TOKENS = 1 << 20
 # Rounds that compare buckets with a representative before all open pairs are compared.
@@ -79,8 +81,10 @@ REPRESENTATIVE_ROUNDS = 2
 PART_KEYS = 1 << 20
 # Longs of the parity sketch: bit h of a set is the parity of its tokens that hash to h.
 SKETCH = 8
-# The wider sketch that distinct pairs are compared on before their shingles are.
-WIDE_SKETCH = 32
+# Distinct pairs are compared on counts of tokens by cell before their shingles are: the largest count kept
+# (half a byte), and cells of a step in memory.
+MOST_COUNT = 15
+STEP_CELLS = 1 << 20
 _SKETCH_COLUMNS = [f"q{i}" for i in range(SKETCH)]
 
 
@@ -160,13 +164,87 @@ def set_names(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return mix(mix(one) ^ (two * np.uint64(3)) + np.bincount(owner, minlength=n).astype(np.uint64))
 
 
-def parity_sketches(grams: np.ndarray, owner: np.ndarray, n: int, longs: int = SKETCH) -> np.ndarray:
-    """``longs`` longs of each text's set: a lower bound of the difference of two sets is that of their bits."""
-    slot = mix(grams ^ np.uint64(0x0DD)) & np.uint64(64 * longs - 1)
-    out = np.zeros(n * longs, np.uint64)
-    place = owner * longs + (slot >> np.uint64(6)).astype(np.int64)
+def parity_sketches(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """``SKETCH`` longs of each text's set: a lower bound of the difference of two sets is that of their bits."""
+    slot = mix(grams ^ np.uint64(0x0DD)) & np.uint64(64 * SKETCH - 1)
+    out = np.zeros(n * SKETCH, np.uint64)
+    place = owner * SKETCH + (slot >> np.uint64(6)).astype(np.int64)
     np.bitwise_xor.at(out, place, np.uint64(1) << (slot & np.uint64(63)))
-    return out.reshape(n, longs)
+    return out.reshape(n, SKETCH)
+
+
+def cell_bits(sizes: np.ndarray) -> np.ndarray:
+    """Cells of a set's counts, as a power of two that grows with the size: two to four tokens a cell, fewer in sets under 512; 16 at least, a whole word."""
+    up = np.frexp(np.maximum(sizes, 1).astype(float))[1]  # 2 ** (up - 1) <= size < 2 ** up
+    return np.maximum(np.clip(up + 1, 4, 8), up - 2)
+
+
+def count_sketches(grams: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """Each text's tokens counted by cell, two cells a byte: sets differ in at least as many tokens as their counts do.
+
+    A cell is made of the first bits of a token's hash, so two neighbours add up to a cell of a sketch half as long.
+    """
+    bits = cell_bits(np.bincount(owner, minlength=n))
+    cell = mix(grams ^ np.uint64(0x0DD)) >> (64 - bits[owner]).astype(np.uint64)
+    ends = np.cumsum(1 << bits)
+    offsets = np.concatenate(([0], ends))
+    texts = np.searchsorted(owner, np.arange(n + 1))  # owners are sorted
+    parts, i = [np.zeros(0, np.uint8)], 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, offsets[i] + STEP_CELLS, "right")))
+        mine = slice(texts[i], texts[j])
+        place = offsets[owner[mine]] - offsets[i] + cell[mine].astype(np.int64)
+        counts = np.minimum(np.bincount(place, minlength=offsets[j] - offsets[i]), MOST_COUNT).astype(np.uint8)
+        parts.append(counts[0::2] | counts[1::2] << 4)
+        i = j
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((offsets // 2).astype(np.int32)), pa.py_buffer(np.concatenate(parts))])
+
+
+def cell_counts(packed: np.ndarray, starts: np.ndarray, own: int, wanted: int) -> np.ndarray:
+    """The sketches of 2 ** ``own`` cells that start at ``starts``, a line each of 2 ** ``wanted`` cells."""
+    pairs = packed[starts[:, None] + np.arange(1 << own - 1)]
+    out = np.empty((len(starts), 1 << own), np.int16)
+    out[:, 0::2] = pairs & 15
+    out[:, 1::2] = pairs >> 4
+    return out if own == wanted else out.reshape(len(starts), 1 << wanted, -1).sum(axis=2, dtype=np.int16)
+
+
+def word_differences(words: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Sums of the differences of two rows of half bytes, ``width`` words each, that start at ``a`` and ``b``."""
+    low, pairs = np.uint64(0x0F0F0F0F0F0F0F0F), np.uint64(0x00FF00FF00FF00FF)
+    total = np.zeros(len(a), np.int64)
+    for i in range(0, width, 8):  # a byte holds the sum of 16 differences of 15 at most
+        place = np.arange(i, min(i + 8, width))
+        x, y = words[a[:, None] + place], words[b[:, None] + place]
+        differing = np.zeros(x.shape, np.uint64)
+        for shift in (0, 4):
+            p, q = (((v >> np.uint64(shift)) & low).view(np.uint8) for v in (x, y))
+            differing += (np.maximum(p, q) - np.minimum(p, q)).view(np.uint64)
+        sums = differing.sum(axis=1, dtype=np.uint64)
+        sums = (sums & pairs) + ((sums >> np.uint64(8)) & pairs)
+        total += ((sums * np.uint64(0x0001000100010001)) >> np.uint64(48)).astype(np.int64)
+    return total
+
+
+def least_differences(packed: np.ndarray, starts: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For every pair of sets (places ``a``, ``b``) a lower bound of the tokens they differ in."""
+    out = np.zeros(len(a), np.int64)
+    words = packed[: len(packed) // 8 * 8].view(np.uint64)
+    kinds = bits[a].astype(np.int64) << 6 | bits[b]
+    for kind in np.unique(kinds).tolist():
+        of = np.flatnonzero(kinds == kind)
+        x, y = kind >> 6, kind & 63
+        wanted = min(x, y)
+        step = max(1, STEP_CELLS >> max(x, y))
+        for i in range(0, len(of), step):
+            at = of[i : i + step]
+            if x == y:
+                out[at] = word_differences(words, starts[a[at]] // 8, starts[b[at]] // 8, 1 << x - 4)
+                continue
+            differing = cell_counts(packed, starts[a[at]], x, wanted)
+            differing -= cell_counts(packed, starts[b[at]], y, wanted)
+            out[at] = np.abs(differing, out=differing).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def segment_keys(grams: np.ndarray, owner: np.ndarray, n: int, bands: Bands, asking: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +321,7 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
 
 
 def set_table(source: DataFrame, rules: Rules) -> DataFrame:
-    """(id, text_key, n_shingles, set, asks, parity sketches) of every row (id, text, text_key): ``asks`` are the keys of its segments with two units."""
+    """(id, text_key, n_shingles, set, asks, parity sketches, counts by cell) of every row (id, text, text_key): ``asks`` are the keys of its segments with two units."""
 
     def run(batches):
         bands = rules.bands()
@@ -253,12 +331,11 @@ def set_table(source: DataFrame, rules: Rules) -> DataFrame:
                 asks = _lists(*segment_keys(grams, owner, n, bands, None), n)
                 columns = [batch.column(0).slice(i, n), batch.column(2).slice(i, n), pa.array(sizes), pa.array(signed(names), mask=sizes == 0), asks]
                 columns += [pa.array(signed(np.ascontiguousarray(q))) for q in parity_sketches(grams, owner, n).T]
-                wide = parity_sketches(grams, owner, n, WIDE_SKETCH).reshape(-1)
-                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * WIDE_SKETCH), pa.array(signed(wide))))
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "n_shingles", "set", "asks", *_SKETCH_COLUMNS, "wide"])
+                columns.append(count_sketches(grams, owner, n))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "n_shingles", "set", "asks", *_SKETCH_COLUMNS, "counts"])
 
     sketch = ", ".join(f"{c} long" for c in _SKETCH_COLUMNS)
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text_key long, n_shingles long, set long, asks array<long>, {sketch}, wide array<long>")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text_key long, n_shingles long, set long, asks array<long>, {sketch}, counts binary")
 
 
 def _bucket_batches(batches, rules: Rules, asking: np.ndarray, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -350,6 +427,8 @@ def in_cells(pairs: DataFrame, sets: DataFrame, compute: Callable[[np.ndarray, n
     per_key = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot = per_key.filter(F.col("n") > CELL_PAIRS).select("key", F.ceil(F.sqrt(F.col("n") / CELL_PAIRS)).cast("int").alias("side"))
     total = pairs.count()
+    # A hot key has more than CELL_PAIRS pairs, so they are few; sent to all tasks, the pairs move once, to their cells.
+    hot = F.broadcast(hot) if total // CELL_PAIRS <= HOT_ROWS else hot
     parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // CELL_PAIRS))
     side = F.coalesce("side", F.lit(1))
     salts = [F.pmod(F.xxhash64(c, F.lit(7)), side) for c in ("a", "b")]
@@ -369,21 +448,18 @@ def in_cells(pairs: DataFrame, sets: DataFrame, compute: Callable[[np.ndarray, n
 
 
 def still_open(pairs: DataFrame, sketches: DataFrame, rules: Rules) -> DataFrame:
-    """The pairs (key, a, b) whose sizes and wide sketches leave room for a link; no shingles are moved for the others."""
+    """The pairs (key, a, b) whose sizes and counts by cell leave room for a link; no shingles are moved for the others."""
     n, d = rules.numerator, rules.denominator
 
     def compute(a: np.ndarray, b: np.ndarray, side: pa.Table, table: pa.Table) -> pa.Table:
-        wide = side.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WIDE_SKETCH)
         size = side.column("size").to_numpy()
-        keep = [np.zeros(0, bool)]
-        for i in range(0, len(a), 1 << 14):
-            x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
-            differing = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64)
-            alike = np.minimum(size[x], size[y]) * d >= np.maximum(size[x], size[y]) * n
-            keep.append(alike & (differing * (d + n) <= (size[x] + size[y]) * (d - n)))
-        return table.select(["key", "a", "b"]).filter(pa.array(np.concatenate(keep)))
+        alike = np.minimum(size[a], size[b]) * d >= np.maximum(size[a], size[b]) * n
+        packed, offsets = text_bytes(side.column("counts"))
+        a, b, table = a[alike], b[alike], table.filter(pa.array(alike))
+        differing = least_differences(packed, offsets[:-1], cell_bits(size), a, b)
+        return table.select(["key", "a", "b"]).filter(pa.array(differing * (d + n) <= (size[a] + size[b]) * (d - n)))
 
-    return in_cells(pairs, sketches.select("set", "size", "wide"), compute, "key long, a long, b long")
+    return in_cells(pairs, sketches.select("set", "size", "counts"), compute, "key long, a long, b long")
 
 
 def verify(pairs: DataFrame, shingles: DataFrame, rules: Rules) -> DataFrame:
@@ -474,7 +550,7 @@ class Candidates:
         buckets = materialize(repeated_keys(source, rules, asking, parts))
         wanted = bit_filter(buckets, "key", filter_bits)
         found = bucket_keys(source, rules, asking, parts, wanted).join(buckets, "key").distinct()
-        one_each = [F.first("n_shingles").alias("size"), *[F.first(c).alias(c) for c in (*_SKETCH_COLUMNS, "wide")]]
+        one_each = [F.first("n_shingles").alias("size"), *[F.first(c).alias(c) for c in (*_SKETCH_COLUMNS, "counts")]]
         self.sketches = rows.filter("set is not null").groupBy("set").agg(*one_each)
         # A set is in many buckets: sizes and sketches stay with the sets until pairs of few members are made.
         self.members = stored(found, "members").withColumn("component", F.col("set"))
@@ -485,7 +561,7 @@ class Candidates:
 
     def all_pairs(self) -> DataFrame:
         """All pairs of different components that share a bucket, as (a, b), a < b, and a bucket of theirs."""
-        members = stored(self.members.join(self.sketches.drop("wide"), "set"), "members")
+        members = stored(self.members.join(self.sketches.drop("counts"), "set"), "members")
         met = spread_join(self.side(members, "_a"), self.side(members, "_b"), ["key"], CELL_ROWS).filter((F.col("set_a") < F.col("set_b")) & (F.col("component_a") != F.col("component_b")) & may_link(self.rules, "_a", "_b"))
         return self.once(met)
 
@@ -638,7 +714,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     joined_sets = roots.withColumnRenamed("node", "set")
     if count_links:
         joined_sets = joined_sets.join(link_counts(source.drop("text_key"), rows, roots, rules), "set", "left")
-    placed = rows.drop("asks", "wide", *_SKETCH_COLUMNS).join(joined_sets, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    placed = rows.drop("asks", "counts", *_SKETCH_COLUMNS).join(joined_sets, "set", "left").withColumn("root", F.coalesce("root", "set"))
     smallest = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("component"))
     joined = placed.join(smallest, "root", "left")
     component = F.coalesce(F.when(F.col("root").isNotNull(), F.col("component")), "id").alias("component_id")

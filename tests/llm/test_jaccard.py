@@ -181,6 +181,36 @@ def test_members_of_buckets_are_narrow(spark):
     assert linked and linked <= everything
 
 
+def test_long_sets_are_told_apart_before_their_shingles_move(spark):
+    # Bits of a fixed number are all used up in long texts; counts by cell grow with the text.
+    rng = random.Random(13)
+    rules = jaccard.Rules(5, 4, 5)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (9000, 9000, 9900, 100, 100)]
+    texts += [edited(rng, texts[0], 150), edited(rng, texts[3], 1)]
+    source = jaccard._source(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), "doc_id", "text")
+    table = jaccard.set_table(source, rules)
+    names = {r.id: r.set for r in table.collect()}
+    pairs = [(1, min(names[i], names[j]), max(names[i], names[j])) for i in names for j in range(i)]
+    candidates = jaccard.Candidates(source.drop("text_key"), table, rules)
+    left = jaccard.still_open(spark.createDataFrame(pairs, "key long, a long, b long"), candidates.sketches, rules)
+    linked = {(0, 5), (3, 6)}
+    assert {frozenset((r.a, r.b)) for r in left.collect()} == {frozenset(names[i] for i in p) for p in linked}
+
+
+def test_counts_by_cell_bound_the_difference():
+    rng = np.random.default_rng(14)
+    sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1, 2, 7, 63, 64, 500, 511, 512, 1023, 1025, 5000, 0)]
+    sets += [np.append(s[len(s) // 8 :], rng.integers(0, 2**63, 3).astype(np.uint64)) for s in sets]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    packed, starts = jaccard.text_bytes(jaccard.count_sketches(np.concatenate(sets), owner, len(sets)))
+    bits = jaccard.cell_bits(np.array([len(s) for s in sets]))
+    a, b = np.triu_indices(len(sets), 1)
+    for i, j, found in zip(a, b, jaccard.least_differences(packed, starts[:-1], bits, a, b), strict=True):
+        wanted = min(bits[i], bits[j])
+        one, two = (jaccard.cell_counts(packed, starts[[k]], bits[k], wanted).astype(int) for k in (i, j))
+        assert found == np.abs(one - two).sum() <= len(np.setxor1d(sets[i], sets[j]))
+
+
 def test_text_ids(spark):
     rows = [("b", "one two three four"), ("a", "One two three four"), ("c", "five six seven"), (None, None)]
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()
