@@ -7,25 +7,31 @@ the smaller one is counted, the other is their parent less that. What the driver
 heads, nodes, features and bins, never on rows.
 
 The state is packed: a row is a block of a few thousand training rows, whose bins (feature by
-feature), labels, weights and logits (head by head) are byte strings that numpy reads as they are, so
-no value is converted between Spark and numpy in the passes. Trees since the last written state are
+feature) and logits (head by head) are byte strings that numpy reads as they are, so no value is
+converted between Spark and numpy in the passes. Labels and weights of all heads are a number per row
+that points to the block's distinct ones. Features are counted several at a time: those whose bins
+together make few cells share one histogram of all their combinations, summed up for each in the end. Trees since the last written state are
 applied inside the tasks; every ``checkpoint_every`` trees the state is written anew.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinlattice.constants import LEAF_LIMIT, MINIMUM_GAIN
 from pinlattice.functions.vectors import noisy_or
-from pinlattice.session import materialize, spread
+from pinlattice.session import materialize, spread, tasks_of_passes
+
+
+# Cells of a histogram that features share: it stays in a core's cache.
+_CELLS = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -114,29 +120,56 @@ def _packed_rows(rows: DataFrame, width: int, bins: int, base: list[float]) -> D
     return rows.mapInArrow(run, _BLOCK)
 
 
+_STATE = "bins binary, kinds binary, kind binary, logits binary"
+
+
+def _pointed(state: DataFrame, heads: int) -> DataFrame:
+    """Packed rows with the distinct labels and weights of a block (``kinds``) and which of them a row has (``kind``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bins, y, w, logits in zip(*[batch.column(i) for i in range(4)], strict=True):
+                both = [v for x in (y, w) for v in np.frombuffer(x.as_buffer()).reshape(heads, -1)]
+                kind = np.zeros(len(both[0]), np.int64)
+                for v in both:  # no more numbers than rows after each step
+                    found = pa.array(v).dictionary_encode()
+                    pair = kind * len(found.dictionary) + found.indices.to_numpy()
+                    kind = pa.array(pair).dictionary_encode().indices.to_numpy().astype(np.int64)
+                at = np.unique(kind, return_index=True)[1]
+                kinds = np.stack([v[at] for v in both])
+                yield _block([np.frombuffer(bins.as_buffer(), np.uint8), kinds, kind.astype(_code(len(at))), np.frombuffer(logits.as_buffer())], ["bins", "kinds", "kind", "logits"])
+
+    return state.mapInArrow(run, _STATE)
+
+
+def _code(kinds: int) -> type:
+    return np.uint8 if kinds <= 1 << 8 else np.uint32
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], width: int, bins: int, heads: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(bins by feature, labels, weights and logits by head) of every block."""
-    kind = np.uint8 if bins <= 1 << 8 else np.int32
+    """(bins by feature, distinct labels and weights by head, which of them a row has, logits by head) of every block."""
+    of = np.uint8 if bins <= 1 << 8 else np.int32
     for batch in batches:
-        for matrix, *rest in zip(*[batch.column(i) for i in range(4)], strict=True):
-            y, w, logits = (np.frombuffer(x.as_buffer()).reshape(heads, -1) for x in rest)
-            yield np.frombuffer(matrix.as_buffer(), kind).reshape(width, -1), y, w, logits
+        for matrix, kinds, kind, logits in zip(*[batch.column(i) for i in range(4)], strict=True):
+            pairs = np.frombuffer(kinds.as_buffer()).reshape(2, heads, -1)
+            at = np.frombuffer(kind.as_buffer(), _code(pairs.shape[2]))
+            yield np.frombuffer(matrix.as_buffer(), of).reshape(width, len(at)), pairs, at, np.frombuffer(logits.as_buffer()).reshape(heads, -1)
 
 
 def _places(nodes: list[Node], matrix: np.ndarray) -> np.ndarray:
     """The node every row ends in; ``matrix`` has a line per feature."""
-    kind = np.int16 if len(nodes) < 1 << 15 else np.int32
-    at = np.zeros(matrix.shape[1], kind)
-    for i, node in enumerate(nodes):  # children come after their parents
-        if node.feature >= 0:
-            left = matrix[node.feature] <= node.split_bin
-            if i == 0:
-                at = np.where(left, kind(node.left), kind(node.right))
-            else:
-                here = at == i
-                at[here & left] = node.left
-                at[here & ~left] = node.right
-    return at
+    kind = np.int8 if len(nodes) < 1 << 7 else np.int16 if len(nodes) < 1 << 15 else np.int32
+
+    def below(i: int) -> np.ndarray:
+        node = nodes[i]
+        if node.feature < 0:
+            return kind(i)
+        left, right = below(node.left), below(node.right)
+        # A choice by bits: numpy works on it in vectors, which it does not with where().
+        return right ^ ((left ^ right) & -(matrix[node.feature] <= node.split_bin).view(np.int8).astype(kind, copy=False))
+
+    found = below(0)
+    return found if found.ndim else np.full(matrix.shape[1], found)
 
 
 def _advanced(logits: np.ndarray, matrix: np.ndarray, recent: list[list[list[Node]]], rates: list[float]) -> np.ndarray:
@@ -145,38 +178,72 @@ def _advanced(logits: np.ndarray, matrix: np.ndarray, recent: list[list[list[Nod
     for h, trees in enumerate(recent):
         for tree in trees:
             values = rates[h] * np.array([n.value for n in tree])
-            logits[h] += values[_places(tree, matrix)]
+            logits[h] += values.take(_places(tree, matrix))
     return logits
 
 
+def _shared(levels: Sequence[int]) -> list[list[int]]:
+    """Features dealt to histograms; the bins of those that share one make at most ``_CELLS`` combinations, unless it is a single one."""
+    groups: list[list[int]] = []
+    cells: list[int] = []
+    for f in sorted(range(len(levels)), key=lambda f: (-levels[f], f)):
+        i = next((i for i, n in enumerate(cells) if n * levels[f] <= _CELLS), len(groups))
+        if i == len(groups):
+            groups.append([])
+            cells.append(1)
+        groups[i].append(f)
+        cells[i] *= levels[f]
+    return groups
+
+
 def _histograms(
-    state: DataFrame, width: int, bins: int, recent: list[list[list[Node]]], rates: list[float], growing: list[list[Node]], wanted: list[list[int]]
+    state: DataFrame, levels: Sequence[int], recent: list[list[list[Node]]], rates: list[float], growing: list[list[Node]], wanted: list[list[int]]
 ) -> dict[tuple[int, int], np.ndarray]:
     """(head, node) -> sums of gradients, Hessians and rows by feature and bin, from one job."""
+    width, bins = len(levels), max(levels, default=1)
     cells = width * bins
+    groups = _shared(levels)
+    sizes = [math.prod(levels[f] for f in group) for group in groups]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {(h, i): np.zeros((3, width, bins)) for h, nodes in enumerate(wanted) for i in nodes}
-        for matrix, y, w, logits in _blocks(batches, width, bins, len(rates)):
+        sums = {(h, i): [np.zeros((3, n)) for n in sizes] for h, nodes in enumerate(wanted) for i in nodes}
+        for matrix, (labels, weights), kind, logits in _blocks(batches, width, bins, len(rates)):
             logits = _advanced(logits, matrix, recent, rates)
+            codes = []
+            for group in groups:
+                code = matrix[group[0]].astype(np.int16 if math.prod(levels[f] for f in group) <= _CELLS else np.int32)
+                for f in group[1:]:
+                    code *= levels[f]
+                    code += matrix[f]
+                codes.append(code)
             for h, nodes in enumerate(wanted):
                 if not nodes:
                     continue
                 place = _places(growing[h], matrix)
+                counted = (weights[h] != 0).take(kind)
                 for i in nodes:
-                    rows = np.flatnonzero((place == i) & (w[h] != 0))
-                    p = 1.0 / (1.0 + np.exp(-np.clip(logits[h, rows], -35.0, 35.0)))
-                    weight = w[h, rows]
-                    g, k = weight * (y[h, rows] - p), weight * p * (1 - p)
-                    for f in range(width):
-                        where = matrix[f, rows].astype(np.intp)
-                        sums[h, i][0, f] += np.bincount(where, g, bins)
-                        sums[h, i][1, f] += np.bincount(where, k, bins)
-                        sums[h, i][2, f] += np.bincount(where, minlength=bins)
+                    rows = np.flatnonzero(counted & (place == i))
+                    of = kind.take(rows)
+                    weight = weights[h].take(of)
+                    p = 1.0 / (1.0 + np.exp(-np.clip(logits[h].take(rows), -35.0, 35.0)))
+                    g, k = weight * (labels[h].take(of) - p), weight * p * (1 - p)
+                    for total, code, n in zip(sums[h, i], codes, sizes, strict=True):
+                        where = code.take(rows)
+                        total[0] += np.bincount(where, g, n)
+                        total[1] += np.bincount(where, k, n)
+                        total[2] += np.bincount(where, minlength=n)
         heads, nodes = zip(*sums, strict=True) if sums else ((), ())
-        columns = [pa.array(heads, pa.int32()), pa.array(nodes, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())]
+        columns = [pa.array(heads, pa.int32()), pa.array(nodes, pa.int32()), pa.array([by_feature(x).tobytes() for x in sums.values()], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["head", "node", "payload"])
 
+    def by_feature(totals: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((3, width, bins))
+        for group, total in zip(groups, totals, strict=True):
+            joint = total.reshape(3, *[levels[f] for f in group])
+            for axis, f in enumerate(group, 1):
+                out[:, f, : levels[f]] = joint.sum(axis=tuple(a for a in range(1, joint.ndim) if a != axis))
+        return out
+
     def unite(table: pa.Table) -> pa.Table:
         total = np.zeros(3 * cells)
         for payload in table.column("payload"):
@@ -207,7 +274,7 @@ def _totals(sums: np.ndarray) -> np.ndarray:
     return sums[:, 0, :].sum(axis=1)
 
 
-def _grow(state: DataFrame, width: int, bins: int, tree: int, heads: list[_Head], recent: list[list[list[Node]]]) -> list[list[Node]]:
+def _grow(state: DataFrame, levels: Sequence[int], tree: int, heads: list[_Head], recent: list[list[list[Node]]]) -> list[list[Node]]:
     """The next tree of every head, one job per level; nodes are numbered level by level."""
     rates = [h.options.learning_rate for h in heads]
     grown = [[Node(0.0)] for _ in heads]
@@ -220,7 +287,7 @@ def _grow(state: DataFrame, width: int, bins: int, tree: int, heads: list[_Head]
         wanted = [[i for i, sibling in nodes if sibling is None] if depth < h.options.depth else [] for h, nodes in zip(heads, level, strict=True)]
         if not any(wanted):
             break
-        found = _histograms(state, width, bins, recent, rates, grown, wanted)
+        found = _histograms(state, levels, recent, rates, grown, wanted)
         following = [[] for _ in heads]
         for n, head in enumerate(heads):
             if depth >= head.options.depth:
@@ -238,7 +305,7 @@ def _grow(state: DataFrame, width: int, bins: int, tree: int, heads: list[_Head]
                     nodes[0].value = _leaf(total, options)
                 if total[2] < 2 * options.minimum_leaf:
                     continue
-                split = _best_split(head.sums[i], _chosen_features(options, tree, i, width), options)
+                split = _best_split(head.sums[i], _chosen_features(options, tree, i, len(levels)), options)
                 if split is None:
                     continue
                 nodes[i].feature, nodes[i].split_bin, left = split
@@ -271,8 +338,9 @@ def _fit_together(df: DataFrame, width: int, labels: Mapping[str, tuple[Column,
         yi, wi = F.get("y", F.lit(i)), F.get("w", F.lit(i))
         inside = wi > 0
         sums += [F.sum(F.when(inside, wi * yi)), F.sum(F.when(inside, wi)), F.min(F.when(inside, yi)), F.max(F.when(inside, yi))]
-    found = rows.agg(*sums, F.max(F.array_max("bins"))).first()
-    bins = int(found[-1] or 0) + 1
+    found = rows.agg(*sums, *[F.max(F.get("bins", F.lit(f))) for f in range(width)], F.count(F.lit(1))).first()
+    levels = [int(top or 0) + 1 for top in found[4 * len(names) : -1]]
+    bins = max(levels, default=1)
     heads = []
     for i, name in enumerate(names):
         positive, total, low, high = found[4 * i : 4 * i + 4]
@@ -281,7 +349,8 @@ def _fit_together(df: DataFrame, width: int, labels: Mapping[str, tuple[Column,
         rate = min(max(positive / total, 1e-6), 1 - 1e-6)
         heads.append(_Head(options[name], BoostedHead(float(np.log(rate / (1 - rate))), options[name].learning_rate)))
     rates = [h.options.learning_rate for h in heads]
-    state = materialize(_packed_rows(rows, width, bins, [h.model.base_logit for h in heads]))
+    rows = rows.coalesce(tasks_of_passes(rows, found[-1]))
+    state = materialize(_pointed(_packed_rows(rows, width, bins, [h.model.base_logit for h in heads]), len(heads)))
     recent: list[list[list[Node]]] = [[] for _ in heads]
     every = min(h.options.checkpoint_every for h in heads)
 
@@ -289,11 +358,11 @@ def _fit_together(df: DataFrame, width: int, labels: Mapping[str, tuple[Column,
     if len(trees) > 1:
         raise ValueError("heads fitted together have the same number of trees")
     for number in range(*trees):
-        for i, tree in enumerate(_grow(state, width, bins, number, heads, recent)):
+        for i, tree in enumerate(_grow(state, levels, number, heads, recent)):
             heads[i].model.trees.append(tree)
             recent[i].append(tree)
         if (number + 1) % every == 0 and number + 1 < heads[0].options.trees:
-            state = materialize(state.mapInArrow(_renewed(width, bins, recent, rates), _BLOCK))
+            state = materialize(state.mapInArrow(_renewed(width, bins, recent, rates), _STATE))
             recent = [[] for _ in heads]
     return {name: h.model for name, h in zip(names, heads, strict=True)}
 
@@ -302,8 +371,8 @@ def _renewed(width: int, bins: int, recent: list[list[list[Node]]], rates: list[
     """A task function that adds the recent trees to the logits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for matrix, y, w, logits in _blocks(batches, width, bins, len(rates)):
-            yield _block([matrix, y, w, _advanced(logits, matrix, recent, rates)], ["bins", "y", "w", "logits"])
+        for matrix, kinds, kind, logits in _blocks(batches, width, bins, len(rates)):
+            yield _block([matrix, kinds, kind, _advanced(logits, matrix, recent, rates)], ["bins", "kinds", "kind", "logits"])
 
     return run
 
@@ -324,7 +393,7 @@ def _probabilities(head: BoostedHead, matrix: np.ndarray) -> np.ndarray:
     """Probabilities of rows by their bins; ``matrix`` has a line per feature."""
     logit = np.full(matrix.shape[1], head.base_logit)
     for tree in head.trees:
-        logit += head.learning_rate * np.array([n.value for n in tree])[_places(tree, matrix)]
+        logit += (head.learning_rate * np.array([n.value for n in tree])).take(_places(tree, matrix))
     return 1.0 / (1.0 + np.exp(-np.clip(logit, -35.0, 35.0)))
 
 
@@ -339,13 +408,13 @@ def tree_probabilities(
     heads = dict(heads)
     edges = [np.asarray(c, dtype=float) for c in cuts]
 
-    @F.pandas_udf(", ".join(f"`{name}` double" for name in heads))
-    def score(batch: pd.Series) -> pd.DataFrame:
-        if not len(batch):
-            return pd.DataFrame({name: np.empty(0) for name in heads})
-        values = np.stack(batch.to_numpy())
+    @F.arrow_udf(", ".join(f"`{name}` double" for name in heads))
+    def score(batch: pa.Array) -> pa.Array:
+        if batch.null_count:
+            raise ValueError("the features of a row are null")
+        values = _matrix(batch, len(edges))
         bins = np.stack([np.searchsorted(e, values[:, i], side="right") for i, e in enumerate(edges)])
-        return pd.DataFrame({n: _probabilities(h, bins) for n, h in heads.items()})
+        return pa.StructArray.from_arrays([pa.array(_probabilities(h, bins)) for h in heads.values()], names=list(heads))
 
     return score(features)
 

@@ -238,3 +238,62 @@ def test_boosting_refuses_null_bins(spark):
     frame = spark.createDataFrame(rows, "bins array<int>, label int")
     with pytest.raises(Exception, match="a bin is null"):
         bst.fit_boosting(frame, 2, bst.BoostingOptions(trees=1, minimum_leaf=1))
+
+
+def test_a_pass_of_boosting_has_a_round_of_tasks_and_narrow_rows(spark, monkeypatch):
+    """Starting a task costs more than its rows of a pass; labels and weights of all heads are a byte a row."""
+    from pinlattice.operators import boosting as bst
+
+    kept = []
+    real = bst.materialize
+    monkeypatch.setattr(bst, "materialize", lambda df: kept.append(real(df)) or kept[-1])
+    outcomes = ["pass", "resolution_failure", "import_failure", "smoke_test_failure"]
+    frame = spark.createDataFrame([([i % 5, i % 3], outcomes[i % 7 % 4]) for i in range(900)], "bins array<int>, outcome string")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        bst.fit_heads(frame, 2, bst.STAGE_AWARE, bst.BoostingOptions(trees=2, minimum_leaf=5, checkpoint_every=1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert len(kept) == 2
+    for state in kept:
+        assert state.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        columns = [F.length(c) for c in state.columns if c != "kinds"]
+        assert state.agg(F.sum(sum(columns[1:], columns[0]))).first()[0] == 900 * (2 + 1 + 3 * 8)
+
+
+def test_shared_histograms_are_those_of_each_feature(spark):
+    from pinlattice.operators import boosting as bst
+
+    r = random.Random(9)
+    levels = [20, 1, 24, 2, 2, 11, 2, 300]
+    assert len(bst._shared(levels)) == 2
+    data = [([r.randrange(n) for n in levels], [float(r.randrange(2)), 0.0], [r.random(), float(r.randrange(2))]) for _ in range(700)]
+    frame = spark.createDataFrame(data, "bins array<int>, y array<double>, w array<double>").repartition(3)
+    rows = bst._packed_rows(frame, len(levels), max(levels), [0.3, -0.2])
+    tree = [bst.Node(0.0, 0, 9, 1, 2), bst.Node(0.5), bst.Node(0.0, 7, 150, 3, 4), bst.Node(-1.0), bst.Node(2.0)]
+    found = bst._histograms(bst._pointed(rows, 2), levels, [[tree], []], [0.1, 0.1], [tree, [bst.Node(0.0)]], [[1, 4], [0]])
+
+    def place(b):
+        return 1 if b[0] <= 9 else 3 if b[7] <= 150 else 4
+
+    assert sorted(found) == [(0, 1), (0, 4), (1, 0)]
+    for (h, i), sums in found.items():
+        expected = np.zeros((3, len(levels), max(levels)))
+        for b, y, w in data:
+            if w[h] and (h == 1 or place(b) == i):
+                p = 1 / (1 + np.exp(-(-0.2 if h else 0.3 + 0.1 * tree[place(b)].value)))
+                for f, at in enumerate(b):
+                    expected[:, f, at] += (w[h] * (y[h] - p), w[h] * p * (1 - p), 1)
+        assert np.allclose(sums, expected)
+
+
+def test_bins_are_compared_in_compiled_code(spark):
+    from pinlattice.operators import preprocess
+
+    nan = float("nan")
+    rows = [([1.0, nan, None],), ([None] * 3,), (None,), ([1.0, 2.0],), ([1.0, 2.0, 3.0, 4.0],), ([0.5, -0.0, 9.0],), ([],)]
+    frame = spark.createDataFrame(rows, "v array<double>")
+    found = frame.select(preprocess.bin_values(F.col("v"), [[0.5, 1.0], [0.0], []]).alias("b"))
+    assert [r.b for r in found.collect()] == [[2, 1, 0], [0, 0, 0], None, [2, 1, 0], [2, 1, 0, None], [1, 1, 0], [0, 0, 0]]
+    assert "CASE WHEN" in found._jdf.queryExecution().optimizedPlan().toString()
